@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import catalogues as cat
-from .regex import contains_any, java_pattern, literal_of, lower_folded
+from .regex import contains_any_sql, java_pattern, literal_of, lower_folded_sql, sql_literal
 
 
-def haystack(text: Column, url: Column) -> Column:
+def haystack(text: str, url: str) -> Column:
     """Lower-cased address and text in one string; NUL keeps a match from spanning both."""
-    return lower_folded(F.lower(F.concat(url, F.lit("\x00"), text)))
+    return F.expr(lower_folded_sql(f"concat({url}, '\\0', {text})"))
 
 
 def _stem(pattern: str) -> str:
@@ -22,52 +22,42 @@ def _stem(pattern: str) -> str:
     return literal.lower()
 
 
-def _found(hay: Column, pattern: str) -> Column:
-    found = F.contains(hay, F.lit(_stem(pattern)))
+def _found(hay: str, pattern: str) -> str:
+    found = f"contains({hay}, {sql_literal(_stem(pattern))})"
     if literal_of(pattern) is None:
-        found = found & hay.rlike(java_pattern(pattern, ignore_case=True))
-    return found
+        found += f" AND rlike({hay}, {sql_literal(java_pattern(pattern, ignore_case=True))})"
+    return f"int({found})"
 
 
-def platform_scores(hay: Column) -> Column:
+def platform_scores(hay: str) -> Column:
     """Array of (platform, score, rules) in rule order, one element per platform.
 
     One pass looks for all stems together; the single patterns are tried only on texts that
     hold one of them."""
 
-    def scores(score_of) -> Column:
-        return F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("platform"),
-                    score_of(patterns).alias("score"),
-                    F.lit(len(patterns)).alias("rules"),
-                )
-                for name, patterns in cat.PLATFORM_PATTERNS.items()
-            ]
+    def scores(score_of) -> str:
+        entries = (
+            f"named_struct('platform', {sql_literal(name)}, 'score', {score_of(patterns)}, 'rules', {len(patterns)})"
+            for name, patterns in cat.PLATFORM_PATTERNS.items()
         )
+        return f"array({', '.join(entries)})"
 
     stems = [_stem(p) for patterns in cat.PLATFORM_PATTERNS.values() for p in patterns]
-    return F.when(
-        contains_any(hay, stems),
-        scores(lambda patterns: sum((_found(hay, p).cast("int") for p in patterns), F.lit(0))),
-    ).otherwise(scores(lambda patterns: F.lit(0)))
+    counted = scores(lambda patterns: " + ".join(_found(hay, p) for p in patterns))
+    return F.expr(
+        f"CASE WHEN {contains_any_sql(hay, stems)} THEN {counted} ELSE {scores(lambda patterns: '0')} END"
+    )
 
 
-def hit_scores(scores: Column) -> Column:
-    return F.filter(scores, lambda s: s["score"] > 0)
+def hit_scores(scores: str) -> Column:
+    return F.expr(f"filter({scores}, s -> s.score > 0)")
 
 
-def best_platform(scores: Column) -> Column:
+def best_platform(scores: str) -> Column:
     """(platform, confidence) of the highest score; the earlier platform wins a tie."""
-    start = F.struct(F.lit(cat.UNKNOWN_PLATFORM).alias("platform"), F.lit(0).alias("score"), F.lit(1).alias("rules"))
-    best = F.aggregate(
-        scores, start, lambda acc, s: F.when(s["score"] > acc["score"], s).otherwise(acc)
+    start = f"named_struct('platform', {sql_literal(cat.UNKNOWN_PLATFORM)}, 'score', 0, 'rules', 1)"
+    confidence = "round(least(best.score / double(best.rules), 1D), 2)"
+    return F.expr(
+        f"aggregate({scores}, {start}, (best, s) -> CASE WHEN s.score > best.score THEN s ELSE best END,"
+        f" best -> named_struct('platform', best.platform, 'confidence', {confidence}))"
     )
-    return F.transform(
-        F.array(best),
-        lambda b: F.struct(
-            b["platform"].alias("platform"),
-            F.round(F.least(b["score"] / b["rules"], F.lit(1.0)), 2).alias("confidence"),
-        ),
-    )[0]

@@ -1,4 +1,8 @@
-"""Prompt blocks, persona, technologies and constraints of a text."""
+"""Prompt blocks, persona, technologies and constraints of a text.
+
+Functions take the text and its :func:`~siftwork.functions.regex.needle_text` as SQL expressions
+(usually column names) and give a Column.
+"""
 
 from __future__ import annotations
 
@@ -6,128 +10,124 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import catalogues as cat
-from .regex import contains_any, empty_strings, java_pattern, needle_text, strip
+from .regex import EMPTY_STRINGS, contains_any_sql, java_pattern, sql_literal, strip_sql
 
 
-def _all(text: Column, pattern: str, needles, haystack: Column, group: int = 0) -> Column:
+def _all(text: str, haystack: str, pattern: str, needles, group: int = 0) -> str:
     """All matches of a pattern; the regex runs only on texts that hold one of the needles."""
-    return F.when(
-        contains_any(haystack, needles), F.regexp_extract_all(text, F.lit(pattern), group)
-    ).otherwise(empty_strings())
+    return (
+        f"CASE WHEN {contains_any_sql(haystack, needles)} THEN"
+        f" regexp_extract_all({text}, {sql_literal(pattern)}, {group}) ELSE {EMPTY_STRINGS} END"
+    )
+
+
+def _prompt(text: str, haystack: str, pattern: str, needles) -> str:
+    return _all(text, haystack, java_pattern(pattern, ignore_case=True, dotall=True), needles)
+
+
+def _assign_sql(text: str, haystack: str) -> str:
+    return _prompt(text, haystack, cat.PROMPT_ASSIGN, ("prompt",))
+
+
+def _section_sql(text: str, haystack: str) -> str:
+    return _prompt(text, haystack, cat.PROMPT_SECTION, ("#",))
+
 
+def _system_tag_sql(text: str, haystack: str) -> str:
+    return _prompt(text, haystack, cat.PROMPT_SYSTEM_TAG, ("<system>",))
 
-def _haystack(text: Column, haystack: Column | None) -> Column:
-    return needle_text(text) if haystack is None else haystack
 
+def _persona_span_sql(text: str, haystack: str) -> str:
+    return _prompt(text, haystack, cat.PROMPT_PERSONA_SPAN, ("you are", "act as", "assistant is"))
 
-def prompt_assign(text: Column, haystack: Column | None = None) -> Column:
-    p = java_pattern(cat.PROMPT_ASSIGN, ignore_case=True, dotall=True)
-    return _all(text, p, ("prompt",), _haystack(text, haystack))
 
+def prompt_assign(text: str, haystack: str) -> Column:
+    return F.expr(_assign_sql(text, haystack))
 
-def prompt_section(text: Column, haystack: Column | None = None) -> Column:
-    p = java_pattern(cat.PROMPT_SECTION, ignore_case=True, dotall=True)
-    return _all(text, p, ("#",), _haystack(text, haystack))
 
+def prompt_section(text: str, haystack: str) -> Column:
+    return F.expr(_section_sql(text, haystack))
 
-def prompt_system_tag(text: Column, haystack: Column | None = None) -> Column:
-    p = java_pattern(cat.PROMPT_SYSTEM_TAG, ignore_case=True, dotall=True)
-    return _all(text, p, ("<system>",), _haystack(text, haystack))
 
+def prompt_system_tag(text: str, haystack: str) -> Column:
+    return F.expr(_system_tag_sql(text, haystack))
 
-def prompt_persona_span(text: Column, haystack: Column | None = None) -> Column:
-    p = java_pattern(cat.PROMPT_PERSONA_SPAN, ignore_case=True, dotall=True)
-    return _all(text, p, ("you are", "act as", "assistant is"), _haystack(text, haystack))
+
+def prompt_persona_span(text: str, haystack: str) -> Column:
+    return F.expr(_persona_span_sql(text, haystack))
 
 
 # An opening tag is consumed, the element body only looked at: nested elements are found too.
 _ELEMENT = r"(?is)<(" + "|".join(cat.PROMPT_ELEMENTS) + r")(?:\s[^>]*)?>(?=(.*?)</\1\s*>)"
-_HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>"
+# Markup without text of its own.
+HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>"
+# Character references that well-formed markup uses for its own syntax; "&" comes last.
+_REFERENCES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&"),
+)
 
 
-def unescape_html(text: Column) -> Column:
-    """Decode the character references that well-formed markup uses for its own syntax."""
-    for reference, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-        ("&nbsp;", " "), ("&amp;", "&"),
-    ):
-        text = F.replace(text, F.lit(reference), F.lit(char))
+def unescape_html_sql(text: str) -> str:
+    for reference, char in _REFERENCES:
+        text = f"replace({text}, {sql_literal(reference)}, {sql_literal(char)})"
     return text
 
 
-def prompt_html_tags(text: Column, haystack: Column | None = None) -> Column:
-    """Inner text of the prompt elements: text pieces stripped and joined without separator."""
-    tags = tuple(f"<{name}" for name in cat.PROMPT_ELEMENTS)
-    bodies = _all(text, _ELEMENT, tags, _haystack(text, haystack), 2)
+def _html_tags_sql(text: str, haystack: str) -> str:
+    bodies = _all(text, haystack, _ELEMENT, tuple(f"<{name}" for name in cat.PROMPT_ELEMENTS), 2)
+    pieces = f"split(regexp_replace(body, {sql_literal(HIDDEN)}, ''), '<[^>]*>', -1)"
+    inner = f"array_join(transform({pieces}, piece -> {strip_sql(unescape_html_sql('piece'))}), '')"
+    return f"transform({bodies}, body -> {inner})"
 
-    def inner(body: Column) -> Column:
-        pieces = F.split(F.regexp_replace(body, _HIDDEN, ""), r"<[^>]*>", -1)
-        return F.array_join(F.transform(pieces, lambda piece: strip(unescape_html(piece))), "")
 
-    return F.transform(bodies, inner)
+def prompt_html_tags(text: str, haystack: str) -> Column:
+    """Inner text of the prompt elements: text pieces stripped and joined without separator."""
+    return F.expr(_html_tags_sql(text, haystack))
 
 
-def prompt_blocks(text: Column, haystack: Column | None = None) -> Column:
+def prompt_blocks(text: str, haystack: str) -> Column:
     """All prompt blocks in rule order, stripped, without empty ones and repeats."""
-    matched = F.concat(
-        prompt_assign(text, haystack),
-        prompt_section(text, haystack),
-        prompt_system_tag(text, haystack),
-        prompt_persona_span(text, haystack),
-    )
-    found = F.concat(F.transform(matched, strip), prompt_html_tags(text, haystack))
-    return F.array_distinct(F.filter(found, lambda b: b != ""))
+    kinds = (_assign_sql, _section_sql, _system_tag_sql, _persona_span_sql)
+    matched = "concat(" + ", ".join(kind(text, haystack) for kind in kinds) + ")"
+    found = f"concat(transform({matched}, m -> {strip_sql('m')}), {_html_tags_sql(text, haystack)})"
+    return F.expr(f"array_distinct(filter({found}, b -> b <> ''))")
 
 
-def persona(text: Column, haystack: Column | None = None) -> Column:
-    line = F.regexp_extract(text, java_pattern(cat.PERSONA, ignore_case=True), 1)
-    return F.when(
-        F.contains(_haystack(text, haystack), F.lit("you are")),
-        F.substring(strip(F.nullif(line, F.lit(""))), 1, cat.PERSONA_CHARS),
+def persona(text: str, haystack: str) -> Column:
+    """First line that starts with the persona marker; null if there is none."""
+    line = f"nullif(regexp_extract({text}, {sql_literal(java_pattern(cat.PERSONA, ignore_case=True))}, 1), '')"
+    return F.expr(
+        f"CASE WHEN contains({haystack}, 'you are') THEN substring({strip_sql(line)}, 1, {cat.PERSONA_CHARS}) END"
     )
 
 
-def tech_stack(lowered: Column) -> Column:
+def tech_stack(lowered: str) -> Column:
     """Keywords found in the lower-cased text, in catalogue order."""
-    return F.array_compact(
-        F.array(*[F.when(F.contains(lowered, F.lit(k)), F.lit(k)) for k in cat.TECH_KEYWORDS])
-    )
+    tests = ", ".join(f"CASE WHEN contains({lowered}, '{k}') THEN '{k}' END" for k in cat.TECH_KEYWORDS)
+    return F.expr(f"array_compact(array({tests}))")
 
 
-def constraints(text: Column, haystack: Column | None = None) -> Column:
+def constraints(text: str, haystack: str) -> Column:
     found = _all(
-        text,
-        java_pattern(cat.CONSTRAINT, ignore_case=True),
-        ("not", "never", "avoid", "refus", "prohibit"),
-        _haystack(text, haystack),
-    )
-    return F.transform(found, lambda m: F.substring(strip(m), 1, cat.CONSTRAINT_CHARS))
-
-
-def tag_flags(persona_col: Column, tech: Column, constraint_list: Column) -> Column:
-    return F.struct(
-        persona_col.isNotNull().alias("persona_found"),
-        F.size(tech).alias("tech_stack_count"),
-        F.size(constraint_list).alias("constraint_count"),
+        text, haystack, java_pattern(cat.CONSTRAINT, ignore_case=True), ("not", "never", "avoid", "refus", "prohibit")
     )
+    return F.expr(f"transform({found}, m -> substring({strip_sql('m')}, 1, {cat.CONSTRAINT_CHARS}))")
 
 
-def model_dna(persona_col: Column, tech: Column, constraint_list: Column) -> Column:
-    return F.struct(
-        persona_col.alias("persona"),
-        tech.alias("tech_stack"),
-        constraint_list.alias("constraints"),
-        tag_flags(persona_col, tech, constraint_list).alias("raw_traits"),
+def model_dna(persona_col: str, tech: str, constraint_list: str) -> Column:
+    """Traits of a document, with the flags derived from them."""
+    return F.expr(
+        f"named_struct('persona', {persona_col}, 'tech_stack', {tech}, 'constraints', {constraint_list},"
+        f" 'raw_traits', named_struct('persona_found', {persona_col} IS NOT NULL,"
+        f" 'tech_stack_count', size({tech}), 'constraint_count', size({constraint_list})))"
     )
 
 
-def tags(platform: Column, dna: Column, blocks: Column) -> Column:
+def tags(platform: str, dna: str, blocks: str) -> Column:
     """Sorted set of platform, technologies and trait markers."""
-    markers = F.array_compact(
-        F.array(
-            F.when(F.coalesce(dna["persona"], F.lit("")) != "", F.lit(cat.TAG_PERSONA)),
-            F.when(F.size(dna["constraints"]) > 0, F.lit(cat.TAG_CONSTRAINTS)),
-            F.when(F.size(blocks) > 0, F.lit(cat.TAG_PROMPT)),
-        )
+    return F.expr(
+        f"array_sort(array_distinct(concat(array({platform}), {dna}.tech_stack, array_compact(array("
+        f"CASE WHEN coalesce({dna}.persona, '') <> '' THEN '{cat.TAG_PERSONA}' END,"
+        f"CASE WHEN size({dna}.constraints) > 0 THEN '{cat.TAG_CONSTRAINTS}' END,"
+        f"CASE WHEN size({blocks}) > 0 THEN '{cat.TAG_PROMPT}' END)))))"
     )
-    return F.array_sort(F.array_distinct(F.concat(F.array(platform), dna["tech_stack"], markers)))

@@ -6,11 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import catalogues as cat
-from .extract import unescape_html
+from .extract import HIDDEN, unescape_html_sql
 from .regex import let_sql, sql_literal
 
-# Comments and raw-text elements hold no links.
-_HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>"
 # An anchor tag; a quoted attribute value may hold '>'.
 _ANCHOR = r"""(?i)<a(?=[\s/])(?:[^>"']|"[^"]*+"|'[^']*+')*+>"""
 # href inside an anchor tag: quoted either way or bare.
@@ -18,7 +16,7 @@ _HREF = r"""(?i)^<a(?:[\s/]+(?!href[\s=])[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*+"|'[^']*
 
 
 def anchors(html: str) -> Column:
-    visible = f"regexp_replace({html}, {sql_literal(_HIDDEN)}, '')"
+    visible = f"regexp_replace({html}, {sql_literal(HIDDEN)}, '')"
     return F.expr(
         f"CASE WHEN contains(lower({html}), '<a') THEN"
         f" regexp_extract_all({visible}, {sql_literal(_ANCHOR)}, 0)"
@@ -30,10 +28,8 @@ def hrefs(anchor_tags: str) -> Column:
     """Targets of the anchors that have one, in page order, character references decoded."""
     href = sql_literal(_HREF)
     groups = ", ".join(f"regexp_extract(tag, {href}, {g})" for g in (1, 2, 3))
-    found = F.expr(
-        f"transform(filter({anchor_tags}, tag -> rlike(tag, {href})), tag -> concat({groups}))"
-    )
-    return F.transform(found, unescape_html)
+    target = unescape_html_sql(f"concat({groups})")
+    return F.expr(f"transform(filter({anchor_tags}, tag -> rlike(tag, {href})), tag -> {target})")
 
 
 def _query_value(query: str, name: str) -> str:

@@ -26,22 +26,39 @@ def literal_of(pattern: str) -> str | None:
     return re.sub(r"\\(.)", r"\1", pattern)
 
 
-def strip(text: Column) -> Column:
+def sql_literal(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def let_sql(name: str, value: str, body: str) -> str:
+    """Bind an intermediate value inside one expression, so that it is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+EMPTY_STRINGS = "cast(array() AS array<string>)"
+
+
+def strip_sql(text: str) -> str:
     """Remove Unicode white space at both ends (`trim` only removes blanks)."""
-    return F.regexp_replace(text, f"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
+    return f"regexp_replace({text}, {sql_literal(f'(?U)^[{SPACE}]+|[{SPACE}]+$')}, '')"
+
 
+def strip(text: str) -> Column:
+    return F.expr(strip_sql(text))
 
-def lower_folded(lowered: Column) -> Column:
+
+def lower_folded_sql(text: str) -> str:
     """Lower-cased text in which the two letters that equal ASCII ones when case is ignored
     (long s, dotless i) are spelled in ASCII, so that substring tests can replace
     case-insensitive searches."""
-    return F.replace(F.replace(lowered, F.lit("ſ"), F.lit("s")), F.lit("ı"), F.lit("i"))
+    return f"replace(replace(lower({text}), 'ſ', 's'), 'ı', 'i')"
 
 
-def needle_text(text: Column) -> Column:
+def needle_text(text: str) -> Column:
     """Text in which every case-insensitive ASCII literal of `text` is a plain substring.
     Used only to skip work early: it may find more than the pattern, never less."""
-    return F.replace(lower_folded(F.lower(text)), F.lit("i̇"), F.lit("i"))
+    return F.expr(f"replace({lower_folded_sql(text)}, 'i̇', 'i')")
 
 
 def minimal_needles(needles) -> list[str]:
@@ -50,28 +67,12 @@ def minimal_needles(needles) -> list[str]:
     return [n for n in distinct if not any(o != n and o in n for o in distinct)]
 
 
-def contains_any(haystack: Column, needles) -> Column:
+def contains_any_sql(haystack: str, needles) -> str:
     """Whether one of the literals occurs.  A few are plain substring tests; from five on, one
     regex pass whose look-ahead on the first letters rejects most positions is cheaper."""
     needles = minimal_needles(needles)
     if len(needles) < 5:
-        out = F.contains(haystack, F.lit(needles[0]))
-        for needle in needles[1:]:
-            out = out | F.contains(haystack, F.lit(needle))
-        return out
+        return "(" + " OR ".join(f"contains({haystack}, {sql_literal(n)})" for n in needles) + ")"
     firsts = "".join(sorted({re.escape(n[0]) for n in needles}))
-    return haystack.rlike(f"(?=[{firsts}])(?:{'|'.join(map(re.escape, needles))})")
-
-
-def sql_literal(text: str) -> str:
-    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
-    return f"'{escaped}'"
-
-
-def let_sql(name: str, value: str, body: str) -> str:
-    """Bind an intermediate value inside one expression, so that it is evaluated once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
-def empty_strings() -> Column:
-    return F.array().cast("array<string>")
+    pattern = f"(?=[{firsts}])(?:{'|'.join(map(re.escape, needles))})"
+    return f"rlike({haystack}, {sql_literal(pattern)})"

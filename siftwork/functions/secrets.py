@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import catalogues as cat
 from ..catalogues import SecretRule
-from .regex import contains_any, java_pattern, let_sql, sql_literal
+from .regex import contains_any_sql, java_pattern, let_sql, sql_literal
 from .text import LINE_BREAK, lines_sql, redact_sql, shannon_entropy_sql
 
 # Entropies that equal a threshold up to rounding pass it.
@@ -40,25 +40,28 @@ def _document_level(rule: SecretRule) -> bool:
     return not re.search(r"[\^$]|\(\?[=!<]|\\[bBAZ]", plain)
 
 
-def rule_gate(text: Column, haystack: Column, rule: SecretRule) -> Column:
+def _gate(text: str, haystack: str, rule: SecretRule) -> str:
     """Necessary condition for a rule to match somewhere in the document."""
-    gate = contains_any(haystack, rule.needles) if rule.needles else F.lit(True)
-    return gate & text.rlike(_java(rule)) if _document_level(rule) else gate
+    conditions = []
+    if rule.needles:
+        conditions.append(contains_any_sql(haystack, rule.needles))
+    if _document_level(rule):
+        conditions.append(f"rlike({text}, {sql_literal(_java(rule))})")
+    return "(" + " AND ".join(conditions or ["true"]) + ")"
 
 
-def rule_gates(text: Column, haystack: Column, rules: Sequence[SecretRule] = cat.SECRET_RULES) -> Column:
+def rule_gates(text: str, haystack: str, rules: Sequence[SecretRule] = cat.SECRET_RULES) -> Column:
     """Array of gates, one per rule.  One pass looks for all literals together; most documents
     hold none, and only rules without a literal are tried on them.
 
-    Give the result a name in a projection of its own and hand that to :func:`findings`."""
+    `haystack` is the :func:`~siftwork.functions.regex.needle_text` of the text.  Give the result
+    a name in a projection of its own and hand that to :func:`findings`."""
     needles = [n for rule in rules for n in rule.needles]
-    every = F.array(*[rule_gate(text, haystack, rule) for rule in rules])
+    every = "array(" + ", ".join(_gate(text, haystack, rule) for rule in rules) + ")"
     if not needles:
-        return every
-    bare = F.array(
-        *[F.lit(False) if rule.needles else rule_gate(text, haystack, rule) for rule in rules]
-    )
-    return F.when(contains_any(haystack, needles), every).otherwise(bare)
+        return F.expr(every)
+    bare = "array(" + ", ".join("false" if r.needles else _gate(text, haystack, r) for r in rules) + ")"
+    return F.expr(f"CASE WHEN {contains_any_sql(haystack, needles)} THEN {every} ELSE {bare} END")
 
 
 def _running_totals(chunk: str, first: str) -> str:

@@ -25,38 +25,30 @@ def classify_docs(docs: DataFrame) -> DataFrame:
     """Valid documents with platform, confidence, traits (`model_dna`) and tags.
 
     Shared intermediate texts get projections of their own, so that each is computed once."""
-    raw = F.col("raw_content")
-    hay = F.col("_needles")
+    raw, hay = "raw_content", "_needles"
     texts = valid_docs(docs).withColumns(
-        {
-            "_needles": needle_text(raw),
-            "_lower": F.lower(raw),
-            "_signals": classify.haystack(raw, F.col("url")),
-        }
+        {hay: needle_text(raw), "_lower": F.lower(raw), "_signals": classify.haystack(raw, "url")}
     )
-    verdict = classify.best_platform(classify.platform_scores(F.col("_signals")))
+    scored = texts.withColumn("_scores", classify.platform_scores("_signals"))
     return (
-        once(texts, "_best", verdict)
+        once(scored, "_best", classify.best_platform("_scores"))
         .withColumns(
             {
-                "content_hash": text.content_hash("raw_content"),
+                "content_hash": text.content_hash(raw),
                 "metadata": F.struct(
-                    urls.to_raw_url(F.col("url")).alias("raw_url"),
-                    text.content_length("raw_content").alias("length"),
+                    urls.to_raw_url(F.col("url")).alias("raw_url"), text.content_length(raw).alias("length")
                 ),
                 "system_prompt_blocks": extract.prompt_blocks(raw, hay),
                 "_persona": extract.persona(raw, hay),
-                "_tech": extract.tech_stack(F.col("_lower")),
+                "_tech": extract.tech_stack("_lower"),
                 "_constraints": extract.constraints(raw, hay),
                 "platform": F.col("_best.platform"),
                 "confidence": F.col("_best.confidence"),
             }
         )
-        .withColumn(
-            "model_dna", extract.model_dna(F.col("_persona"), F.col("_tech"), F.col("_constraints"))
-        )
-        .withColumn("tags", extract.tags(F.col("platform"), F.col("model_dna"), F.col("system_prompt_blocks")))
-        .drop("_lower", "_signals", "_persona", "_tech", "_constraints", "_best", "_needles")
+        .withColumn("model_dna", extract.model_dna("_persona", "_tech", "_constraints"))
+        .withColumn("tags", extract.tags("platform", "model_dna", "system_prompt_blocks"))
+        .drop("_lower", "_signals", "_persona", "_tech", "_constraints", "_scores", "_best", hay)
     )
 
 
@@ -67,9 +59,8 @@ def scan_secrets(
     mask_context: bool = True,
 ) -> DataFrame:
     """Rows with `findings` and `has_secrets`; each document is scanned once."""
-    raw = F.col(text_column)
-    gated = docs.withColumn("_needles", needle_text(raw)).withColumn(
-        "_gates", secrets.rule_gates(raw, F.col("_needles"), rules)
+    gated = docs.withColumn("_needles", needle_text(text_column)).withColumn(
+        "_gates", secrets.rule_gates(text_column, "_needles", rules)
     )
     found = once(gated, "findings", secrets.findings(text_column, "_gates", rules, mask_context))
     return found.withColumn("has_secrets", secrets.has_secrets("findings")).drop("_needles", "_gates")
@@ -79,10 +70,9 @@ def mask_secrets(
     docs: DataFrame, rules: Sequence[cat.SecretRule] = cat.SECRET_RULES, text_column: str = "raw_content"
 ) -> DataFrame:
     """Rows whose text has every finding starred out."""
-    raw = F.col(text_column)
     return (
-        docs.withColumn("_needles", needle_text(raw))
-        .withColumn("_gates", secrets.rule_gates(raw, F.col("_needles"), rules))
+        docs.withColumn("_needles", needle_text(text_column))
+        .withColumn("_gates", secrets.rule_gates(text_column, "_needles", rules))
         .withColumn(text_column, secrets.mask_document(text_column, "_gates", rules))
         .drop("_needles", "_gates")
     )

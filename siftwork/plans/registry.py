@@ -57,10 +57,16 @@ def valid_corpus(spark, sf) -> DataFrame:
     return tables.valid_docs(planted.corpus(spark, sf))
 
 
-def files(spark, sf) -> DataFrame:
-    """The corpus as catalogue files: first document per content, enriched."""
+def classified_files(spark, sf) -> DataFrame:
+    """The corpus as catalogue files: first document per content, classified."""
     hashed = valid_corpus(spark, sf).withColumn("content_hash", text.content_hash("raw_content"))
-    return enrich.enrich(dedup.dedup_content(hashed)).withColumn("indexed_at", F.timestamp_seconds("ingest_s"))
+    first = enrich.classify_docs(dedup.dedup_content(hashed))
+    return first.withColumn("indexed_at", F.timestamp_seconds("ingest_s"))
+
+
+def files(spark, sf) -> DataFrame:
+    """The same with findings."""
+    return enrich.scan_secrets(classified_files(spark, sf))
 
 
 def scanned(spark, sf) -> DataFrame:
@@ -73,7 +79,7 @@ def all_urls(spark, sf) -> DataFrame:
 
 
 def with_haystack(spark, sf) -> DataFrame:
-    return valid_corpus(spark, sf).withColumn("_hay", needle_text(F.col("raw_content")))
+    return valid_corpus(spark, sf).withColumn("_hay", needle_text("raw_content"))
 
 
 # ------------------------------------------------------------------ S: sources and sinks
@@ -243,17 +249,17 @@ _FILE = ("seq", "url", "content_hash", "platform", "confidence")
 
 @query
 def by_url(spark, sf):
-    return catalogue.by_url(files(spark, sf), LOOKUP_URL).select(*_FILE)
+    return catalogue.by_url(classified_files(spark, sf), LOOKUP_URL).select(*_FILE)
 
 
 @query
 def by_hash(spark, sf):
-    return catalogue.by_hash(files(spark, sf), LOOKUP_HASH).select(*_FILE)
+    return catalogue.by_hash(classified_files(spark, sf), LOOKUP_HASH).select(*_FILE)
 
 
 @query
 def by_platform(spark, sf):
-    return catalogue.by_platform(files(spark, sf), "crewai").select(*_FILE)
+    return catalogue.by_platform(classified_files(spark, sf), "crewai").select(*_FILE)
 
 
 @query
@@ -287,7 +293,7 @@ def external_only(spark, sf):
 
 def _extract_query(name: str, fn) -> None:
     def run(spark, sf):
-        found = fn(F.col("raw_content"), F.col("_hay"))
+        found = fn("raw_content", "_hay")
         return with_haystack(spark, sf).select("seq", F.size(found).cast("bigint").alias("n"), joined(found).alias("found"))
 
     _QUERIES[name] = run
@@ -304,13 +310,13 @@ _extract_query("constraints", extract.constraints)
 
 @query
 def persona(spark, sf):
-    return with_haystack(spark, sf).select("seq", extract.persona(F.col("raw_content"), F.col("_hay")).alias("persona"))
+    return with_haystack(spark, sf).select("seq", extract.persona("raw_content", "_hay").alias("persona"))
 
 
 @query
 def tech_stack(spark, sf):
     lowered = valid_corpus(spark, sf).select("seq", F.lower("raw_content").alias("_lower"))
-    return lowered.select("seq", joined(extract.tech_stack(F.col("_lower"))).alias("tech_stack"))
+    return lowered.select("seq", joined(extract.tech_stack("_lower")).alias("tech_stack"))
 
 
 @query
@@ -348,8 +354,9 @@ def top_links(spark, sf):
 
 @query
 def platform_scores(spark, sf):
-    hay = valid_corpus(spark, sf).select("seq", classify.haystack(F.col("raw_content"), F.col("url")).alias("_hay"))
-    hits = hay.select("seq", F.inline_outer(classify.hit_scores(classify.platform_scores(F.col("_hay")))))
+    hay = valid_corpus(spark, sf).select("seq", classify.haystack("raw_content", "url").alias("_hay"))
+    scores = hay.select("seq", classify.platform_scores("_hay").alias("_scores"))
+    hits = scores.select("seq", F.inline_outer(classify.hit_scores("_scores")))
     return hits.filter("platform IS NOT NULL").select("seq", "platform", *as_long("score"))
 
 
@@ -525,7 +532,7 @@ def index_reset(spark, sf):
 
 @query
 def page_catalogue(spark, sf):
-    return catalogue.page(files(spark, sf), limit=100, offset=100).select("seq", "url", "ingest_s", "platform")
+    return catalogue.page(classified_files(spark, sf), limit=100, offset=100).select("seq", "url", "ingest_s", "platform")
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -28,11 +29,11 @@ def build_session(app: str = "siftwork", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for written intermediate tables: the one the cluster names, else (local master
-    only) a fresh temporary one."""
+    """A new folder for written intermediate tables, under the one the cluster names in
+    `spark.checkpoint.dir`; without that setting (local master only) a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return f"{named.rstrip('/')}/siftwork-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="siftwork-")

@@ -60,7 +60,7 @@ def valid_docs(docs: DataFrame) -> DataFrame:
 def corpus_scan(docs: DataFrame) -> DataFrame:
     """Document rows with hash, length, canonical address and prompt blocks."""
     return (
-        docs.withColumn("_needles", needle_text(F.col("raw_content")))
+        docs.withColumn("_needles", needle_text("raw_content"))
         .withColumns(
             {
                 "content_hash": F.when(F.col("error").isNull(), text.content_hash("raw_content")).otherwise(""),
@@ -68,7 +68,7 @@ def corpus_scan(docs: DataFrame) -> DataFrame:
                     urls.to_raw_url(F.col("url")).alias("raw_url"),
                     text.content_length("raw_content").alias("length"),
                 ),
-                "system_prompt_blocks": extract.prompt_blocks(F.col("raw_content"), F.col("_needles")),
+                "system_prompt_blocks": extract.prompt_blocks("raw_content", "_needles"),
             }
         )
         .drop("_needles")

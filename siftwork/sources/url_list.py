@@ -11,7 +11,7 @@ from ..functions.regex import strip
 
 def clean_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Distinct stripped lines without blank ones and `#` comments, as `url`."""
-    url = strip(F.col(column))
+    url = strip(column)
     return lines.select(url.alias("url")).filter((F.col("url") != "") & ~F.startswith("url", F.lit("#"))).distinct()
 
 
