@@ -62,33 +62,38 @@ def read_findings(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def decide(docs: DataFrame, files: DataFrame) -> DataFrame:
-    """(seq, outcome) of the documents whose content is not stored yet.
+def decide(docs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Order keys of the documents whose content is not stored yet, and of those among them that
+    must be rejected.
 
-    First document per hash; of those, first per address, and only if the address is free.  All
-    of it runs on (seq, url, hash); joins use keys made unique by a partial aggregation first."""
+    New content is the first document per hash; it is accepted if it is the first with its
+    address and the address is free.  All of it runs on (seq, url, hash); joins use keys made
+    unique by a partial aggregation first, so no value of hash or address can be hot."""
     keys = docs.select("seq", "url", "content_hash")
     first = keys.groupBy("content_hash").agg(F.min(F.struct("seq", "url")).alias("k")).select("content_hash", "k.seq", "k.url")
     unknown = first.join(files.select("content_hash"), "content_hash", "left_anti")
-    free = (
-        unknown.groupBy("url").agg(F.min("seq").alias("seq"))
-        .join(files.select("url"), "url", "left_anti")
-        .select("seq", F.lit(ACCEPTED).alias("outcome"))
-    )
-    return (
-        unknown.select("seq")
-        .join(free, "seq", "left")
-        .select("seq", F.coalesce("outcome", F.lit(REJECTED)).alias("outcome"))
-    )
+    free = unknown.groupBy("url").agg(F.min("seq").alias("seq")).join(files.select("url"), "url", "left_anti")
+    return unknown.select("seq"), unknown.join(free.select("seq"), "seq", "left_anti").select("seq")
 
 
 def upsert(docs: DataFrame, files: DataFrame, rules=cat.SECRET_RULES) -> DataFrame:
     """Enriched new documents with their outcome; known content is dropped before any of the
-    expensive work."""
+    expensive work.
+
+    Both joins keep the documents on the probe side (semi and left outer joins build the other
+    side), so the texts are never broadcast and keep their own partitions if the key sets are
+    small."""
     hashed = valid_docs(docs).select(
         "seq", "url", "raw_content", "error", text.content_hash("raw_content").alias("content_hash")
     )
-    fresh = hashed.join(decide(hashed, files), "seq").drop("content_hash")
+    unknown, rejected = decide(hashed, files)
+    fresh = (
+        hashed.drop("content_hash")
+        .join(unknown, "seq", "left_semi")
+        .join(rejected.withColumn("_outcome", F.lit(REJECTED)), "seq", "left")
+        .withColumn("outcome", F.coalesce("_outcome", F.lit(ACCEPTED)))
+        .drop("_outcome")
+    )
     return enrich(fresh, rules)
 
 

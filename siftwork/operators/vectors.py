@@ -18,7 +18,8 @@ from .. import catalogues as cat
 from ..functions import embedding as em
 from ..functions import text
 from ..sources.tables import read_or_empty
-from .dedup import dedup_content
+from .dedup import first_per_value
+from .enrich import once
 
 _INDEX_SCHEMA = (
     "id string, document string, embedding array<float>, url string, platform string, tags string,"
@@ -32,12 +33,15 @@ Embedder = Callable[[str], Column]
 QUERY_BLOCK = 2048
 
 
-def index_rows(files: DataFrame, embed: Embedder = em.hash_embed) -> DataFrame:
-    """Index rows of enriched files: document, embedding and flat metadata."""
-    return files.withColumn("document", em.build_document("system_prompt_blocks", "raw_content")).select(
+_ROW_COLUMNS = ("id", "document", "embedding", "url", "platform", "tags", "has_secrets")
+
+
+def index_documents(files: DataFrame) -> DataFrame:
+    """Enriched files as bounded documents with flat metadata, ready to be embedded."""
+    return files.select(
+        "seq",
         F.col("content_hash").alias("id"),
-        "document",
-        embed("document").alias("embedding"),
+        em.build_document("system_prompt_blocks", "raw_content").alias("document"),
         "url",
         "platform",
         text.tags_csv("tags").alias("tags"),
@@ -45,6 +49,11 @@ def index_rows(files: DataFrame, embed: Embedder = em.hash_embed) -> DataFrame:
     )
 
 
+def index_rows(files: DataFrame, embed: Embedder = em.hash_embed) -> DataFrame:
+    """Index rows of enriched files."""
+    return once(index_documents(files), "embedding", embed("document")).select(*_ROW_COLUMNS)
+
+
 # ---------------------------------------------------------------------------- collections
 
 
@@ -73,12 +82,16 @@ def index_batch(
 ) -> int:
     """Add files whose hash is not in the collection; returns how many were added.
 
-    Known content is dropped before anything is embedded.  A batch that is run again replaces
-    itself."""
+    Known content is dropped before anything is embedded.  Documents (at most DOCUMENT_CHARS each)
+    are spread by their key first: embedding is the costly step, and files may be uneven; the
+    join on the same key needs no further shuffle.  A batch that is run again replaces itself."""
     live = read_index(spark, root, collection).filter(F.col("batch") != batch)
-    fresh = dedup_content(files.join(live.select(F.col("id").alias("content_hash")), "content_hash", "left_anti"))
+    first = first_per_value(files.select("content_hash", "seq"), "content_hash", "seq")
+    fresh = first.join(live.select(F.col("id").alias("content_hash")), "content_hash", "left_anti")
+    documents = index_documents(files).repartition("seq").join(fresh.select("seq"), "seq", "left_semi")
     target = f"{_folder(root, collection)}/rows/batch={batch}"
-    index_rows(fresh, embed).write.mode("overwrite").parquet(target)
+    rows = once(documents, "embedding", embed("document")).select(*_ROW_COLUMNS)
+    rows.write.mode("overwrite").parquet(target)
     return spark.read.schema(_INDEX_SCHEMA).parquet(target).count()
 
 
