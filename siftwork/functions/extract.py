@@ -74,8 +74,9 @@ def unescape_html_sql(text: str) -> str:
 
 
 def _html_tags_sql(text: str, haystack: str) -> str:
-    bodies = _all(text, haystack, _ELEMENT, tuple(f"<{name}" for name in cat.PROMPT_ELEMENTS), 2)
-    pieces = f"split(regexp_replace(body, {sql_literal(HIDDEN)}, ''), '<[^>]*>', -1)"
+    visible = f"regexp_replace({text}, {sql_literal(HIDDEN)}, '')"
+    bodies = _all(visible, haystack, _ELEMENT, tuple(f"<{name}" for name in cat.PROMPT_ELEMENTS), 2)
+    pieces = "split(body, '<[^>]*>', -1)"
     inner = f"array_join(transform({pieces}, piece -> {strip_sql(unescape_html_sql('piece'))}), '')"
     return f"transform({bodies}, body -> {inner})"
 
