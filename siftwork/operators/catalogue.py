@@ -35,6 +35,13 @@ _FILE_COLUMNS = {
 FILES_SCHEMA = ", ".join(f"{n} {t}" for n, t in _FILE_COLUMNS.items())
 _STORED_SCHEMA = FILES_SCHEMA.replace(", platform string", "") + ", batch int, outcome string, platform string"
 
+# Hashes and addresses have no useful order, so point lookups skip row groups by Bloom filter.
+_POINT_LOOKUPS = {
+    f"parquet.bloom.filter.{setting}#{column}": value
+    for column in ("content_hash", "url")
+    for setting, value in (("enabled", "true"), ("expected.ndv", "100000"))
+}
+
 ACCEPTED, REJECTED = "accepted", "rejected"
 
 
@@ -63,8 +70,8 @@ def read_findings(spark: SparkSession, root: str) -> DataFrame:
 
 
 def decide(docs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Order keys of the documents whose content is not stored yet, and of those among them that
-    must be rejected.
+    """Keys (seq, url) of the documents whose content is not stored yet, and of those among them
+    that must be rejected.
 
     New content is the first document per hash; it is accepted if it is the first with its
     address and the address is free.  All of it runs on (seq, url, hash); joins use keys made
@@ -73,7 +80,7 @@ def decide(docs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = keys.groupBy("content_hash").agg(F.min(F.struct("seq", "url")).alias("k")).select("content_hash", "k.seq", "k.url")
     unknown = first.join(files.select("content_hash"), "content_hash", "left_anti")
     free = unknown.groupBy("url").agg(F.min("seq").alias("seq")).join(files.select("url"), "url", "left_anti")
-    return unknown.select("seq"), unknown.join(free.select("seq"), "seq", "left_anti").select("seq")
+    return unknown.select("seq", "url"), unknown.join(free, ["seq", "url"], "left_anti").select("seq", "url")
 
 
 def upsert(docs: DataFrame, files: DataFrame, rules=cat.SECRET_RULES) -> DataFrame:
@@ -89,8 +96,8 @@ def upsert(docs: DataFrame, files: DataFrame, rules=cat.SECRET_RULES) -> DataFra
     unknown, rejected = decide(hashed, files)
     fresh = (
         hashed.drop("content_hash")
-        .join(unknown, "seq", "left_semi")
-        .join(rejected.withColumn("_outcome", F.lit(REJECTED)), "seq", "left")
+        .join(unknown, ["seq", "url"], "left_semi")
+        .join(rejected.withColumn("_outcome", F.lit(REJECTED)), ["seq", "url"], "left")
         .withColumn("outcome", F.coalesce("_outcome", F.lit(ACCEPTED)))
         .drop("_outcome")
     )
@@ -110,6 +117,7 @@ def save_batch(
         rows.select(*_FILE_COLUMNS, "outcome")
         .hint("rebalance", "outcome", "platform")
         .write.mode("overwrite")
+        .options(**_POINT_LOOKUPS)
         .partitionBy("outcome", "platform")
         .parquet(f"{root}/files/batch={batch}")
     )

@@ -15,9 +15,10 @@ def first_per_value(df: DataFrame, value: str, order_by: str) -> DataFrame:
 
 
 def dedup_content(docs: DataFrame, order_by: str = "seq", value: str = "content_hash") -> DataFrame:
-    """Whole rows, first per content hash.  Only (hash, order key) is shuffled to find them."""
-    winners = first_per_value(docs.select(value, order_by), value, order_by).select(order_by)
-    return docs.join(winners, order_by, "left_semi")
+    """Whole rows, first per content hash.  Only (hash, order key) is shuffled to find them, and
+    the rows are joined on both, which no two rows share."""
+    winners = first_per_value(docs.select(value, order_by), value, order_by)
+    return docs.join(winners, [value, order_by], "left_semi")
 
 
 def dedup_urls(urls: DataFrame, order_by: str, value: str = "url") -> DataFrame:
@@ -40,9 +41,10 @@ def union_sources(*sources: DataFrame, order_by: str = "pos", value: str = "url"
 
 
 def new_urls(candidates: DataFrame, inventory: DataFrame, order_by: str, value: str = "url") -> DataFrame:
-    """Distinct candidates that the inventory lacks, order kept."""
+    """Distinct candidates that the inventory lacks, order kept.  Both sides are reduced to
+    distinct addresses per task before they are shuffled."""
     return (
         first_per_value(candidates, value, order_by)
-        .join(inventory.select(value), value, "left_anti")
+        .join(inventory.select(value).distinct(), value, "left_anti")
         .orderBy(order_by)
     )

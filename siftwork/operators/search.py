@@ -245,4 +245,5 @@ def coverage_grid(inventory: DataFrame, url: str = "url") -> DataFrame:
     grid = bases.select("repo_base", F.posexplode(names).alias("pos", "filename")).withColumn(
         "url", F.concat_ws("/", "repo_base", "filename")
     )
-    return grid.join(inventory.select(F.col(url).alias("url")), "url", "left_anti").orderBy("repo_base", "pos")
+    known = inventory.select(F.col(url).alias("url")).distinct()
+    return grid.join(known, "url", "left_anti").orderBy("repo_base", "pos")

@@ -83,12 +83,13 @@ def index_batch(
     """Add files whose hash is not in the collection; returns how many were added.
 
     Known content is dropped before anything is embedded.  Documents (at most DOCUMENT_CHARS each)
-    are spread by their key first: embedding is the costly step, and files may be uneven; the
-    join on the same key needs no further shuffle.  A batch that is run again replaces itself."""
+    are spread by (hash, key) first: embedding is the costly step, and files may be uneven; the
+    join on the same pair needs no further shuffle.  A batch that is run again replaces itself."""
     live = read_index(spark, root, collection).filter(F.col("batch") != batch)
     first = first_per_value(files.select("content_hash", "seq"), "content_hash", "seq")
     fresh = first.join(live.select(F.col("id").alias("content_hash")), "content_hash", "left_anti")
-    documents = index_documents(files).repartition("seq").join(fresh.select("seq"), "seq", "left_semi")
+    keys = fresh.select(F.col("content_hash").alias("id"), "seq")
+    documents = index_documents(files).repartition("id", "seq").join(keys, ["id", "seq"], "left_semi")
     target = f"{_folder(root, collection)}/rows/batch={batch}"
     rows = once(documents, "embedding", embed("document")).select(*_ROW_COLUMNS)
     rows.write.mode("overwrite").parquet(target)
