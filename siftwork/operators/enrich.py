@@ -22,7 +22,12 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def classify_docs(docs: DataFrame) -> DataFrame:
-    """Valid documents with platform, confidence, traits (`model_dna`) and tags.
+    """Valid documents with platform, confidence, traits (`model_dna`) and tags."""
+    return _classified(docs).drop("_needles")
+
+
+def _classified(docs: DataFrame) -> DataFrame:
+    """The same with the text for literal tests (`_needles`) still in place.
 
     Shared intermediate texts get projections of their own, so that each is computed once."""
     raw, hay = "raw_content", "_needles"
@@ -48,7 +53,7 @@ def classify_docs(docs: DataFrame) -> DataFrame:
         )
         .withColumn("model_dna", extract.model_dna("_persona", "_tech", "_constraints"))
         .withColumn("tags", extract.tags("platform", "model_dna", "system_prompt_blocks"))
-        .drop("_lower", "_signals", "_persona", "_tech", "_constraints", "_scores", "_best", hay)
+        .drop("_lower", "_signals", "_persona", "_tech", "_constraints", "_scores", "_best")
     )
 
 
@@ -59,9 +64,11 @@ def scan_secrets(
     mask_context: bool = True,
 ) -> DataFrame:
     """Rows with `findings` and `has_secrets`; each document is scanned once."""
-    gated = docs.withColumn("_needles", needle_text(text_column)).withColumn(
-        "_gates", secrets.rule_gates(text_column, "_needles", rules)
-    )
+    return _scanned(docs.withColumn("_needles", needle_text(text_column)), rules, text_column, mask_context)
+
+
+def _scanned(needled: DataFrame, rules: Sequence[cat.SecretRule], text_column: str, mask_context: bool) -> DataFrame:
+    gated = needled.withColumn("_gates", secrets.rule_gates(text_column, "_needles", rules))
     found = once(gated, "findings", secrets.findings(text_column, "_gates", rules, mask_context))
     return found.withColumn("has_secrets", secrets.has_secrets("findings")).drop("_needles", "_gates")
 
@@ -79,7 +86,8 @@ def mask_secrets(
 
 
 def enrich(docs: DataFrame, rules: Sequence[cat.SecretRule] = cat.SECRET_RULES) -> DataFrame:
-    return scan_secrets(classify_docs(docs), rules)
+    """Classification and secret scan of the valid documents."""
+    return _scanned(_classified(docs), rules, "raw_content", True)
 
 
 def explode_findings(docs: DataFrame, *keys: str) -> DataFrame:

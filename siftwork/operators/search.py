@@ -32,6 +32,10 @@ class Predicate:
     host_suffix: str | None = None
     mention: str | None = None
 
+    @property
+    def description(self) -> str:
+        return f"{self.kind}: " + " + ".join(part for part in (self.basename, self.needle, self.path) if part)
+
 
 def _filetypes(extensions: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"filetype:{e}" for e in extensions) + ")"
@@ -126,13 +130,13 @@ def predicates(source: str = "all") -> list[tuple[str, Predicate]]:
 def predicate_table(spark: SparkSession, source: str = "all") -> DataFrame:
     """The selection as a small table."""
     rows = [
-        (i, name, p.query, p.kind, list(p.tags), p.basename, p.needle, p.path, list(p.extensions), p.host,
+        (i, name, p.query, p.kind, p.description, list(p.tags), p.basename, p.needle, p.path, list(p.extensions), p.host,
          p.host_suffix, p.mention)
         for i, (name, p) in enumerate(predicates(source))
     ]
     return spark.createDataFrame(
         rows,
-        "query_no int, source string, query string, kind string, tags array<string>, basename string,"
+        "query_no int, source string, query string, kind string, description string, tags array<string>, basename string,"
         " needle string, path string, extensions array<string>, host string, host_suffix string, mention string",
     )
 

@@ -440,6 +440,7 @@ def oracles() -> dict[str, str]:
         "page_catalogue": w(CORPUS, SCORES) + "SELECT seq, url, ingest_s, platform FROM first_docs JOIN best USING (seq) ORDER BY ingest_s DESC, seq DESC LIMIT 100 OFFSET 100",
         "findings_of_file": w(CORPUS, FINDINGS) + "SELECT url, content_hash, rule_name, line_number, redacted FROM first_docs JOIN findings USING (seq)",
         "inventory_delta": w(CORPUS, RECRAWL) + "SELECT min(seq) AS seq, url FROM recrawl WHERE url NOT IN (SELECT url FROM corpus) GROUP BY url",
+        "inventory_refresh": w(PAGES, PAYLOADS, "u AS (SELECT url FROM kept UNION SELECT url FROM github_urls)") + "SELECT url FROM u WHERE url NOT IN (SELECT url FROM pages) UNION ALL SELECT 'stored ' || url FROM (SELECT url FROM u UNION SELECT url FROM pages)",
         "inventory_merge": w(CORPUS, RECRAWL) + "SELECT url FROM corpus UNION SELECT url FROM recrawl",
         "run_summary": w(CORPUS, SCORES, TRAITS, FINDINGS) + "SELECT t.platform, count(*) AS n_files, CAST(sum(copies) AS BIGINT) AS n_documents, round(avg(confidence), 6) AS mean_confidence, count(*) FILTER (n_findings > 0) AS n_with_secrets, CAST(sum(n_findings) AS BIGINT) AS n_findings, CAST(sum(len(block_list)) AS BIGINT) AS n_blocks FROM tagged t JOIN first_docs USING (seq) JOIN counted USING (seq) JOIN (SELECT content_hash AS h, count(*) AS copies FROM valid GROUP BY ALL) ON h = t.content_hash GROUP BY ALL",
         "skip_report": docs + "SELECT CASE WHEN error IS NOT NULL THEN error WHEN raw_content = '' THEN 'empty' ELSE 'ok' END AS status, count(*) AS n FROM corpus GROUP BY ALL",
@@ -462,7 +463,7 @@ def oracles() -> dict[str, str]:
         "search_filetype": _search("open-web", "content"),
         "search_host": _search("s3"),
         "search_host_code": _search("code-host"),
-        "predicate_catalogue": w(CORPUS, SEARCH, _preds("every")) + "SELECT CAST(p.query_no AS BIGINT) AS query_no, p.source, p.query, p.kind, p.tags, count(h.seq) AS n_hits FROM preds p LEFT JOIN phits h USING (query_no) GROUP BY ALL",
+        "predicate_catalogue": w(CORPUS, SEARCH, _preds("every")) + "SELECT CAST(p.query_no AS BIGINT) AS query_no, p.source, p.query, p.kind, p.kind || ': ' || concat_ws(' + ', p.basename, p.needle, p.part) AS description, p.tags, count(h.seq) AS n_hits FROM preds p LEFT JOIN phits h USING (query_no) GROUP BY ALL",
         "search_all": w(CORPUS, SEARCH, _preds("all")) + "SELECT url, CAST(query_no AS BIGINT) AS query_no, rank, query FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY seq) AS rank FROM phits) WHERE rank <= 10 QUALIFY row_number() OVER (PARTITION BY url ORDER BY query_no, rank) = 1",
         "coverage_grid": w(URLS, f"names AS (SELECT unnest({strlist(cat.TARGET_FILENAMES)}) AS filename, unnest(range({len(cat.TARGET_FILENAMES)})) AS pos)") + f"SELECT repo_base, pos, filename, repo_base || '/' || filename AS url FROM (SELECT DISTINCT coalesce({_BASE_GITHUB}, {_BASE_GITLAB}) AS repo_base FROM parts), names WHERE repo_base IS NOT NULL AND repo_base || '/' || filename NOT IN (SELECT url FROM urls)",
         "mask_auth_headers": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Accept=' || event_type || ';Authorization=token [REDACTED]' WHEN 1 THEN 'X-Kind=' || event_type || ';authorization=[REDACTED]' ELSE 'Accept=' || event_type END AS headers FROM events",

@@ -16,7 +16,7 @@ from ..operators import catalogue, dedup, enrich, harvest, search, vectors
 from ..session import shared_folder
 from ..sources import payloads, tables, url_list
 from ..streaming.ingest import ingest_stream
-from . import ingest, planted
+from . import ingest, inventory, planted
 
 AS_OF = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SEP = " | "
@@ -547,6 +547,19 @@ def inventory_delta(spark, sf):
     return dedup.new_urls(planted.recrawl(spark, sf).select("url", "seq"), inventory, "seq").select("seq", "url")
 
 
+@query
+def inventory_refresh(spark, sf):
+    """Harvested links and payload addresses that the page inventory lacks, after writing it back."""
+    path = f"{shared_folder(spark)}/inventory"
+    pages = tables.read_table(spark, sf, "pages", ["url"])
+    url_list.update_urls(pages.limit(0), pages, path, version=1)
+    links_found = harvest.harvest_links(planted.linked_pages(spark, sf)).selectExpr("page_id * 1000 + pos AS pos", "url")
+    bodies = planted.payloads(spark, sf).select("page_id", "github_body")
+    from_search = payloads.github_payload_urls(bodies, "github_body").selectExpr("page_id * 1000 + pos AS pos", "url")
+    added = inventory.refresh(spark, path, 2, links_found, from_search)
+    return added.select("url").unionByName(url_list.load_urls(spark, path).select(F.concat(F.lit("stored "), "url").alias("url")))
+
+
 @query
 def inventory_merge(spark, sf):
     return url_list.merge_urls(planted.corpus(spark, sf), planted.recrawl(spark, sf))
@@ -621,7 +634,7 @@ def semantic_search_filtered(spark, sf):
 
 
 def _vectors(spark, sf) -> DataFrame:
-    return tables.read_table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
+    return tables.read_table(spark, sf, "embeddings", key="vec_id").withColumnRenamed("vec_id", "id")
 
 
 @query
@@ -673,7 +686,7 @@ def predicate_catalogue(spark, sf):
     """All predicates with the number of documents that satisfy them."""
     hits = search.search(planted.search_corpus(spark, sf), "every").groupBy("query_no").agg(F.count("*").alias("n"))
     return search.predicate_table(spark, "every").join(hits, "query_no", "left").select(
-        *as_long("query_no"), "source", "query", "kind", F.array_join("tags", ",").alias("tags"),
+        *as_long("query_no"), "source", "query", "kind", "description", F.array_join("tags", ",").alias("tags"),
         F.coalesce("n", F.lit(0)).alias("n_hits"),
     )
 
