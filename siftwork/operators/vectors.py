@@ -164,35 +164,36 @@ def knn(vectors: DataFrame, query: DataFrame, n: int = cat.DEFAULT_TOP_K, where:
     return found.drop("_query").withColumn("distance", F.round("_exact", 4)).drop("_exact")
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(norms > 0, norms, 1.0)
-
+def _block_top(query_ids: np.ndarray, queries: np.ndarray, n: int):
+    """Per task: distances of its rows to a block of queries, best n per query.
 
-def _best(ids: np.ndarray, distance: np.ndarray, n: int):
-    """Smallest n by (distance, id)."""
-    if len(ids) > n:
-        near = distance <= np.partition(distance, n - 1)[n - 1]
-        ids, distance = ids[near], distance[near]
-    order = np.lexsort((ids, distance))[:n]
-    return ids[order], distance[order]
+    Helpers are nested, so executors do not have to import this package."""
 
+    def unit(matrix: np.ndarray) -> np.ndarray:
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        return matrix / np.where(norms > 0, norms, 1.0)
 
-def _block_top(query_ids: np.ndarray, queries: np.ndarray, n: int):
-    """Per task: distances of its rows to a block of queries, best n per query."""
+    def smallest(ids: np.ndarray, distance: np.ndarray):
+        """First n by (distance, id)."""
+        if len(ids) > n:
+            near = distance <= np.partition(distance, n - 1)[n - 1]
+            ids, distance = ids[near], distance[near]
+        order = np.lexsort((ids, distance))[:n]
+        return ids[order], distance[order]
 
     def run(batches):
+        columns = unit(queries).T
         best: list = [None] * len(query_ids)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             ids = pdf["id"].to_numpy()
-            rows = _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
-            distance = np.round(1.0 - rows @ queries.T, 9)
+            rows = unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
+            distance = np.round(1.0 - rows @ columns, 9)
             for j in range(len(query_ids)):
-                near = _best(ids, distance[:, j], n)
+                near = smallest(ids, distance[:, j])
                 if best[j] is not None:
-                    near = _best(*(np.concatenate(pair) for pair in zip(best[j], near)), n)
+                    near = smallest(*(np.concatenate(pair) for pair in zip(best[j], near)))
                 best[j] = near
         for query_id, near in zip(query_ids, best):
             if near is not None:
@@ -214,7 +215,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, n: int = cat.DEFAULT_TOP_K
         part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "embedding").toPandas()
         if part.empty:
             continue
-        matrix = _unit(np.stack(part["embedding"].to_numpy()).astype(np.float64))
+        matrix = np.stack(part["embedding"].to_numpy()).astype(np.float64)
         hits = vectors.select("id", "embedding").mapInPandas(
             _block_top(part["id"].to_numpy(), matrix, n), f"query_id {id_type}, id {id_type}, distance double"
         )

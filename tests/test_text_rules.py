@@ -204,6 +204,7 @@ def embed(t):
 def test_embedding(docs):
     assert everywhere(docs, embedding.tokenize("raw_content")) == [re.findall(r"\b\w+\b", t.lower()) for t in TEXTS]
     got = np.array(everywhere(docs, embedding.hash_embed("raw_content")))
+    assert np.array_equal(got, everywhere(docs, embedding.hash_embed_expr("raw_content")))
     assert np.allclose(got, [embed(t) for t in TEXTS], atol=1e-6)
     norms = np.linalg.norm(got, axis=1)
     assert np.allclose(norms[norms > 0], 1.0, atol=1e-5) and norms[0] == 0
