@@ -9,10 +9,11 @@ from .. import catalogues as cat
 from .extract import HIDDEN, unescape_html_sql
 from .regex import let_sql, sql_literal
 
-# An anchor tag; a quoted attribute value may hold '>'.
-_ANCHOR = r"""(?i)<a(?=[\s/])(?:[^>"']|"[^"]*+"|'[^']*+')*+>"""
+# An anchor tag; a quoted attribute value may hold '>'.  The number of steps is bounded, because
+# Java keeps a stack frame for each; longer tags are cut at their first '>'.
+_ANCHOR = r"""(?i)<a(?=[\s/])(?:(?:[^>"']++|"[^"]*+"|'[^']*+'){0,400}+>|[^>]*+>)"""
 # href inside an anchor tag: quoted either way or bare.
-_HREF = r"""(?i)^<a(?:[\s/]+(?!href[\s=])[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s>"']+))?)*+[\s/]+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+_HREF = r"""(?i)^<a(?:[\s/]++(?!href[\s=])[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?){0,400}+[\s/]++href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 
 
 def anchors(html: str) -> Column:

@@ -389,7 +389,7 @@ def oracles() -> dict[str, str]:
         "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
         "content_length": "SELECT doc_id, CAST(length(text) AS BIGINT) AS length FROM documents",
         "redact": "SELECT doc_id, " + ", ".join(f"CASE WHEN length({c}) <= 8 THEN '****' ELSE left({c}, 4) || '****' || right({c}, 4) END AS redacted_{c}" for c in ("text", "source")) + " FROM documents",
-        "shannon_entropy": f"SELECT doc_id, round({_entropy('text')}, 9) AS entropy FROM documents",
+        "shannon_entropy": f"SELECT doc_id, round({_entropy('text')}, 6) AS entropy FROM documents",
         "excerpt": f"SELECT doc_id, substr(text, 1, {cat.EXCERPT_CHARS}) AS excerpt FROM documents",
         "tags_csv": tagged + f"SELECT seq, {_join('tags', chr(39) + ',' + chr(39))} AS tags FROM tagged",
         "tag_flags": tagged + "SELECT seq, persona IS NOT NULL AS persona_found, CAST(len(tech) AS BIGINT) AS tech_stack_count, CAST(len(constraint_list) AS BIGINT) AS constraint_count FROM tagged",
@@ -419,7 +419,7 @@ def oracles() -> dict[str, str]:
         "platform_scores": w(CORPUS, SCORES) + "SELECT seq, platform, CAST(score AS BIGINT) AS score FROM scores WHERE score > 0",
         "platform": w(CORPUS, SCORES) + "SELECT seq, platform FROM best",
         "confidence": w(CORPUS, SCORES) + "SELECT seq, platform, confidence FROM best",
-        "classify_documents": tagged + f"SELECT seq, url, content_hash, platform, confidence, {_join('tags', chr(39) + ',' + chr(39))} AS tags, CAST(len(block_list) AS BIGINT) AS n_blocks FROM tagged",
+        "classify": tagged + f"SELECT seq, url, content_hash, platform, confidence, {_join('tags', chr(39) + ',' + chr(39))} AS tags, CAST(len(block_list) AS BIGINT) AS n_blocks FROM tagged",
         "lines": w(_lines("documents", "doc_id", "text")) + "SELECT doc_id, line_number, line FROM all_lines",
         "secret_findings": w(CORPUS, FINDINGS) + f"SELECT {_FINDING_COLUMNS} FROM findings",
         "secret_findings_raw_tables": w("texts AS (SELECT doc_id AS seq, text FROM documents UNION ALL SELECT 3000000000 + page_id, html FROM pages UNION ALL SELECT 2000000000 + conv_id * 1000 + turn, text FROM conversations)", _findings(cat.SECRET_RULES, "texts", "text")) + f"SELECT {_FINDING_COLUMNS} FROM findings",

@@ -217,7 +217,7 @@ def redact(spark, sf):
 
 @query
 def shannon_entropy(spark, sf):
-    return _documents(spark, sf).select("doc_id", F.round(text.shannon_entropy("text"), 9).alias("entropy"))
+    return _documents(spark, sf).select("doc_id", F.round(text.shannon_entropy("text"), 6).alias("entropy"))
 
 
 @query
@@ -378,6 +378,10 @@ def classify_documents(spark, sf):
     )
 
 
+# The short name is taken by the module above.
+_QUERIES["classify"] = _QUERIES.pop("classify_documents")
+
+
 # ------------------------------------------------------------------------- X: secrets
 
 
