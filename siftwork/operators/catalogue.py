@@ -42,6 +42,9 @@ _POINT_LOOKUPS = {
     for setting, value in (("enabled", "true"), ("expected.ndv", "100000"))
 }
 
+#: Up to this many keys (about 100 bytes each) a batch is broadcast to the scan of the stored keys.
+FEW_KEYS = 250_000
+
 ACCEPTED, REJECTED = "accepted", "rejected"
 
 
@@ -69,31 +72,52 @@ def read_findings(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def decide(docs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def first_keys(docs: DataFrame) -> DataFrame:
+    """(content_hash, seq, url) of the first document per hash: a partial aggregation, so a hash
+    that holds a third of all rows is one row per task."""
+    keys = docs.select("content_hash", F.struct("seq", "url").alias("k"))
+    return keys.groupBy("content_hash").agg(F.min("k").alias("k")).select("content_hash", "k.seq", "k.url")
+
+
+def _absent(new: DataFrame, stored: DataFrame, key: str, few: bool) -> DataFrame:
+    """Rows of `new` whose key is not stored (the key is unique in `new`).
+
+    A few new keys are sent to the scan of the stored ones, which then shuffles only what it
+    holds of them; otherwise both sides are shuffled on the key."""
+    if few:
+        stored = stored.join(F.broadcast(new.select(key)), key, "left_semi")
+    return new.join(stored.select(key), key, "left_anti")
+
+
+def decide(first: DataFrame, files: DataFrame, few: bool = False) -> tuple[DataFrame, DataFrame]:
     """Keys (seq, url) of the documents whose content is not stored yet, and of those among them
     that must be rejected.
 
-    New content is the first document per hash; it is accepted if it is the first with its
-    address and the address is free.  All of it runs on (seq, url, hash); joins use keys made
-    unique by a partial aggregation first, so no value of hash or address can be hot."""
-    keys = docs.select("seq", "url", "content_hash")
-    first = keys.groupBy("content_hash").agg(F.min(F.struct("seq", "url")).alias("k")).select("content_hash", "k.seq", "k.url")
-    unknown = first.join(files.select("content_hash"), "content_hash", "left_anti")
-    free = unknown.groupBy("url").agg(F.min("seq").alias("seq")).join(files.select("url"), "url", "left_anti")
+    New content is accepted if it is the first with its address and the address is free.  All of
+    it runs on (hash, seq, url)."""
+    unknown = _absent(first, files.select("content_hash"), "content_hash", few)
+    per_url = unknown.groupBy("url").agg(F.min("seq").alias("seq"))
+    free = _absent(per_url, files.select("url"), "url", few)
     return unknown.select("seq", "url"), unknown.join(free, ["seq", "url"], "left_anti").select("seq", "url")
 
 
-def upsert(docs: DataFrame, files: DataFrame, rules=cat.SECRET_RULES) -> DataFrame:
+def upsert(docs: DataFrame, files: DataFrame, rules=cat.SECRET_RULES, keys_folder: str | None = None) -> DataFrame:
     """Enriched new documents with their outcome; known content is dropped before any of the
     expensive work.
 
-    Both joins keep the documents on the probe side (semi and left outer joins build the other
-    side), so the texts are never broadcast and keep their own partitions if the key sets are
-    small."""
+    With `keys_folder` the keys of the batch are written there first: texts are hashed once, and
+    the number of keys is known before they are compared with the stored ones.  The joins with the
+    texts keep them on the probe side (semi and left outer joins build the other side), so the
+    texts are never broadcast and keep their own partitions if the key sets are small."""
     hashed = valid_docs(docs).select(
         "seq", "url", "raw_content", "error", text.content_hash("raw_content").alias("content_hash")
     )
-    unknown, rejected = decide(hashed, files)
+    first, few = first_keys(hashed), False
+    if keys_folder:
+        first.write.mode("overwrite").parquet(keys_folder)
+        first = docs.sparkSession.read.schema("content_hash string, seq bigint, url string").parquet(keys_folder)
+        few = first.count() <= FEW_KEYS
+    unknown, rejected = decide(first, files, few)
     fresh = (
         hashed.drop("content_hash")
         .join(unknown, ["seq", "url"], "left_semi")
@@ -112,7 +136,8 @@ def save_batch(
     `rebalance` cuts the output into files of even size per platform, however many rows the most
     frequent platform has.  Running the same batch again gives the same directory."""
     others = read_files(spark, root).filter(F.col("batch") != batch)
-    rows = upsert(docs, others, rules).withColumn("indexed_at", F.lit(as_of).cast("timestamp"))
+    keys_folder = f"{root}/keys/batch={batch}"
+    rows = upsert(docs, others, rules, keys_folder).withColumn("indexed_at", F.lit(as_of).cast("timestamp"))
     (
         rows.select(*_FILE_COLUMNS, "outcome")
         .hint("rebalance", "outcome", "platform")

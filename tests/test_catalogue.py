@@ -40,7 +40,9 @@ def stored(spark, root, **kw):
     return {r.url: r for r in catalogue.read_files(spark, root, **kw).collect()}
 
 
-def test_save_skips_known_content_and_rejects_taken_addresses(spark, folder):
+@pytest.mark.parametrize("few", [250_000, 0])
+def test_save_skips_known_content_and_rejects_taken_addresses(spark, folder, monkeypatch, few):
+    monkeypatch.setattr(catalogue, "FEW_KEYS", few)
     catalogue.save_batch(spark, frame(spark, FIRST), folder, 1, AS_OF)
     assert set(stored(spark, folder)) == {"https://a/CLAUDE.md", "https://a/2", "https://a/6"}
     catalogue.save_batch(spark, frame(spark, SECOND), folder, 2, AS_OF)
