@@ -1,0 +1 @@
+"""Document intelligence as Spark DataFrame operations."""

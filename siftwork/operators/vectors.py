@@ -202,19 +202,29 @@ def _block_top(query_ids: np.ndarray, queries: np.ndarray, n: int):
     return run
 
 
+def _query_blocks(queries: DataFrame):
+    """Queries in blocks of about QUERY_BLOCK; a set that fits in one is computed once."""
+    first = queries.limit(QUERY_BLOCK + 1).toPandas()
+    if len(first) <= QUERY_BLOCK:
+        if len(first):
+            yield first
+        return
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    for block in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas()
+        if len(part):
+            yield part
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, n: int = cat.DEFAULT_TOP_K) -> DataFrame:
     """Nearest rows of (id, embedding) for many queries (id, embedding), exact.
 
     Queries go to the tasks in blocks of at most about QUERY_BLOCK vectors; each block is one pass
     over the table.  A task multiplies its rows with the block and emits at most n rows per query,
     so pairs are never materialised and only candidates are shuffled."""
-    blocks = -(-queries.count() // QUERY_BLOCK)
     id_type = vectors.schema["id"].dataType.simpleString()
     found = None
-    for block in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "embedding").toPandas()
-        if part.empty:
-            continue
+    for part in _query_blocks(queries.select("id", "embedding")):
         matrix = np.stack(part["embedding"].to_numpy()).astype(np.float64)
         hits = vectors.select("id", "embedding").mapInPandas(
             _block_top(part["id"].to_numpy(), matrix, n), f"query_id {id_type}, id {id_type}, distance double"

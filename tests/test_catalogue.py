@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftwork import catalogues as cat
 from siftwork.operators import catalogue, dedup, vectors
 from siftwork.plans import ingest
+from siftwork.sources import tables
 from siftwork.streaming.ingest import ingest_stream
 
 from .texts import GITHUB, OPENAI
@@ -140,6 +141,18 @@ def test_stream_in_several_micro_batches(spark, folder):
     assert {r.batch for r in catalogue.read_files(spark, folder).select("batch").distinct().collect()} == {1, 2}
 
 
+def test_text_files_as_a_corpus(spark, tmp_path):
+    folder = tmp_path / "texts"
+    folder.mkdir()
+    (folder / "CLAUDE.md").write_text("You are Claude.\nsecond line", encoding="utf-8")
+    (folder / "b.txt").write_text("plain", encoding="utf-8")
+    docs = tables.read_text_corpus(spark, str(folder))
+    rows = {r.url.split("/")[-1]: r for r in tables.corpus_scan(docs).collect()}
+    assert rows["CLAUDE.md"].metadata.length == 27 and rows["CLAUDE.md"].system_prompt_blocks
+    catalogue.save_batch(spark, docs, str(tmp_path / "root"), 1, AS_OF)
+    assert {r.platform for r in catalogue.read_files(spark, str(tmp_path / "root")).collect()} == {"claude", "unknown"}
+
+
 def test_missing_catalogue_is_empty(spark, folder):
     assert catalogue.read_files(spark, folder).count() == 0
     assert catalogue.read_findings(spark, folder).count() == 0
