@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from .. import catalogues as cat
 from ..functions import urls
 from ..functions.regex import sql_literal
-from .dedup import first_per_value
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,6 @@ The same text is built in SQL by :mod:`siftwork.plans.oracle`.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.regex import sql_literal
 from ..sources.tables import read_table
