@@ -3,17 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sketches
+from . import language, quality, sketches, warc
 from .common import table
 
 
+def op3_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return chunks.filter("last").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", (F.col("chunk") + 1).alias("chunks"), "intact"
+    )
+
+
 def op10_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compare_with_next(table(spark, sf_dir, "documents"))
 
 
 def registered() -> dict:
     return {
+        "op3_boosted_trees": op3_boosted_trees,
+        "op6_word_backoff": op6_word_backoff,
+        "op9_warc_chunks": op9_warc_chunks,
         "op10_threshold_sketch": op10_threshold_sketch,
     }
 
