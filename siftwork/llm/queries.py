@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, sketches, warc
+from . import language, mixing, packing, quality, sketches, warc
 from .common import table
 
 
+def op2_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def op6_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -30,7 +38,9 @@ def op10_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict:
     return {
+        "op2_weighted_mix": op2_weighted_mix,
         "op3_boosted_trees": op3_boosted_trees,
+        "op4_vector_best_fit": op4_vector_best_fit,
         "op6_word_backoff": op6_word_backoff,
         "op9_warc_chunks": op9_warc_chunks,
         "op10_threshold_sketch": op10_threshold_sketch,
