@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality, sketches, warc
+from . import language, mixing, outliers, packing, quality, sketches, warc
 from .common import table
 
 
+def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op2_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict:
     return {
+        "op1_robust_outliers": op1_robust_outliers,
         "op2_weighted_mix": op2_weighted_mix,
         "op3_boosted_trees": op3_boosted_trees,
         "op4_vector_best_fit": op4_vector_best_fit,
