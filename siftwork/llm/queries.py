@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, outliers, packing, quality, sketches, warc
+from . import language, mixing, outliers, packing, pii, quality, sketches, warc
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op4_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.with_surrogates(docs).withColumn("n_chars", F.length("text"))
+
+
 def op6_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def registered() -> dict:
         "op2_weighted_mix": op2_weighted_mix,
         "op3_boosted_trees": op3_boosted_trees,
         "op4_vector_best_fit": op4_vector_best_fit,
+        "op5_surrogates": op5_surrogates,
         "op6_word_backoff": op6_word_backoff,
         "op9_warc_chunks": op9_warc_chunks,
         "op10_threshold_sketch": op10_threshold_sketch,
