@@ -38,8 +38,8 @@ _ISSUER = re.compile(r"4|5[1-5]|2(?:2[2-9]|[3-6]|7[01])|3[47]|6(?:011|5)")
 _SSN = re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")
 _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)")
 _PHONE = re.compile(
-    r"(?<![\d+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}"
-    r"|\(\d{3}\) ?\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)"
+    r"(?<![\d+])(?:(?:\+1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}|\+1[ .\-]?\d{3} \d{3} \d{4}"
+    r"|\+(?!1[ .\-(])\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4})(?!\d)"
 )
 _COUNTRY = re.compile(r"\+\d{1,3}(?=[ .\-(])")
 _SECRET = re.compile(
@@ -55,7 +55,8 @@ _TITLES = {
 }
 _GENDER = {t: g for g, titles in _TITLES.items() for t in titles}
 _WORD = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
-_NAME = re.compile(rf"\b({'|'.join(sorted(_GENDER, key=len, reverse=True))})\b\.? ({_WORD}(?: {_WORD}){{0,2}})")
+_TITLE = re.compile(rf"\b({'|'.join(sorted(_GENDER, key=len, reverse=True))})\b\.?(?= )")
+_NAME = re.compile(f" ({_WORD})")
 _ANY = re.compile(rf"[@0-9]|\b(?:{'|'.join(_GENDER)})\b|(?i:secret|token|passw|pwd|key)")
 
 #: Letters of a script, lower case, by a code point range.
@@ -80,7 +81,7 @@ Span = tuple[int, int, str, str]  # begin, end, kind (with gender for given name
 
 
 def _luhn(digits: str) -> int:
-    return sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10
+    return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10
 
 
 def _digits(text: str) -> str:
@@ -99,16 +100,16 @@ def _emails(text: str) -> Iterator[Span]:
 
 
 def _names(text: str) -> Iterator[Span]:
-    for m in _NAME.finditer(text):
-        words = []
-        for w in re.finditer(_WORD, m[2]):
-            if not w[0][0].isupper():
-                break
-            words.append(w)
-        for k, w in enumerate(words):
-            family = k == len(words) - 1
-            kind = "family" if family else f"given:{_GENDER[m[1]]}"
-            yield m.start(2) + w.start(), m.start(2) + w.end(), kind, w[0].casefold()
+    """Up to three capitalised words behind a title: given names and, last, the family name."""
+    for title in _TITLE.finditer(text):
+        words: list[re.Match] = []
+        at = title.end()
+        while len(words) < 3 and (word := _NAME.match(text, at)) and word[1][0].isupper() and word[1] not in _GENDER:
+            words.append(word)
+            at = word.end()
+        for k, word in enumerate(words):
+            kind = "family" if k == len(words) - 1 else f"given:{_GENDER[title[1]]}"
+            yield word.start(1), word.end(), kind, word[1].casefold()
 
 
 def find(text: str | None) -> list[Span]:
