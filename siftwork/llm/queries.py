@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, outliers, packing, pii, quality, sketches, warc
+from . import jaccard, language, mixing, outliers, packing, pii, quality, sketches, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op9_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = warc.archive_round_trip(table(spark, sf_dir, "pages"))
     return chunks.filter("last").select(
@@ -53,6 +57,7 @@ def registered() -> dict:
         "op4_vector_best_fit": op4_vector_best_fit,
         "op5_surrogates": op5_surrogates,
         "op6_word_backoff": op6_word_backoff,
+        "op7_jaccard_join": op7_jaccard_join,
         "op9_warc_chunks": op9_warc_chunks,
         "op10_threshold_sketch": op10_threshold_sketch,
     }
