@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, outliers, packing, pii, quality, sketches, warc
+from . import jaccard, language, licences, mixing, outliers, packing, pii, quality, sketches, warc
 from .common import table
 
 
@@ -38,6 +38,15 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files under source/language/shelf; every eighth is the licence file of its shelf."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 8 == 0, F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    path = F.concat_ws("/", "source", "lang", (F.col("doc_id") / 64).cast("long").cast("string"), name)
+    found = licences.scan(docs.select(F.col("doc_id").alias("file"), path.alias("path"), "text"))
+    return found.withColumnRenamed("file", "doc_id")
+
+
 def op9_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = warc.archive_round_trip(table(spark, sf_dir, "pages"))
     return chunks.filter("last").select(
@@ -58,6 +67,7 @@ def registered() -> dict:
         "op5_surrogates": op5_surrogates,
         "op6_word_backoff": op6_word_backoff,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_licence_scan": op8_licence_scan,
         "op9_warc_chunks": op9_warc_chunks,
         "op10_threshold_sketch": op10_threshold_sketch,
     }
