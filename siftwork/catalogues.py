@@ -329,6 +329,6 @@ DOCUMENT_BLOCKS = 3
 DOCUMENT_RAW_CHARS = 4000
 DOCUMENT_CHARS = 8000
 EXCERPT_CHARS = 500
-DEFAULT_COLLECTION = "ai_agent_files"
+DEFAULT_COLLECTION = "document_vectors"
 DEFAULT_TOP_K = 10
 DEFAULT_PAGE = 100

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import catalogues as cat
+from .markup import element_texts
 from .regex import EMPTY_STRINGS, contains_any_sql, java_pattern, sql_literal, strip_sql
 
 
@@ -57,41 +58,18 @@ def prompt_persona_span(text: str, haystack: str) -> Column:
     return F.expr(_persona_span_sql(text, haystack))
 
 
-# An opening tag is consumed, the element body only looked at: nested elements are found too.
-_ELEMENT = r"(?is)<(" + "|".join(cat.PROMPT_ELEMENTS) + r")(?:\s[^>]*)?>(?=(.*?)</\1\s*>)"
-# Markup without text of its own.
-HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>"
-# Character references that well-formed markup uses for its own syntax; "&" comes last.
-_REFERENCES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&"),
-)
-
-
-def unescape_html_sql(text: str) -> str:
-    for reference, char in _REFERENCES:
-        text = f"replace({text}, {sql_literal(reference)}, {sql_literal(char)})"
-    return text
-
-
-def _html_tags_sql(text: str, haystack: str) -> str:
-    visible = f"regexp_replace({text}, {sql_literal(HIDDEN)}, '')"
-    bodies = _all(visible, haystack, _ELEMENT, tuple(f"<{name}" for name in cat.PROMPT_ELEMENTS), 2)
-    pieces = "split(body, '<[^>]*>', -1)"
-    inner = f"array_join(transform({pieces}, piece -> {strip_sql(unescape_html_sql('piece'))}), '')"
-    return f"transform({bodies}, body -> {inner})"
-
-
 def prompt_html_tags(text: str, haystack: str) -> Column:
     """Inner text of the prompt elements: text pieces stripped and joined without separator."""
-    return F.expr(_html_tags_sql(text, haystack))
+    held = contains_any_sql(haystack, tuple(f"<{name}" for name in cat.PROMPT_ELEMENTS))
+    return element_texts(F.expr(f"CASE WHEN {held} THEN {text} END"))
 
 
 def prompt_blocks(text: str, haystack: str) -> Column:
     """All prompt blocks in rule order, stripped, without empty ones and repeats."""
     kinds = (_assign_sql, _section_sql, _system_tag_sql, _persona_span_sql)
     matched = "concat(" + ", ".join(kind(text, haystack) for kind in kinds) + ")"
-    found = f"concat(transform({matched}, m -> {strip_sql('m')}), {_html_tags_sql(text, haystack)})"
-    return F.expr(f"array_distinct(filter({found}, b -> b <> ''))")
+    found = F.concat(F.expr(f"transform({matched}, m -> {strip_sql('m')})"), prompt_html_tags(text, haystack))
+    return F.array_distinct(F.filter(found, lambda b: b != ""))
 
 
 def persona(text: str, haystack: str) -> Column:

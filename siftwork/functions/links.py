@@ -6,37 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import catalogues as cat
-from .extract import HIDDEN, unescape_html_sql
 from .regex import let_sql, sql_literal
 
-# An anchor tag; a quoted attribute value may hold '>'.  The number of steps is bounded, because
-# Java keeps a stack frame for each; longer tags are cut at their first '>'.
-_ANCHOR = r"""(?i)<a(?=[\s/])(?:(?:[^>"']++|"[^"]*+"|'[^']*+'){0,400}+>|[^>]*+>)"""
-# href inside an anchor tag: quoted either way or bare.
-_HREF = r"""(?i)^<a(?:[\s/]++(?!href[\s=])[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?){0,400}+[\s/]++href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-
-
-def anchors(html: str) -> Column:
-    visible = f"regexp_replace({html}, {sql_literal(HIDDEN)}, '')"
-    return F.expr(
-        f"CASE WHEN contains(lower({html}), '<a') THEN"
-        f" regexp_extract_all({visible}, {sql_literal(_ANCHOR)}, 0)"
-        " ELSE cast(array() AS array<string>) END"
-    )
-
-
-def hrefs(anchor_tags: str) -> Column:
-    """Targets of the anchors that have one, in page order, character references decoded."""
-    href = sql_literal(_HREF)
-    groups = ", ".join(f"regexp_extract(tag, {href}, {g})" for g in (1, 2, 3))
-    target = unescape_html_sql(f"concat({groups})")
-    return F.expr(f"transform(filter({anchor_tags}, tag -> rlike(tag, {href})), tag -> {target})")
-
-
 def _query_value(query: str, name: str) -> str:
-    """First non-blank value of a query parameter, decoded; null if there is none."""
+    """First non-blank value of a query parameter, decoded; null if there is none.  A per cent
+    sign that no two hex digits follow stays as it is."""
     value = f"nullif(regexp_extract({query}, '(?:^|&){name}=([^&]+)', 1), '')"
-    return f"try_url_decode({value})"
+    return f"try_url_decode(regexp_replace({value}, '%(?![0-9A-Fa-f][0-9A-Fa-f])', '%25'))"
 
 
 def unwrap_redirect_sql(href: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalogues as cat
-from ..functions import links
+from ..functions import links, markup
 
 
 def harvest_links(
@@ -16,8 +16,7 @@ def harvest_links(
 
     Everything happens inside the page's row; nothing is shuffled."""
     found = (
-        pages.select(key, links.anchors(html).alias("_anchors"))
-        .select(key, links.hrefs("_anchors").alias("_hrefs"))
+        pages.select(key, markup.anchor_targets(html).alias("_hrefs"))
         .select(key, links.external_links("_hrefs", exclude_domains).alias("links"))
     )
     if top is not None:
@@ -32,7 +31,7 @@ def harvest_links(
 def page_hrefs(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per anchor target of a page as written: (key, pos, href)."""
     return (
-        pages.select(key, links.anchors(html).alias("_anchors"))
-        .select(key, F.posexplode_outer(links.hrefs("_anchors")).alias("pos", "href"))
+        pages.select(key, markup.anchor_targets(html).alias("_hrefs"))
+        .select(key, F.posexplode_outer("_hrefs").alias("pos", "href"))
         .filter("href IS NOT NULL")
     )

@@ -1,9 +1,6 @@
-"""Text rules against a brute-force reading of the same patterns with Python's `re`."""
+"""Text rules: what they find in the literal texts of :mod:`tests.texts`, stated text by text."""
 
 import hashlib
-import math
-import re
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,46 +28,57 @@ def everywhere(docs, column):
     return [got[i] for i in range(len(TEXTS))]
 
 
-I, IS = re.IGNORECASE, re.IGNORECASE | re.DOTALL
+def by_text(found, default):
+    return [found.get(i, default) for i in range(len(TEXTS))]
+
+
+ASSIGNED = {
+    5: ['system prompt: "be brief"\n', "system_prompt='x'\n", "SYSTEM\xa0PROMPT = unicode space"],
+    6: ["system prompt:\n\nvalue after blank lines\n"],
+}
+SECTIONS = {
+    7: ["# Rules\n\nfirst\nsecond", "## Instructions\nbody", "# Prompt\nlast one"],
+    8: ["## System Prompt   \nbody to the end"],
+    9: ["#Rule\nno"],
+}
+TAGGED = {10: ["<system>one</system>", "<SYSTEM>two\nlines</SYSTEM>"]}
+PERSONA_SPANS = {
+    2: ["You are a helpful bot.\nDo not lie. Never give up\nmust  not  do that. REFUSE it, prohibited"],
+    3: ["YOU ARE the one   \nYou are second"],
+    4: ["You are not at a line start"],
+    11: ["Act as an expert " + "y" * 390, "Assistant is good"],
+    12: ["aſſistant is folded, You are KKelvin"],
+}
 
 
 @pytest.mark.parametrize(
-    "fn, pattern",
+    "fn, found",
     [
-        (extract.prompt_assign, cat.PROMPT_ASSIGN),
-        (extract.prompt_section, cat.PROMPT_SECTION),
-        (extract.prompt_system_tag, cat.PROMPT_SYSTEM_TAG),
-        (extract.prompt_persona_span, cat.PROMPT_PERSONA_SPAN),
+        (extract.prompt_assign, ASSIGNED),
+        (extract.prompt_section, SECTIONS),
+        (extract.prompt_system_tag, TAGGED),
+        (extract.prompt_persona_span, PERSONA_SPANS),
     ],
 )
-def test_prompt_patterns(docs, fn, pattern):
-    want = [[m.group(0) for m in re.finditer(pattern, t, IS)] for t in TEXTS]
-    assert everywhere(docs, fn("raw_content", "_hay")) == want
+def test_prompt_patterns(docs, fn, found):
+    assert everywhere(docs, fn("raw_content", "_hay")) == by_text(found, [])
 
 
 def test_prompt_blocks(docs):
-    def blocks(t):
-        out = []
-        for p in (cat.PROMPT_ASSIGN, cat.PROMPT_SECTION, cat.PROMPT_SYSTEM_TAG, cat.PROMPT_PERSONA_SPAN):
-            out += [m.group(0).strip() for m in re.finditer(p, t, IS)]
-        out += re.findall(r"(?s)<(?:system|SYSTEM)>(.*?)</(?:system|SYSTEM)>", t)
-        return list(dict.fromkeys(b for b in out if b))
-
-    assert everywhere(docs, extract.prompt_blocks("raw_content", "_hay")) == [blocks(t) for t in TEXTS]
+    blocks = by_text(PERSONA_SPANS, [])
+    for i, found in (ASSIGNED | SECTIONS).items():
+        blocks[i] = [b.strip() for b in found]
+    blocks[10] = [*TAGGED[10], "one", "two\nlines"]
+    assert everywhere(docs, extract.prompt_blocks("raw_content", "_hay")) == blocks
 
 
 def test_persona_constraints_tech(docs):
-    def persona(t):
-        m = re.search(cat.PERSONA, t, I)
-        return m.group(1).strip()[:200] if m else None
-
-    assert everywhere(docs, extract.persona("raw_content", "_hay")) == [persona(t) for t in TEXTS]
-    assert everywhere(docs, extract.constraints("raw_content", "_hay")) == [
-        [m.group(0).strip()[:150] for m in re.finditer(cat.CONSTRAINT, t, I)] for t in TEXTS
-    ]
-    assert everywhere(docs, extract.tech_stack("lower(raw_content)")) == [
-        [k for k in cat.TECH_KEYWORDS if k in t.lower()] for t in TEXTS
-    ]
+    personas = {2: "You are a helpful bot.", 3: "YOU ARE the one"}
+    assert everywhere(docs, extract.persona("raw_content", "_hay")) == by_text(personas, None)
+    constraints = {2: ["Do not lie", "Never give up", "must  not  do that", "REFUSE it, prohibited"]}
+    assert everywhere(docs, extract.constraints("raw_content", "_hay")) == by_text(constraints, [])
+    tech = {11: ["go"], 21: ["aws"], 22: ["aws"], 34: ["javascript", "rust", "go", "java"], 35: ["langchain", "crewai"]}
+    assert everywhere(docs, extract.tech_stack("lower(raw_content)")) == by_text(tech, [])
 
 
 def test_lines_strip_hash_length(docs):
@@ -80,35 +88,24 @@ def test_lines_strip_hash_length(docs):
     assert everywhere(docs, text.content_length("raw_content")) == [len(t) for t in TEXTS]
 
 
-def entropy(t):
-    return -sum(c / len(t) * math.log2(c / len(t)) for c in Counter(t).values()) if t else 0.0
-
-
-def redacted(t):
-    return "****" if len(t) <= 8 else t[:4] + "****" + t[-4:]
-
-
-def test_entropy_and_redaction(docs):
-    assert everywhere(docs, text.shannon_entropy("raw_content")) == pytest.approx([entropy(t) for t in TEXTS], abs=1e-9)
-    assert everywhere(docs, text.redact("raw_content")) == [redacted(t) for t in TEXTS]
-
-
-def platform(t, url):
-    t, url, scores = t.lower(), url.lower(), {}
-    for name, patterns in cat.PLATFORM_PATTERNS.items():
-        n = sum(1 for p in patterns if re.search(p, t, I) or re.search(p, url, I))
-        if n:
-            scores[name] = n
-    if not scores:
-        return "unknown", 0.0
-    best = max(scores, key=scores.get)
-    return best, round(min(scores[best] / len(cat.PLATFORM_PATTERNS[best]), 1.0), 2)
+def test_entropy_and_redaction(spark, docs):
+    known = {"": 0.0, "aaaa": 0.0, "ab": 1.0, "aabb": 1.0, "abcd": 2.0, "aaab": 0.811278, "0123456789abcdef": 4.0, "éèé": 0.918296}
+    df = spark.createDataFrame([(t,) for t in known], "raw_content string")
+    got = {r.raw_content: r.e for r in df.select("raw_content", text.shannon_entropy("raw_content").alias("e")).collect()}
+    assert got == pytest.approx(known, abs=1e-6)
+    shown = {"": "****", "12345678": "****", "123456789": "1234****6789", "😀😀😀😀😀😀😀😀z": "😀😀😀😀****😀😀😀z"}
+    df = spark.createDataFrame([(t,) for t in shown], "raw_content string")
+    assert {r.raw_content: r.r for r in df.select("raw_content", text.redact("raw_content").alias("r")).collect()} == shown
 
 
 def test_platform(docs):
     hay = docs.withColumn("_c", classify.haystack("raw_content", "url")).withColumn("_s", classify.platform_scores("_c"))
     got = {r.seq: (r.b.platform, r.b.confidence) for r in hay.select("seq", classify.best_platform("_s").alias("b")).collect()}
-    assert [got[i] for i in range(len(TEXTS))] == [platform(t, f"https://example.com/{i}/doc.md") for i, t in enumerate(TEXTS)]
+    known = {
+        17: ("openai", 0.33), 28: ("openai", 0.33), 29: ("openai", 0.33),
+        34: ("claude", 0.4), 35: ("crewai", 0.8), 36: ("cursor", 0.25),
+    }
+    assert [got[i] for i in range(len(TEXTS))] == by_text(known, ("unknown", 0.0))
 
 
 def test_tie_goes_to_the_earlier_platform_and_full_house_is_certain(spark):
@@ -119,59 +116,94 @@ def test_tie_goes_to_the_earlier_platform_and_full_house_is_certain(spark):
     assert got[1].platform == "claude" and tuple(got[2]) == ("claude", 1.0) and got[3].platform == "claude"
 
 
-def scan(t, rules):
-    """Findings, and the characters any of them covers per line."""
-    out, covered = [], {}
-    for pos, rule in enumerate(rules):
-        for number, line in enumerate(t.splitlines(), 1):
-            for m in re.finditer(rule.pattern, line, I if rule.ignore_case else 0):
-                if rule.min_entropy and entropy(m.group(0)) < rule.min_entropy:
-                    continue
-                out.append((pos, number, m.start(), rule.name, m.group(0), line))
-                covered.setdefault(number, set()).update(range(m.start(), m.end()))
-    return out, covered
-
-
-def findings(t, rules):
-    found, covered = scan(t, rules)
-    out = []
-    for pos, number, start, name, secret, line in found:
-        shown = ["*" if i in covered[number] else c for i, c in enumerate(line)]
-        end = start + len(secret)
-        context = "".join(shown[max(0, start - 20):start]) + redacted(secret) + "".join(shown[end:end + 20])
-        out.append((pos, number, start, name, redacted(secret), context))
-    return out
-
-
-CUSTOM = (
-    cat.SecretRule("anchored", r"^plain\b", "line start"),
-    cat.SecretRule("number", r"\d{2,}", "digits"),
-    cat.SecretRule("name", r"K\w+", "folded", ignore_case=True),
-)
+#: Text -> (rule, line, start, redacted, context) of each finding.
+FINDINGS = {
+    17: [
+        ("openai_api_key", 1, 18, "sk-A****Ab3d", "openai.***********sk-A****Ab3d*"),
+        ("hardcoded_api_key_assignment", 1, 7, "api_****b3d'", "openai.api_****b3d'"),
+    ],
+    18: [
+        ("openai_api_key", 1, 0, "sk-A****3dsk", "sk-A****3dsk-Ab3dAb3dAb3dAb3dAb3"),
+        ("github_token", 1, 79, "ghp_****9Zx9", "b3dAb3dAb3dAb3dAb3d ghp_****9Zx9"),
+    ],
+    19: [
+        ("github_token", 1, 0, "ghp_****9Zx9", "ghp_****9Zx9 " + "*" * 19),
+        ("github_token", 1, 41, "ghp_****Q7Q7", "*" * 19 + " ghp_****Q7Q7"),
+        ("aws_access_key", 1, 81, "AKIA****Q7Q7", "*" * 20 + "AKIA****Q7Q7"),
+    ],
+    20: [
+        ("aws_access_key", 1, 3, "akia****q7q7", "id=akia****q7q7 and " + "*" * 15),
+        ("aws_access_key", 1, 28, "AKIA****Q7Q7", "*" * 15 + " and AKIA****Q7Q7"),
+    ],
+    21: [("aws_secret_key", 1, 0, 'aws_****J4+"', 'aws_****J4+"')],
+    22: [("aws_secret_key", 1, 0, "AWS-****abCD", "AWS-****abCD")],
+    23: [("google_api_key", 1, 2, "AIza****_k3_", "K=AIza****_k3_")],
+    25: [
+        ("huggingface_token", 1, 0, "hf_H****7Hf7", "hf_H****7Hf7 " + "*" * 19),
+        ("huggingface_token", 1, 40, "HF_H****7Hf7", "*" * 19 + " HF_H****7Hf7"),
+    ],
+    26: [("langsmith_api_key", 1, 0, "ls__****q8q8", "ls__****q8q8")],
+    27: [
+        ("hardcoded_api_key_assignment", 1, 0, 'auth****0k."', 'auth****0k." ' + "*" * 19),
+        ("hardcoded_api_key_assignment", 1, 36, "api-****zzz'", "*" * 19 + " api-****zzz'"),
+    ],
+    28: [
+        ("placeholder_leak", 1, 0, "{{ O****Y }}", "{{ O****Y }}********** {{other}}"),
+        ("placeholder_leak", 1, 20, "{{CL****DE}}", "*" * 20 + "{{CL****DE}} {{other}}"),
+    ],
+    29: [
+        ("env_var_exposure", 1, 0, "os.e****KEY'", "os.e****KEY'] " + "*" * 18),
+        ("env_var_exposure", 1, 29, 'proc****AME"', "*" * 18 + "] proc****AME\") getenv('SHORT')"),
+    ],
+    30: [("high_entropy_secret", 2, 0, "0123****_-+=", "0123****_-+=")],
+    31: [
+        ("anthropic_api_key", 1, 4, "sk-a****a1B2", "****sk-a****a1B2"),
+        ("high_entropy_secret", 1, 0, "ANT=****a1B2", "ANT=****a1B2"),
+    ],
+    32: [("openai_api_key", 1, 30, "sk-A****Ab3d", "é" * 20 + "sk-A****Ab3d" + "😀" * 20)],
+}
+
 
+def shown(findings):
+    return [(f.rule, f.line, f.start, f.redacted, f.context) for f in findings]
 
-@pytest.mark.parametrize("rules", [cat.SECRET_RULES, CUSTOM, ()])
-def test_findings(docs, rules):
-    got = values(enrich.scan_secrets(docs, rules), "findings")
-    assert [[tuple(f) for f in got[i]] for i in range(len(TEXTS))] == [findings(t, rules) for t in TEXTS]
+
+def test_findings(docs):
+    got = values(enrich.scan_secrets(docs), "findings")
+    assert [shown(got[i]) for i in range(len(TEXTS))] == by_text(FINDINGS, [])
+    assert all(f == [] for f in values(enrich.scan_secrets(docs, ()), "findings").values())
+
+
+def test_custom_rules(spark):
+    rules = (
+        cat.SecretRule("anchored", r"^plain\b", "line start"),
+        cat.SecretRule("number", r"\d{2,}", "digits"),
+        cat.SecretRule("name", r"K\w+", "folded", ignore_case=True),
+    )
+    text = "plain 12 a 345\nnot plain\nkey and KEY plain"
+    found = enrich.scan_secrets(spark.createDataFrame([(0, text)], "seq int, raw_content string"), rules).first().findings
+    assert [(f.rule, f.line, f.start) for f in found] == [
+        ("anchored", 1, 0), ("number", 1, 6), ("number", 1, 11), ("name", 3, 0), ("name", 3, 8),
+    ]
 
 
 def test_raw_context_is_available_on_request(docs):
     got = values(enrich.scan_secrets(docs, mask_context=False), "findings")
-    for i, t in enumerate(TEXTS):
-        want = [line[max(0, s - 20):s + len(m) + 20] for _, _, s, _, m, line in scan(t, cat.SECRET_RULES)[0]]
-        assert [f.context for f in got[i]] == want
+    assert got[20][0].context == "id=" + "akia" + "q7" * 8 + " and " + "AKIA" + "Q7" * 5 + "Q"
+    assert got[23][0].context == "K=AIzaSy" + "k3_" * 11
+    assert [len(got[i]) for i in range(len(TEXTS))] == [len(FINDINGS.get(i, ())) for i in range(len(TEXTS))]
 
 
 def test_masked_documents_hold_no_secret(docs):
     got = values(enrich.mask_secrets(docs), "raw_content")
+    secrets = {
+        17: "Ab3d" * 9, 18: "Zx9" * 12, 19: "Q7" * 8, 20: "Q7" * 8, 21: "wJ4+" * 10, 22: "abCD" * 10, 23: "k3_" * 11,
+        25: "Hf7" * 12, 26: "q8" * 16, 27: "t0k." * 5, 28: "OPENAI_API_KEY", 29: "OPENAI_API_KEY", 31: "a1B2" * 6, 32: "Ab3d" * 9,
+    }
     for i, t in enumerate(TEXTS):
-        found, _ = scan(t, cat.SECRET_RULES)
-        assert len(got[i]) == len(t) and got[i].splitlines().__len__() == t.splitlines().__len__()
-        for *_, secret, _ in found:
-            assert secret not in got[i]
-        if not found:
-            assert got[i] == t
+        assert len(got[i]) == len(t) and len(got[i].splitlines()) == len(t.splitlines())
+        assert (got[i] == t) == (i not in FINDINGS)
+        assert i not in secrets or (secrets[i] in t and secrets[i] not in got[i])
 
 
 def test_many_matches_in_one_line(spark):
@@ -192,20 +224,16 @@ def test_clean_text_has_no_findings_and_report_counts(docs):
     assert all(r.secret_count == len(r.findings) for r in report.values())
 
 
-def embed(t):
-    v = np.zeros(512)
-    for token in re.findall(r"\b\w+\b", t.lower()):
-        v[int(hashlib.md5(token.encode()).hexdigest(), 16) % 512] += 1.0
-        v[int(hashlib.sha1(token.encode()).hexdigest(), 16) % 512] += 0.5
-    n = np.linalg.norm(v)
-    return v / n if n else v
+#: Bucket -> weight of two texts.
+PLAIN = {43: 0.223607, 60: 0.447214, 78: 0.447214, 91: 0.223607, 209: 0.447214, 234: 0.223607, 330: 0.223607, 450: 0.447214}
 
 
 def test_embedding(docs):
-    assert everywhere(docs, embedding.tokenize("raw_content")) == [re.findall(r"\b\w+\b", t.lower()) for t in TEXTS]
+    assert everywhere(docs, embedding.tokenize("raw_content"))[1] == ["plain", "text", "without", "anything"]
+    assert everywhere(docs, embedding.tokenize("raw_content"))[36] == ["github", "copilot", "and", "cursor", "rules"]
     got = np.array(everywhere(docs, embedding.hash_embed("raw_content")))
     assert np.array_equal(got, everywhere(docs, embedding.hash_embed_expr("raw_content")))
-    assert np.allclose(got, [embed(t) for t in TEXTS], atol=1e-6)
+    assert {i: round(float(x), 6) for i, x in enumerate(got[1]) if x} == PLAIN
     norms = np.linalg.norm(got, axis=1)
     assert np.allclose(norms[norms > 0], 1.0, atol=1e-5) and norms[0] == 0
 
@@ -217,6 +245,10 @@ def test_html_elements(spark):
         ("<prompt><system>in</system> out</prompt>", ["inout", "in"]),
         ("<INSTRUCTIONS>\n be kind \n</INSTRUCTIONS><systems>no</systems>", ["be kind"]),
         ("<prompt>a<script>var x</script>b</prompt>", ["ab"]),
+        ("<prompt><prompt>a</prompt>b</prompt>", ["ab", "a"]),
+        ("<system>open to the end <i>of</i> it", ["open to the endofit"]),
+        ("<prompt>caf&#233; &#x26; co</prompt>", ["café & co"]),
+        ("<div><system>in</div> out</system>", ["in"]),
     ]
     df = spark.createDataFrame([(t,) for t, _ in rows], "t string").withColumn("h", regex.needle_text("t"))
     got = {r.t: r.v for r in df.select("t", extract.prompt_html_tags("t", "h").alias("v")).collect()}
