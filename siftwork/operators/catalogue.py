@@ -1,9 +1,13 @@
 """The catalogue: one table of files with their findings, written batch by batch.
 
 A batch is one directory, written by one job in which findings travel inside their file row, so a
-file and its findings appear together or not at all, and a batch that is run again replaces
-itself.  Rows that cannot be stored because their address is taken by other content are kept
-beside the accepted ones as rejects.
+file and its findings appear together or not at all.  A batch that is run again replaces itself; it
+is missing while it is written anew, so a failed re-run has to be repeated.  Rows that cannot be
+stored because their address is taken by other content are kept beside the accepted ones as rejects.
+
+Beside its files a batch writes its decisions, one narrow row (hash, key, address, outcome) per new
+content.  Later batches are compared with these alone, and `compact_keys` puts those of many batches
+into one table, so the number of files that a batch reads stays level.
 """
 
 from __future__ import annotations
@@ -42,8 +46,7 @@ _POINT_LOOKUPS = {
     for setting, value in (("enabled", "true"), ("expected.ndv", "100000"))
 }
 
-#: Up to this many keys (about 100 bytes each) a batch is broadcast to the scan of the stored keys.
-FEW_KEYS = 250_000
+_KEYS_SCHEMA = "content_hash string, seq bigint, url string, copies bigint, outcome string, batch int"
 
 ACCEPTED, REJECTED = "accepted", "rejected"
 
@@ -72,60 +75,75 @@ def read_findings(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def first_keys(docs: DataFrame) -> DataFrame:
-    """(content_hash, seq, url) of the first document per hash: a partial aggregation, so a hash
-    that holds a third of all rows is one row per task."""
-    keys = docs.select("content_hash", F.struct("seq", "url").alias("k"))
-    return keys.groupBy("content_hash").agg(F.min("k").alias("k")).select("content_hash", "k.seq", "k.url")
+# ------------------------------------------------------------------------------- decisions
+
 
+def read_keys(spark: SparkSession, root: str) -> DataFrame:
+    """Decisions of all batches: the newest compacted table and what came after it."""
+    compacted = read_or_empty(spark, f"{root}/keys_compacted", _KEYS_SCHEMA + ", upto int")
+    newest = compacted.select(F.max("upto")).first()[0]
+    single = read_or_empty(spark, f"{root}/keys", _KEYS_SCHEMA)
+    if newest is None:
+        return single
+    kept = compacted.filter(F.col("upto") == newest).drop("upto")
+    return kept.unionByName(single.filter(F.col("batch") > newest))
 
-def _absent(new: DataFrame, stored: DataFrame, key: str, few: bool) -> DataFrame:
-    """Rows of `new` whose key is not stored (the key is unique in `new`).
 
-    A few new keys are sent to the scan of the stored ones, which then shuffles only what it
-    holds of them; otherwise both sides are shuffled on the key."""
-    if few:
-        stored = stored.join(F.broadcast(new.select(key)), key, "left_semi")
-    return new.join(stored.select(key), key, "left_anti")
+def compact_keys(spark: SparkSession, root: str, upto: int, files: int = 8) -> None:
+    """Put the decisions of all batches up to `upto` into one table, laid out by hash."""
+    (
+        read_keys(spark, root).filter(F.col("batch") <= upto)
+        .repartition(files, "content_hash").sortWithinPartitions("content_hash")
+        .write.mode("overwrite").options(**_POINT_LOOKUPS).parquet(f"{root}/keys_compacted/upto={upto}")
+    )
 
 
-def decide(first: DataFrame, files: DataFrame, few: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Keys (seq, url) of the documents whose content is not stored yet, and of those among them
-    that must be rejected.
+def first_keys(hashed: DataFrame) -> DataFrame:
+    """(content_hash, seq, url, copies) of the first document per hash; copies counts the rows that
+    agree in all three.  Partial aggregations: a hash that holds a third of all rows is one row per
+    task."""
+    rows = hashed.groupBy("content_hash", "seq", "url").agg(F.count("*").alias("copies"))
+    first = rows.groupBy("content_hash").agg(F.min(F.struct("seq", "url", "copies")).alias("k"))
+    return first.select("content_hash", "k.*")
 
-    New content is accepted if it is the first with its address and the address is free.  All of
-    it runs on (hash, seq, url)."""
-    unknown = _absent(first, files.select("content_hash"), "content_hash", few)
-    per_url = unknown.groupBy("url").agg(F.min("seq").alias("seq"))
-    free = _absent(per_url, files.select("url"), "url", few)
-    return unknown.select("seq", "url"), unknown.join(free, ["seq", "url"], "left_anti").select("seq", "url")
 
+def decide(first: DataFrame, stored: DataFrame) -> DataFrame:
+    """Outcome of the contents that are not stored yet: (content_hash, seq, url, copies, outcome).
 
-def upsert(docs: DataFrame, files: DataFrame, rules=cat.SECRET_RULES, keys_folder: str | None = None) -> DataFrame:
+    New content is accepted if it is the first with its address, by (seq, hash), and the address is
+    free.  Content without an address is refused.  Everything is narrow and keyed by values that
+    occur once per side; the optimizer picks the joins by the sizes it measures."""
+    unknown = first.join(stored.select("content_hash"), "content_hash", "left_anti")
+    holder = unknown.groupBy("url").agg(F.min(F.struct("seq", "content_hash")).alias("_holder"))
+    taken = stored.select("url", F.lit(True).alias("_taken"))
+    judged = unknown.join(holder, "url", "left").join(taken, "url", "left")
+    free = F.col("_taken").isNull() & (F.col("_holder") == F.struct("seq", "content_hash"))
+    outcome = F.when(F.coalesce(free, F.lit(False)), ACCEPTED).otherwise(REJECTED)
+    return judged.select("content_hash", "seq", "url", "copies", outcome.alias("outcome"))
+
+
+def upsert(docs: DataFrame, stored: DataFrame, rules=cat.SECRET_RULES, keys_folder: str | None = None) -> DataFrame:
     """Enriched new documents with their outcome; known content is dropped before any of the
-    expensive work.
+    expensive work.  `stored` has the (content_hash, url) that are taken.
 
-    With `keys_folder` the keys of the batch are written there first: texts are hashed once, and
-    the number of keys is known before they are compared with the stored ones.  The joins with the
-    texts keep them on the probe side (semi and left outer joins build the other side), so the
-    texts are never broadcast and keep their own partitions if the key sets are small."""
+    With `keys_folder` the decisions are written there first and read back.  They are joined to the
+    texts once, on (hash, seq, url): two contents under one (seq, url) are two decisions.  The texts
+    stay on the probe side, so they are never broadcast and, if the decisions are few, never moved."""
     hashed = valid_docs(docs).select(
         "seq", "url", "raw_content", "error", text.content_hash("raw_content").alias("content_hash")
     )
-    first, few = first_keys(hashed), False
+    decisions = decide(first_keys(hashed), stored)
     if keys_folder:
-        first.write.mode("overwrite").parquet(keys_folder)
-        first = docs.sparkSession.read.schema("content_hash string, seq bigint, url string").parquet(keys_folder)
-        few = first.count() <= FEW_KEYS
-    unknown, rejected = decide(first, files, few)
-    fresh = (
-        hashed.drop("content_hash")
-        .join(unknown, ["seq", "url"], "left_semi")
-        .join(rejected.withColumn("_outcome", F.lit(REJECTED)), ["seq", "url"], "left")
-        .withColumn("outcome", F.coalesce("_outcome", F.lit(ACCEPTED)))
-        .drop("_outcome")
-    )
-    return enrich(fresh, rules)
+        decisions.write.mode("overwrite").parquet(keys_folder)
+        decisions = docs.sparkSession.read.schema(_KEYS_SCHEMA.replace(", batch int", "")).parquet(keys_folder)
+    keys = ["content_hash", "seq", "url"]
+    right = decisions.select(*(F.col(k).alias(f"_{k}") for k in keys), "copies", "outcome")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    fresh = hashed.join(right, same[0] & same[1] & same[2]).drop(*(f"_{k}" for k in keys))
+    if keys_folder and decisions.filter("copies > 1").isEmpty():
+        return enrich(fresh.drop("copies", "content_hash"), rules)
+    repeated = fresh.filter("copies > 1").dropDuplicates(keys)
+    return enrich(fresh.filter("copies = 1").unionByName(repeated).drop("copies", "content_hash"), rules)
 
 
 def save_batch(
@@ -135,9 +153,8 @@ def save_batch(
 
     `rebalance` cuts the output into files of even size per platform, however many rows the most
     frequent platform has.  Running the same batch again gives the same directory."""
-    others = read_files(spark, root).filter(F.col("batch") != batch)
-    keys_folder = f"{root}/keys/batch={batch}"
-    rows = upsert(docs, others, rules, keys_folder).withColumn("indexed_at", F.lit(as_of).cast("timestamp"))
+    stored = read_keys(spark, root).filter((F.col("outcome") == ACCEPTED) & (F.col("batch") != batch))
+    rows = upsert(docs, stored, rules, f"{root}/keys/batch={batch}").withColumn("indexed_at", F.lit(as_of).cast("timestamp"))
     (
         rows.select(*_FILE_COLUMNS, "outcome")
         .hint("rebalance", "outcome", "platform")

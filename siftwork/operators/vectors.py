@@ -29,8 +29,8 @@ _STORED_SCHEMA = _INDEX_SCHEMA + ", batch int"
 
 Embedder = Callable[[str], Column]
 
-#: Queries that are compared with the table in one pass; more are cut into blocks of this size.
-QUERY_BLOCK = 2048
+#: Vectors of one side of a grid cell of the batch search.
+GRID_BLOCK = 8192
 
 
 _ROW_COLUMNS = ("id", "document", "embedding", "url", "platform", "tags", "has_secrets")
@@ -82,14 +82,14 @@ def index_batch(
 ) -> int:
     """Add files whose hash is not in the collection; returns how many were added.
 
-    Known content is dropped before anything is embedded.  Documents (at most DOCUMENT_CHARS each)
-    are spread by (hash, key) first: embedding is the costly step, and files may be uneven; the
-    join on the same pair needs no further shuffle.  A batch that is run again replaces itself."""
+    Known content is dropped before anything is moved or embedded.  What is left (documents of at
+    most DOCUMENT_CHARS) is spread by (hash, key): embedding is the costly step, and files may be
+    uneven.  A batch that is run again replaces itself."""
     live = read_index(spark, root, collection).filter(F.col("batch") != batch)
     first = first_per_value(files.select("content_hash", "seq"), "content_hash", "seq")
     fresh = first.join(live.select(F.col("id").alias("content_hash")), "content_hash", "left_anti")
     keys = fresh.select(F.col("content_hash").alias("id"), "seq")
-    documents = index_documents(files).repartition("id", "seq").join(keys, ["id", "seq"], "left_semi")
+    documents = index_documents(files).join(keys, ["id", "seq"], "left_semi").repartition("id", "seq")
     target = f"{_folder(root, collection)}/rows/batch={batch}"
     rows = once(documents, "embedding", embed("document")).select(*_ROW_COLUMNS)
     rows.write.mode("overwrite").parquet(target)
@@ -164,76 +164,86 @@ def knn(vectors: DataFrame, query: DataFrame, n: int = cat.DEFAULT_TOP_K, where:
     return found.drop("_query").withColumn("distance", F.round("_exact", 4)).drop("_exact")
 
 
-def _block_top(query_ids: np.ndarray, queries: np.ndarray, n: int):
-    """Per task: distances of its rows to a block of queries, best n per query.
+def _cell_top(n: int):
+    """Best n rows per query inside one cell of the grid.
 
     Helpers are nested, so executors do not have to import this package."""
 
-    def unit(matrix: np.ndarray) -> np.ndarray:
+    def unit(vectors: pd.Series) -> np.ndarray:
+        matrix = np.stack(vectors.to_numpy()).astype(np.float64)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         return matrix / np.where(norms > 0, norms, 1.0)
 
-    def smallest(ids: np.ndarray, distance: np.ndarray):
-        """First n by (distance, id)."""
-        if len(ids) > n:
-            near = distance <= np.partition(distance, n - 1)[n - 1]
-            ids, distance = ids[near], distance[near]
-        order = np.lexsort((ids, distance))[:n]
-        return ids[order], distance[order]
-
-    def run(batches):
-        columns = unit(queries).T
-        best: list = [None] * len(query_ids)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids = pdf["id"].to_numpy()
-            rows = unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
-            distance = np.round(1.0 - rows @ columns, 9)
-            for j in range(len(query_ids)):
-                near = smallest(ids, distance[:, j])
-                if best[j] is not None:
-                    near = smallest(*(np.concatenate(pair) for pair in zip(best[j], near)))
-                best[j] = near
-        for query_id, near in zip(query_ids, best):
-            if near is not None:
-                yield pd.DataFrame({"query_id": query_id, "id": near[0], "distance": near[1]})
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(queries) and len(rows):
+            ids, columns, query_ids = rows["id"].to_numpy(), unit(rows["embedding"]).T, queries["query_id"].to_numpy()
+            for lo in range(0, len(queries), 256):
+                distance = np.round(1.0 - unit(queries["embedding"].iloc[lo : lo + 256]) @ columns, 9)
+                for query_id, own in zip(query_ids[lo : lo + 256], distance, strict=True):
+                    near = np.flatnonzero(own <= np.partition(own, n - 1)[n - 1]) if len(own) > n else np.arange(len(own))
+                    near = near[np.lexsort((ids[near], own[near]))[:n]]
+                    found.append(pd.DataFrame({"query_id": query_id, "id": ids[near], "distance": own[near]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "distance": []})
 
     return run
 
 
-def _query_blocks(queries: DataFrame):
-    """Queries in blocks of about QUERY_BLOCK; a set that fits in one is computed once."""
-    first = queries.limit(QUERY_BLOCK + 1).toPandas()
-    if len(first) <= QUERY_BLOCK:
-        if len(first):
-            yield first
-        return
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    for block in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas()
-        if len(part):
-            yield part
-
-
-def knn_batch(vectors: DataFrame, queries: DataFrame, n: int = cat.DEFAULT_TOP_K) -> DataFrame:
-    """Nearest rows of (id, embedding) for many queries (id, embedding), exact.
-
-    Queries go to the tasks in blocks of at most about QUERY_BLOCK vectors; each block is one pass
-    over the table.  A task multiplies its rows with the block and emits at most n rows per query,
-    so pairs are never materialised and only candidates are shuffled."""
-    id_type = vectors.schema["id"].dataType.simpleString()
-    found = None
-    for part in _query_blocks(queries.select("id", "embedding")):
-        matrix = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-        hits = vectors.select("id", "embedding").mapInPandas(
-            _block_top(part["id"].to_numpy(), matrix, n), f"query_id {id_type}, id {id_type}, distance double"
-        )
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], f"query_id {id_type}, id {id_type}, distance double, rank int")
+def _ranked(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """Both sides have (cell, part); only a cell's best n per query leave it."""
+    id_type = rows.schema["id"].dataType.simpleString()
+    found = (
+        queries.groupBy("cell", "part")
+        .cogroup(rows.groupBy("cell", "part"))
+        .applyInPandas(_cell_top(n), f"query_id {id_type}, id {id_type}, distance double")
+    )
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return (
         found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
         .withColumn("distance", F.round("distance", 4))
     )
+
+
+def _dealt(parts: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+
+
+def _every(parts: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, n: int = cat.DEFAULT_TOP_K, block: int = GRID_BLOCK) -> DataFrame:
+    """Nearest rows of (id, embedding) for many queries (id, embedding), exact.
+
+    Queries and rows are cut into blocks of about `block` vectors, and every block of the one meets
+    every block of the other in a task of its own.  The plan is the same for any number of queries;
+    only counts come to the driver, and pairs are never materialised."""
+    across, down = (max(1, -(-side.count() // block)) for side in (queries, vectors))
+    asked = queries.select(F.col("id").alias("query_id"), "embedding", _dealt(across).alias("cell"), _every(down).alias("part"))
+    rows = vectors.select("id", "embedding", _dealt(down).alias("part"), _every(across).alias("cell"))
+    return _ranked(asked, rows, n)
+
+
+def knn_batch_bounded(
+    vectors: DataFrame, queries: DataFrame, n: int = cat.DEFAULT_TOP_K, cells: int = 64, probes: int = 12, block: int = GRID_BLOCK
+) -> DataFrame:
+    """The same with bounded work per query, approximate: rows belong to the nearest of `cells`
+    pivots, and a query is compared, exactly, with the rows of its `probes` nearest pivots.
+
+    Pivots are rows of the table that a hash of the identifier picks: as many at any size.  A cell
+    is cut into parts of about `block` rows if it is that large on average."""
+    picked = vectors.select("embedding").orderBy(F.xxhash64("id"), "id").limit(cells).toPandas()
+    if not len(picked):
+        return knn_batch(vectors, queries, n)
+    pivots = np.stack(picked["embedding"].to_numpy()).astype(np.float64)
+    pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-12)
+
+    @F.pandas_udf("array<int>")
+    def nearest(embedding: pd.Series) -> pd.Series:
+        order = np.argsort(-(np.stack(embedding.to_numpy()).astype(np.float64) @ pivots.T), axis=1, kind="stable")
+        return pd.Series(list(order[:, :probes].astype(np.int32)))
+
+    parts = max(1, -(-vectors.count() // (block * cells)))
+    asked = queries.select(F.col("id").alias("query_id"), "embedding", F.explode(nearest("embedding")).alias("cell"))
+    rows = vectors.select("id", "embedding", F.get(nearest("embedding"), F.lit(0)).alias("cell"), _dealt(parts).alias("part"))
+    return _ranked(asked.select("*", _every(parts).alias("part")), rows, n)

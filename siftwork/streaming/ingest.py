@@ -7,9 +7,11 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.catalogue import save_batch
+from ..operators.catalogue import compact_keys, read_files, save_batch
 from ..operators.vectors import index_batch
-from ..operators.catalogue import read_files
+
+#: Micro-batches after which their decisions are put into one table.
+COMPACT_EVERY = 16
 
 
 def ingest_stream(
@@ -31,6 +33,8 @@ def ingest_stream(
         spark = batch_docs.sparkSession
         number = first_batch + epoch
         save_batch(spark, batch_docs, root, number, as_of or datetime.now(timezone.utc))
+        if epoch % COMPACT_EVERY == COMPACT_EVERY - 1:
+            compact_keys(spark, root, number)
         if index:
             index_batch(spark, read_files(spark, root, number), root, number)
 

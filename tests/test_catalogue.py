@@ -41,9 +41,7 @@ def stored(spark, root, **kw):
     return {r.url: r for r in catalogue.read_files(spark, root, **kw).collect()}
 
 
-@pytest.mark.parametrize("few", [250_000, 0])
-def test_save_skips_known_content_and_rejects_taken_addresses(spark, folder, monkeypatch, few):
-    monkeypatch.setattr(catalogue, "FEW_KEYS", few)
+def test_save_skips_known_content_and_rejects_taken_addresses(spark, folder):
     catalogue.save_batch(spark, frame(spark, FIRST), folder, 1, AS_OF)
     assert set(stored(spark, folder)) == {"https://a/CLAUDE.md", "https://a/2", "https://a/6"}
     catalogue.save_batch(spark, frame(spark, SECOND), folder, 2, AS_OF)
@@ -56,6 +54,27 @@ def test_save_skips_known_content_and_rejects_taken_addresses(spark, folder, mon
     assert row.platform == "claude" and row.has_secrets and row.indexed_at.replace(tzinfo=timezone.utc) == AS_OF
 
 
+def test_one_key_and_address_with_two_contents(spark, folder):
+    rows = [(1, "https://a/1", "one"), (1, "https://a/1", "two"), (2, "https://a/2", "twice"), (2, "https://a/2", "twice"), (3, None, "x")]
+    catalogue.save_batch(spark, frame(spark, rows), folder, 1, AS_OF)
+    assert sorted(r.url for r in catalogue.read_files(spark, folder).collect()) == ["https://a/1", "https://a/2"]
+    assert sorted((r.seq, r.url) for r in catalogue.read_rejects(spark, folder).collect()) == [(1, "https://a/1"), (3, None)]
+    catalogue.save_batch(spark, frame(spark, rows[:1]), folder, 2, AS_OF)
+    assert catalogue.read_files(spark, folder, batch=2).count() == 0
+
+
+def test_files_read_per_batch_stay_level(spark, folder):
+    read = []
+    for batch in range(1, 21):
+        rows = [(batch, f"https://a/{batch}", f"text {batch}"), (batch, "https://a/0", f"again {batch}")]
+        catalogue.save_batch(spark, frame(spark, rows), folder, batch, AS_OF)
+        if batch % 4 == 0:
+            catalogue.compact_keys(spark, folder, batch, files=2)
+        read.append(catalogue.read_keys(spark, folder).select(F.input_file_name()).distinct().count())
+    assert max(read[12:]) <= max(read[4:8]) and max(read) < 20
+    assert catalogue.read_files(spark, folder).count() == 21
+
+
 def test_queries_on_stored_files(spark, folder):
     catalogue.save_batch(spark, frame(spark, FIRST), folder, 1, AS_OF)
     files = catalogue.read_files(spark, folder)

@@ -47,7 +47,7 @@ PERSONA_SPANS = {
     3: ["YOU ARE the one   \nYou are second"],
     4: ["You are not at a line start"],
     11: ["Act as an expert " + "y" * 390, "Assistant is good"],
-    12: ["aſſistant is folded, You are KKelvin"],
+    12: [TEXTS[12]],
 }
 
 

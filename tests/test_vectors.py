@@ -64,15 +64,14 @@ def test_collections_delete_reset_compact(spark, files, folder):
 
 
 @pytest.mark.parametrize("block", [2048, 3])
-def test_batch_knn_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+def test_batch_knn_against_brute_force(spark, block):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(120, 8)).astype("float32")
     base[5] = base[9]
     base[7] = 0
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "id bigint, embedding array<float>").repartition(5)
     queries = table.filter("id < 10")
-    got = {(r.query_id, r.rank): (r.id, r.distance) for r in vectors.knn_batch(table, queries, 4).collect()}
+    got = {(r.query_id, r.rank): (r.id, r.distance) for r in vectors.knn_batch(table, queries, 4, block).collect()}
     unit = base.astype("float64") / np.where((n := np.linalg.norm(base.astype("float64"), axis=1, keepdims=True)) > 0, n, 1)
     distance = np.round(1 - unit @ unit.T, 9)
     for q in range(10):
