@@ -66,13 +66,15 @@ def fit(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     words = _top(counted, ["lang"], WORDS).withColumn("length", F.lit(0)).unionByName(
         totals.select("lang", F.lit(None).cast("string").alias("item"), F.col("total").alias("n"), F.lit(0).alias("length"))
     )
-    marked = F.concat(F.lit("^"), F.col("item"), F.lit("$"))
-    length = F.explode(F.array(*map(F.lit, LENGTHS)))
-    grams = counted.select("lang", "n", marked.alias("marked"), length.alias("length"))
-    places = F.sequence(F.lit(1), F.length("marked") - F.col("length") + 1)
+    # Letter by letter, so that a run of any length takes time in proportion; the generator keeps the
+    # letters from being split again for every n-gram.
+    letters = F.regexp_extract_all(F.concat(F.lit("^"), F.col("item"), F.lit("$")), F.lit("(?s)."), F.lit(0))
+    grams = counted.select("lang", "n", letters.alias("letters"), F.explode(F.array(*map(F.lit, LENGTHS))).alias("length"))
+    places = F.sequence(F.lit(1), F.size("letters") - F.col("length") + 1)
+    gram = F.transform(places, lambda i: F.array_join(F.slice("letters", i, F.col("length")), ""))
     grams = (
-        grams.filter(F.length("marked") >= F.col("length"))
-        .select("lang", "n", "length", F.explode(F.transform(places, lambda i: F.substr("marked", i, F.col("length")))).alias("item"))
+        grams.filter(F.size("letters") >= F.col("length"))
+        .select("lang", "n", "length", F.explode(gram).alias("item"))
         .groupBy("lang", "length", "item")
         .agg(F.sum("n").alias("n"))
     )

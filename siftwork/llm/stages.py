@@ -6,9 +6,10 @@ is given, and rows may repeat or hold nulls."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import jaccard, mixing, packing, pii, quality
-from .common import table
+from .common import code_points, table
 
 #: Near duplicates in the pipeline: word shingles and percent of common ones.
 SHINGLE, PERCENT = 5, 80
@@ -25,8 +26,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with surrogates for personal data."""
-    return pii.with_surrogates(docs)
+    """The documents with surrogates for personal data; n_chars follows the new text."""
+    found = pii.with_surrogates(docs)
+    return found.withColumn("n_chars", code_points(F.col("text"))) if "n_chars" in docs.columns else found
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
