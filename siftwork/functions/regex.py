@@ -14,7 +14,9 @@ SPACE = r"\s\x1c-\x1f"
 def java_pattern(pattern: str, *, ignore_case: bool = False, dotall: bool = False) -> str:
     """Java form of a Python pattern: same white space, line ends, case folding and anchors."""
     flags = "dU" + ("iu" if ignore_case else "") + ("s" if dotall else "")
-    body = pattern.replace(r"\Z", r"\z").replace(r"\s", f"[{SPACE}]")
+    changed = {r"\Z": r"\z", r"\s": f"[{SPACE}]"}
+    # Escape by escape, so that an escaped backslash before a letter stays what it is.
+    body = re.sub(r"(?s)\\.", lambda m: changed.get(m[0], m[0]), pattern)
     return f"(?{flags}){body}"
 
 

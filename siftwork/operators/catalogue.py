@@ -21,7 +21,7 @@ from .. import catalogues as cat
 from ..functions import text
 from ..functions.secrets import FINDINGS_TYPE
 from ..sources.tables import read_or_empty, valid_docs
-from .enrich import enrich, explode_findings
+from .enrich import enrich, explode_findings, mask_secrets
 
 _FILE_COLUMNS = {
     "seq": "bigint",
@@ -256,11 +256,15 @@ def export_manifest(files: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def export_json(spark: SparkSession, root: str, folder: str, as_of: datetime) -> None:
-    """Dump the catalogue as JSON lines: `files`, `secret_findings` and a one-row `manifest`."""
+def export_json(
+    spark: SparkSession, root: str, folder: str, as_of: datetime, raw: bool = False, rules=cat.SECRET_RULES
+) -> None:
+    """Dump the catalogue as JSON lines: `files`, `secret_findings` and a one-row `manifest`.
+
+    Texts leave with every finding starred out; only `raw` exports them as they are."""
     files = read_files(spark, root)
     outputs = {
-        "files": export_files(files),
+        "files": export_files(files if raw else mask_secrets(files, rules)),
         "secret_findings": read_findings(spark, root),
         "manifest": export_manifest(files, as_of),
     }

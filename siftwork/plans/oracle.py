@@ -165,7 +165,7 @@ _BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 def _lines(source: str, key: str, text: str) -> str:
     return f"""
-all_lines AS (
+all_lines AS MATERIALIZED (
   SELECT {key}, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_number FROM (
     SELECT {key}, CASE WHEN p[-1] = '' THEN p[1:len(p) - 1] ELSE p END AS l
     FROM (SELECT {key}, string_split_regex({text}, '{_BREAK}') AS p FROM {source})))"""
@@ -177,14 +177,15 @@ def _entropy(text: str) -> str:
 
 
 def _findings(rules, source: str = "valid", text: str = "raw_content") -> str:
-    scans = []
+    scans, tests = [], []
     for pos, rule in enumerate(rules):
         pattern = q(("(?i)" if rule.ignore_case else "") + rule.pattern)
         scans.append(
             f"SELECT seq, line_number, line, {pos} AS rule_pos, {q(rule.name)} AS rule_name, {rule.min_entropy}::DOUBLE AS threshold,"
             f" regexp_extract_all(line, {pattern}, 0) AS ms, string_split_regex(line, {pattern}) AS gaps"
-            f" FROM all_lines WHERE regexp_matches(line, {pattern})"
+            f" FROM flagged WHERE regexp_matches(line, {pattern})"
         )
+        tests.append(f"regexp_matches(line, {pattern})")
     k = cat.CONTEXT_CHARS
 
     def window(first: str, last: str) -> str:
@@ -195,14 +196,15 @@ def _findings(rules, source: str = "valid", text: str = "raw_content") -> str:
 
     redacted = "CASE WHEN length(m) <= 8 THEN '****' ELSE left(m, 4) || '****' || right(m, 4) END"
     return f"""{_lines(source, 'seq', text)},
-scans AS ({" UNION ALL ".join(scans)}),
+flagged AS MATERIALIZED (SELECT * FROM all_lines WHERE {" OR ".join(tests)}),
+scans AS MATERIALIZED ({" UNION ALL ".join(scans)}),
 matches AS (
   SELECT seq, line_number, line, rule_pos, rule_name, threshold, ms[i] AS m,
     CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g)))
       + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0) AS BIGINT) AS start
   FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM scans)),
-hits AS (SELECT *, start + length(m) AS stop FROM matches WHERE threshold = 0 OR {_entropy('m')} >= threshold - 1e-12),
-spans AS (SELECT seq, line_number, list({{'a': start, 'b': stop}}) AS spans FROM hits GROUP BY ALL),
+hits AS MATERIALIZED (SELECT *, start + length(m) AS stop FROM matches WHERE threshold = 0 OR {_entropy('m')} >= threshold - 1e-12),
+spans AS MATERIALIZED (SELECT seq, line_number, list({{'a': start, 'b': stop}}) AS spans FROM hits GROUP BY ALL),
 findings AS (
   SELECT seq, rule_pos, rule_name, line_number, start, {redacted} AS redacted,
     {window(f'greatest(start - {k}, 0)', 'start')} || {redacted} || {window('stop', f'least(stop + {k}, length(line))')} AS context
@@ -296,7 +298,7 @@ def _pick(values, divisor: int) -> str:
 SEARCH = f"""
 sdocs AS (
   SELECT seq, 'https://' || {_pick(planted.SEARCH_HOSTS, 1)} || '/' || {_pick(planted.SEARCH_FOLDERS, 5)} || {_pick(planted.SEARCH_NAMES, 1)} AS url,
-    raw_content || chr(10) || {_pick(planted.SEARCH_LINES, 1)} AS raw_content FROM corpus),
+    raw_content || chr(10) || {_pick(planted.SEARCH_LINES, 1)} AS raw_content FROM valid),
 atoms AS (
   SELECT seq, url, lower(raw_content) AS t, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_extract(url, '^https://([^/]*)', 1) AS host,
     regexp_extract(url, '^https://[^/]*(.*)$', 1) AS path, regexp_extract(url, '[^/]*\\.([^./]+)$', 1) AS ext FROM sdocs)"""
@@ -436,7 +438,8 @@ def oracles() -> dict[str, str]:
         "upsert_catalogue_stream": w(CORPUS, SCORES, FINDINGS) + "SELECT content_hash, platform, n_findings > 0 AS has_secrets FROM first_docs JOIN best USING (seq) JOIN counted USING (seq)",
         "index_documents": w(CORPUS, RECRAWL, *BATCHES, "accepted AS (SELECT seq, 1 AS batch, raw_content FROM one WHERE outcome = 'accepted' UNION ALL SELECT seq, 2, raw_content FROM two WHERE outcome = 'accepted')", _findings(cat.SECRET_RULES, "accepted")) + "SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, count(*) FILTER (n_findings > 0) AS n_secrets FROM accepted JOIN counted USING (seq) GROUP BY ALL",
         "index_delete": w(CORPUS, SCORES) + "SELECT content_hash AS id, platform FROM first_docs JOIN best USING (seq) WHERE platform <> 'crewai'",
-        "index_reset": "SELECT count(*) AS n FROM documents WHERE false",
+        "index_reset": w(CORPUS) + "SELECT unnest(['before', 'reset', 'again']) AS state, unnest([n, 0, n]) AS n FROM (SELECT count(*) AS n FROM first_docs)",
+        "search_stored_index": _semantic(registry.QUERY_TEXT, cat.DEFAULT_TOP_K),
         "page_catalogue": w(CORPUS, SCORES) + "SELECT seq, url, ingest_s, platform FROM first_docs JOIN best USING (seq) ORDER BY ingest_s DESC, seq DESC LIMIT 100 OFFSET 100",
         "findings_of_file": w(CORPUS, FINDINGS) + "SELECT url, content_hash, rule_name, line_number, redacted FROM first_docs JOIN findings USING (seq)",
         "inventory_delta": w(CORPUS, RECRAWL) + "SELECT min(seq) AS seq, url FROM recrawl WHERE url NOT IN (SELECT url FROM corpus) GROUP BY url",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.regex import sql_literal
-from ..sources.tables import read_table
+from ..sources.tables import read_table, valid_docs
 
 # Fixed values: (file name, pieces); a piece is a text or (text, times).
 PLANTED: tuple[tuple[str, tuple], ...] = (
@@ -144,7 +144,7 @@ def search_corpus(spark: SparkSession, folder: str) -> DataFrame:
         literals = ", ".join(sql_literal(v) for v in values)
         return f"array({literals})[int(seq div {divisor} % {len(values)})]"
 
-    return corpus(spark, folder).selectExpr(
+    return valid_docs(corpus(spark, folder)).selectExpr(
         "seq",
         f"concat('https://', {pick(SEARCH_HOSTS, 1)}, '/', {pick(SEARCH_FOLDERS, 5)}, {pick(SEARCH_NAMES, 1)}) AS url",
         f"concat(raw_content, '\\n', {pick(SEARCH_LINES, 1)}) AS raw_content",

@@ -529,9 +529,24 @@ def index_delete(spark, sf):
 
 @query
 def index_reset(spark, sf):
+    """Rows of a collection before it is reset, after that, and after adding the files again."""
     root = _indexed(spark, sf, "index_reset")
+
+    def size(state: str) -> DataFrame:
+        n = vectors.read_index(spark, root).count()
+        return spark.createDataFrame([(state, n)], "state string, n bigint")
+
+    before = size("before")
     vectors.reset_index(spark, root)
-    return catalogue.count_rows(vectors.read_index(spark, root))
+    reset = size("reset")
+    vectors.index_batch(spark, catalogue.read_files(spark, root), root, 2)
+    return before.unionByName(reset).unionByName(size("again"))
+
+
+@query
+def search_stored_index(spark, sf):
+    """The text search over a collection that was written and read back."""
+    return ingest.search(spark, _indexed(spark, sf, "search_stored_index"), QUERY_TEXT)
 
 
 @query

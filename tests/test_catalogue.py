@@ -99,13 +99,16 @@ def test_summary_and_skips(spark):
 def test_nothing_written_holds_a_secret_outside_the_stored_text(spark, folder):
     catalogue.save_batch(spark, frame(spark, FIRST), folder, 1, AS_OF)
     catalogue.export_json(spark, folder, folder + "/out", AS_OF)
-    for table in (catalogue.read_findings(spark, folder), spark.read.json(folder + "/out/secret_findings")):
+    found = (catalogue.read_findings(spark, folder), spark.read.json(folder + "/out/secret_findings"))
+    for table in (*found, spark.read.json(folder + "/out/files")):
         dump = json.dumps([r.asDict() for r in table.collect()])
-        assert OPENAI not in dump and GITHUB not in dump and "redacted" in dump
+        assert OPENAI not in dump and GITHUB not in dump and "****" in dump
     manifest = spark.read.json(folder + "/out/manifest").first()
     assert manifest.total_files == 3 and manifest.exported_at == AS_OF.isoformat()
     lines = "".join(r.value for r in spark.read.text(folder + "/out/files").collect())
     assert "é" in lines and "2024-05-01T00:00:00" in lines
+    catalogue.export_json(spark, folder, folder + "/raw", AS_OF, raw=True)
+    assert OPENAI in "".join(r.value for r in spark.read.text(folder + "/raw/files").collect())
 
 
 def test_first_wins_is_independent_of_the_input_order(spark):

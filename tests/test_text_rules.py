@@ -206,6 +206,10 @@ def test_masked_documents_hold_no_secret(docs):
         assert i not in secrets or (secrets[i] in t and secrets[i] not in got[i])
 
 
+def test_escapes_are_ported_one_by_one():
+    assert regex.java_pattern(r"a\s\\s\Z").endswith(rf"a[{regex.SPACE}]\\s\z")
+
+
 def test_many_matches_in_one_line(spark):
     line = "{{AWS}} " * 1500 + "end"
     docs = spark.createDataFrame([(0, line)], "seq int, raw_content string")
