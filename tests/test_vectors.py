@@ -80,6 +80,17 @@ def test_batch_knn_against_brute_force(spark, block):
     assert len(got) == 40
 
 
+def test_bounded_batch_knn_finds_most_neighbours(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 16))
+    base = (centres[rng.integers(0, 20, 600)] + 0.3 * rng.normal(size=(600, 16))).astype("float32")
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "id bigint, embedding array<float>")
+    queries = table.filter("id % 20 = 0")
+    exact = {(r.query_id, r.id) for r in vectors.knn_batch(table, queries, 5).collect()}
+    near = [(r.query_id, r.id) for r in vectors.knn_batch_bounded(table, queries, 5, cells=24, probes=6, block=10).collect()]
+    assert len(near) == len(set(near)) == 150 and len(exact & set(near)) >= 0.9 * 150
+
+
 def test_predicate_catalogue_sizes():
     sizes = {"code-host": 48, "open-web": 48, "code-search": 50, "blob-search": 32, "s3": 24, "all": 96, "github": 48, "web": 48}
     assert {name: len(search.predicates(name)) for name in sizes} == sizes
