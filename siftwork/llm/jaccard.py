@@ -9,9 +9,10 @@ A times its transpose.  Only the cells that can reach the threshold are ever wor
    that many documents share come last in that order; a sketch of fixed size tells which these are.
    A prefix column with its rows is a bucket, a block of the product; a large bucket is cut into
    blocks of rows, and blocks that no pair can come from are left out.
-3. Inside a block the columns are folded into `CELLS` column groups.  The sum over groups of the
-   smaller count is at least the overlap; it is accumulated group by group, and a pair is discarded
-   when even its whole rest would leave it below the bound that its two sizes give.
+3. Inside a block the columns are folded into groups, the more the larger a row is (a few columns of
+   the row in each).  The sum over groups of the smaller count is at least the overlap; it is
+   accumulated over the groups, and a pair is discarded when even its whole rest would leave it
+   below the bound that its two sizes give.
 4. What is left is counted exactly on whole shingle sets.
 
 Linked documents need no further pair between them, so the search runs on components: first each
@@ -34,11 +35,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import shingles
+from . import keyfilter, shingles
 from .common import Workspace
 from .components import components
 
-CELLS, _GROUP = 128, 32
+#: Column groups of a small row; they double until a group has at most `_PER_CELL` columns of the row.
+CELLS, _PER_CELL = 128, 4
 #: The sketch: counters, and in how many documents of one window a shingle is frequent.
 _COUNTERS, _FREQUENT, _WINDOW = 1 << 20, 4, 1 << 21
 #: Rows of a bucket that are multiplied as one block.
@@ -107,9 +109,55 @@ def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def folded(own: np.ndarray) -> bytes:
-    """Counts of a row's columns by group; empty if a count does not fit, which bounds nothing."""
-    counts = np.bincount((own >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=CELLS)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+    """Counts of a row's columns by group, four bits each; empty if one does not fit, which bounds
+    nothing."""
+    width = CELLS
+    while width * _PER_CELL < len(own):
+        width *= 2
+    counts = np.bincount((own >> np.uint64(65 - width.bit_length())).astype(np.int64), minlength=width)
+    return (counts[0::2] | counts[1::2] << 4).astype(np.uint8).tobytes() if counts.max() < 16 else b""
+
+
+class Folds:
+    """Folded counts of many rows, at any width that a pair has in common: neighbouring groups of a
+    wider row are added."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+        self.width = np.array([2 * len(c) for c in packed], np.int64)
+        self._made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(matrix, row of the matrix for each row) of the rows at least this wide."""
+        if width not in self._made:
+            own = np.flatnonzero(self.width >= width)
+            matrix = np.zeros((len(own), width), np.uint16)
+            for wide in np.unique(self.width[own]).tolist():
+                same = np.flatnonzero(self.width[own] == wide)
+                pairs = np.frombuffer(b"".join(self.packed[i] for i in own[same].tolist()), np.uint8)
+                counts = np.stack([pairs & 15, pairs >> 4], 1)
+                matrix[same] = counts.reshape(len(same), width, wide // width).sum(2, dtype=np.uint16)
+            place = np.full(len(self.packed), -1)
+            place[own] = np.arange(len(own))
+            self._made[width] = matrix, place
+        return self._made[width]
+
+    def bounds(self, n: np.ndarray, other: Folds, m: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Upper bounds of the overlaps of the pairs of rows a and others b, -1 where discarded."""
+        width = np.minimum(self.width[a], other.width[b])
+        out = np.zeros(len(a), np.int64)
+        for w in np.unique(width).tolist():
+            same = np.flatnonzero(width == w)
+            for lo in range(0, len(same), max(1, (1 << 22) // max(w, 1))):
+                at = same[lo : lo + max(1, (1 << 22) // max(w, 1))]
+                i, j = a[at], b[at]
+                if w:
+                    (left, row), (right, column) = self.at(w), other.at(w)
+                    out[at] = may_link(n[i], m[j], left[row[i]], right[column[j]], percent)
+                else:
+                    most = np.minimum(n[i], m[j])
+                    out[at] = np.where(most >= overlap_needed(n[i], m[j], percent), most, -1)
+        return out
 
 
 def rows_of(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
@@ -149,21 +197,21 @@ def overlap_needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (na + nb) // (100 + percent))
 
 
-def may_link(na, nb, cells_a: np.ndarray, cells_b: np.ndarray, known: np.ndarray, percent: int) -> np.ndarray:
-    """Upper bounds of the overlaps of pairs, -1 where the pair is discarded."""
-    need = overlap_needed(na, nb, percent)
-    bound = np.where(known, 0, np.minimum(na, nb))
-    left_a, left_b = na.copy(), nb.copy()
-    live = np.flatnonzero(known)
-    for lo in range(0, CELLS, _GROUP):
-        a, b = cells_a[live, lo : lo + _GROUP], cells_b[live, lo : lo + _GROUP]
+def may_link(na: np.ndarray, nb: np.ndarray, cells_a: np.ndarray, cells_b: np.ndarray, percent: int) -> np.ndarray:
+    """Upper bounds of the overlaps of pairs, accumulated over the column groups; -1 where the pair is
+    discarded."""
+    need, bound = overlap_needed(na, nb, percent), np.zeros(len(na), np.int64)
+    left_a, left_b, live = na.copy(), nb.copy(), np.arange(len(na))
+    step = max(1, cells_a.shape[1] // 4)
+    for lo in range(0, cells_a.shape[1], step):
+        a, b = cells_a[live, lo : lo + step], cells_b[live, lo : lo + step]
         bound[live] += np.minimum(a, b).sum(1, dtype=np.int64)
         left_a[live] -= a.sum(1, dtype=np.int64)
         left_b[live] -= b.sum(1, dtype=np.int64)
         live = live[bound[live] + np.minimum(left_a[live], left_b[live]) >= need[live]]
-    passed = ~known
-    passed[live] = True
-    return np.where(passed & (bound >= need), bound, -1)
+    out = np.full(len(na), -1, np.int64)
+    out[live] = bound[live]
+    return out
 
 
 def _pair_slabs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -186,42 +234,50 @@ def _pair_slabs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndar
 
 
 def _multiply(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b) across components from rows sorted by block (shingle, bi, bj)."""
+    """Candidate pairs (a, b) across components from rows sorted by block (shingle, bi, bj); with
+    `best` only each row's best ones, and rows (null, null, shingle) for the buckets with more."""
     rest: pa.Table | None = None
 
     def pairs_of(rows: pa.Table) -> pa.RecordBatch:
         node, n, component, block, bi, bj = (rows[c].to_numpy() for c in ("node", "n", "component", "block", "bi", "bj"))
-        key = np.stack([rows["shingle"].to_numpy(), bi, bj])
+        shingle = rows["shingle"].to_numpy()
+        key = np.stack([shingle, bi, bj])
         begin = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
         sizes = np.diff(np.append(begin, len(node)))
-        packed = rows["cells"].to_pylist()
-        known = np.array([len(c) == CELLS for c in packed])
-        cells = np.frombuffer(b"".join(c if len(c) == CELLS else bytes(CELLS) for c in packed), np.uint8).reshape(-1, CELLS)
+        folds = Folds(rows["cells"].to_pylist())
         found = []
         for i, j in _pair_slabs(begin, sizes):
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             ok = (component[i] != component[j]) & (100 * small >= percent * large)
             ok &= (bi[i] == bj[i]) | (block[i] != block[j])
             i, j = i[ok], j[ok]
-            for lo in range(0, len(i), 1 << 15):
-                a, b = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
-                bound = may_link(n[a], n[b], cells[a], cells[b], known[a] & known[b], percent)
-                hit = bound >= 0
-                if hit.any():
-                    share = bound[hit] / (n[a[hit]] + n[b[hit]] - bound[hit])
-                    found.append((node[a[hit]], node[b[hit]], share))
+            bound = folds.bounds(n, folds, n, i, j, percent)
+            hit = bound >= 0
+            if hit.any():
+                a, b = i[hit], j[hit]
+                found.append((node[a], node[b], bound[hit] / (n[a] + n[b] - bound[hit]), shingle[a]))
+        ab, left = np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
         if found:
-            a, b, share = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, b, share, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
             a, b = np.minimum(a, b), np.maximum(a, b)
-            if best:  # each row's best partner, ties to the smallest
+            ab, pair = np.unique(np.stack([a, b]), axis=1, return_inverse=True)
+            if best:  # ties go to the smallest partner
                 own, other, both = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([share, share])
                 order = np.lexsort((other, -both, own))
                 first = order[np.concatenate([[True], own[order][1:] != own[order][:-1]])]
-                a, b = np.minimum(own[first], other[first]), np.maximum(own[first], other[first])
-            ab = np.unique(np.stack([a, b]), axis=1)
-        else:
-            ab = np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+                chosen = np.zeros(ab.shape[1], bool)
+                chosen[pair[first % len(a)]] = True
+                left = np.unique(bucket[~chosen[pair]])
+                ab = ab[:, chosen]
+        none = pa.nulls(len(left), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([pa.array(ab[0]), none]),
+                pa.concat_arrays([pa.array(ab[1]), none]),
+                pa.concat_arrays([pa.nulls(ab.shape[1], pa.int64()), pa.array(left)]),
+            ],
+            names=["a", "b", "more"],
+        )
 
     for batch in batches:
         rows = pa.Table.from_batches([batch])
@@ -280,17 +336,28 @@ class Join:
         self.rows = self.work.keep(rows.withColumn("row_id", F.monotonically_increasing_id()))
         some = self.rows.filter("n > 0").groupBy("n", "d1", "d2")
         self.nodes = self.work.keep(some.agg(F.min_by("row_id", _first("doc_id", "row_id")).alias("node"), F.min("doc_id").alias("first")))
-        distinct = self.rows.join(self.nodes.select("node"), self.rows["row_id"] == F.col("node"))
-        self.distinct = distinct.select("node", "n", "doc_id", "text_key", "prefix", "cells")
+        # The other copies are told apart by a filter first: only rows that may be one are moved.
+        copies = self.rows.select("row_id", "n").filter("n > 0").join(self.nodes.select(F.col("node").alias("row_id")), "row_id", "left_anti")
+        copies = self.work.keep(copies.select("row_id", F.xxhash64("row_id").alias("_copy")))
+        some = self.rows.filter("n > 0")
+        some = some.withColumn("_hit", keyfilter.may_hold(keyfilter.build(copies, "_copy"), F.xxhash64("row_id")))
+        rest = some.filter("_hit").join(copies.select("row_id"), "row_id", "left_anti")
+        distinct = some.filter(~F.col("_hit")).unionByName(rest.select(*some.columns))
+        self.distinct = self.work.keep(distinct.select(F.col("row_id").alias("node"), "n", "doc_id", "text_key", "prefix", "cells"))
         self.labels: DataFrame | None = None
 
     def buckets(self) -> DataFrame:
-        """(shingle, node, n, rows): prefix columns of at least two rows."""
+        """(shingle, node, n, rows, before): prefix columns of at least two rows of similar size."""
         bucket = Window.partitionBy("shingle")
         exploded = self.distinct.select("node", "n", F.explode("prefix").alias("shingle"))
         counted = exploded.withColumn("rows", F.count("*").over(bucket)).filter("rows > 1")
-        after = F.lag(F.struct("node", "n")).over(bucket.orderBy("n", "node"))
-        return self.work.keep(counted.withColumn("before", after))
+        order = bucket.orderBy("n", "node")
+        sized = counted.withColumns({"before": F.lag(F.struct("node", "n")).over(order), "_above": F.lead("n").over(order)})
+        # Rows are in order of size: one whose neighbours are too small and too large has no partner.
+        below = 100 * F.col("before.n") >= self.percent * F.col("n")
+        above = 100 * F.col("n") >= self.percent * F.col("_above")
+        near = F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False))
+        return self.work.keep(sized.filter(near).drop("_above"))
 
     def neighbours(self, buckets: DataFrame) -> DataFrame:
         """Pairs of a bucket's rows that follow each other in size."""
@@ -303,10 +370,8 @@ class Join:
 
         @F.arrow_udf("boolean")
         def passes(na: pa.Array, nb: pa.Array, ca: pa.Array, cb: pa.Array) -> pa.Array:
-            a, b = (c.to_pylist() for c in (ca, cb))
-            known = np.array([len(x) == CELLS and len(y) == CELLS for x, y in zip(a, b, strict=True)], bool)
-            matrix = lambda c: np.frombuffer(b"".join(x.ljust(CELLS, b"\0")[:CELLS] for x in c), np.uint8).reshape(-1, CELLS)
-            return pa.array(may_link(na.to_numpy(), nb.to_numpy(), matrix(a), matrix(b), known, percent) >= 0)
+            every = np.arange(len(na))
+            return pa.array(Folds(ca.to_pylist()).bounds(na.to_numpy(), Folds(cb.to_pylist()), nb.to_numpy(), every, every, percent) >= 0)
 
         side = lambda x: self.distinct.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}"))
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -321,22 +386,34 @@ class Join:
         cells = self.distinct.select(F.col("node").alias("_node"), "cells")
         rows = blocks.join(cells, F.col("node") == F.col("_node")).drop("_node")
         placed = rows.repartition("shingle", "bi", "bj").sortWithinPartitions("shingle", "bi", "bj")
-        return placed.mapInArrow(partial(_multiply, percent=self.percent, best=best), "a bigint, b bigint").distinct()
+        found = placed.mapInArrow(partial(_multiply, percent=self.percent, best=best), "a bigint, b bigint, more bigint")
+        return self.work.keep(found.distinct())
 
     def link(self, candidates: DataFrame) -> None:
         """Count the overlaps of candidate pairs exactly and merge what is linked."""
-        pairs = self.work.keep(candidates)
+        pairs = self.work.keep(candidates.select("a", "b"))
+        if self.labels is not None and pairs.isEmpty():
+            return
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         known = self.distinct.select("node", "n", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
         wanted = self.work.keep(known.join(wanted, "node"))
-        own = (F.xxhash64("text") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
-        size = self.size
-
-        @F.arrow_udf("array<bigint>")
-        def columns(texts: pa.Array) -> pa.Array:
-            return pa.array([s.view(np.int64) for s in shingles.shingle_sets(texts, size, lower=True)], pa.list_(pa.int64()))
-
-        sets = self.work.keep(self.docs.join(wanted, own).select("node", "n", columns("text").alias("columns")))
+        size, table = self.size, self.docs.sparkSession.sparkContext.broadcast(keyfilter.build(wanted, "_key"))
+
+        def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = batch.filter(pa.array(keyfilter.holds(table.value, batch["text_key"].to_numpy())))
+                for lo, texts in shingles.pieces(hit["text"], 1 << 22):
+                    own = [s.view(np.int64) for s in shingles.shingle_sets(texts, size, lower=True)]
+                    part = hit.slice(lo, len(texts))
+                    yield pa.RecordBatch.from_arrays(
+                        [part["doc_id"], part["text_key"], pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "text_key", "columns"]
+                    )
+
+        # Whole texts are not moved: the shingle sets of the rows asked for are.
+        keyed = self.docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+        made = keyed.mapInArrow(columns, "doc_id bigint, text_key bigint, columns array<bigint>")
+        own = (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+        sets = self.work.keep(made.join(wanted, own).select("node", "n", "columns"))
         side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("columns").alias(f"s{x}"))
         both = F.size(F.array_intersect("sa", "sb"))
         linked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), both.alias("both"))
@@ -349,8 +426,13 @@ class Join:
         """Per document row: row_id, doc_id, text_key, n and component_id."""
         buckets = self.buckets()
         self.link(self.neighbours(buckets))
-        self.link(self.candidates(buckets, best=True))
-        self.link(self.candidates(buckets, best=False))
+        found = self.candidates(buckets, best=True)
+        self.link(found.filter("more IS NULL"))
+        # Only buckets with further pairs are gone through again.
+        more = found.filter("more IS NOT NULL").select(F.col("more").alias("shingle")).distinct()
+        rest = self.work.keep(buckets.join(more, "shingle", "left_semi"))
+        if not rest.isEmpty():
+            self.link(self.candidates(rest, best=False))
         labels = self.labels.withColumnRenamed("node", "_node")
         labelled = self.nodes.join(labels, F.col("node") == F.col("_node"), "left").drop("_node")
         labelled = self.work.keep(labelled.withColumn("component", F.coalesce("component", "node")))
@@ -384,9 +466,12 @@ def one_per_component(docs: DataFrame, size: int, percent: int, block: int = BLO
         .select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), again.alias("_again"))
     )
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("_own"))
+    rows = rows.withColumn("_hit", keyfilter.may_hold(keyfilter.build(flags, "_key"), F.col("_own")))
+    # Only texts whose key may be flagged are moved.
+    passed = rows.filter(~F.col("_hit")).select("row.*")
     same = (rows["_own"] == flags["_key"]) & rows["row.doc_id"].eqNullSafe(flags["_doc"])
-    joined = rows.join(flags, same, "left")
-    kept = joined.filter(F.col("_again").isNull()).select("row.*")
+    joined = rows.filter("_hit").join(flags, same, "left")
+    kept = passed.unionByName(joined.filter(F.col("_again").isNull()).select("row.*"))
     if flags.filter("_again").isEmpty():
         return kept
     repeated = joined.filter("_again").withColumns({"_id": F.col("row.doc_id")}).dropDuplicates(["_id", "_own"])
