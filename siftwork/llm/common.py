@@ -16,11 +16,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows that go to Python at once: whole texts are large, and a task holds several such batches.
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_TEXTS = 500
+
+
 class Workspace:
     """A new folder in the cluster's shared storage; a written table cuts the lineage, survives
-    lost executors and is computed once."""
+    lost executors and is computed once.  Batches for Python are limited to a size for texts."""
 
     def __init__(self, spark: SparkSession):
+        if int(spark.conf.get(_BATCH_ROWS)) > _TEXTS:
+            spark.conf.set(_BATCH_ROWS, str(_TEXTS))
         self.spark = spark
         self.folder = shared_folder(spark)
         self._n = 0

@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, keep_ids: bool = True, tokeniz
                     row = (doc_id, number, start, n, zlib.crc32(own.tobytes()))
                     rows.append((*row, own.astype(np.int32)) if keep_ids else row)
                 held += len(ids) if keep_ids else 0
-                if held > 1 << 20:
+                if held > 1 << 18:
                     yield _batch(rows, schema)
                     rows, held = [], 0
             if rows:

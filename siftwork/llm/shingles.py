@@ -13,7 +13,7 @@ import xxhash
 
 _U = np.uint64
 #: Bytes handled at once: the working arrays take about 40 times as much.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 #: Words longer than this are hashed one by one.
 _LONG = 1024
 
@@ -118,7 +118,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     return mix(out), begin
 
 
-def pieces(texts: pa.Array, most: int = 1 << 23):
+def pieces(texts: pa.Array, most: int = 1 << 21):
     """Slices of a string array of about `most` bytes each, with the index of their first text."""
     _, offsets = text_bytes(texts)
     lo = 0
