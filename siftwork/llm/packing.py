@@ -180,4 +180,6 @@ def pack(parts: DataFrame, work: Workspace, length: int = LENGTH, block: int = B
 def pack_documents(docs: DataFrame, keep_ids: bool = True, tokenizer: tuple[str, str] | None = None, **capacities) -> DataFrame:
     """Documents (doc_id, text) as placed pieces: a sequence is the token_ids of its pieces by offset."""
     work = Workspace(docs.sparkSession)
+    if keep_ids:  # the ids travel with the pieces
+        capacities.setdefault("block", BLOCK // 4)
     return pack(work.keep(pieces(docs, LENGTH, keep_ids, tokenizer)), work, **capacities)
