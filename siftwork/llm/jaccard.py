@@ -400,8 +400,14 @@ class Join:
         size, table = self.size, self.docs.sparkSession.sparkContext.broadcast(keyfilter.build(wanted, "_key"))
 
         def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[tuple] = set()  # a task gives a row that repeats once
             for batch in batches:
-                hit = batch.filter(pa.array(keyfilter.holds(table.value, batch["text_key"].to_numpy())))
+                keys = list(zip(batch["text_key"].to_pylist(), batch["doc_id"].to_pylist(), strict=True))
+                held = keyfilter.holds(table.value, batch["text_key"].to_numpy())
+                for i in np.flatnonzero(held).tolist():
+                    held[i] = keys[i] not in seen
+                    seen.add(keys[i])
+                hit = batch.filter(pa.array(held))
                 for lo, texts in shingles.pieces(hit["text"], 1 << 22):
                     own = [s.view(np.int64) for s in shingles.shingle_sets(texts, size, lower=True)]
                     part = hit.slice(lo, len(texts))
@@ -412,11 +418,16 @@ class Join:
         # Whole texts are not moved: the shingle sets of the rows asked for are.
         keyed = self.docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
         made = keyed.mapInArrow(columns, "doc_id bigint, text_key bigint, columns array<bigint>")
-        own = (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
-        sets = self.work.keep(made.join(wanted, own).select("node", "n", "columns"))
-        side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("columns").alias(f"s{x}"))
+        sets = self.work.keep(made)
+        # A repeated row may have its set from several tasks; its pairs then come as often, as one link.
+        for x in "ab":
+            named = wanted.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("_key").alias(f"k{x}"), F.col("_doc").alias(f"d{x}"))
+            pairs = pairs.join(named, x)
+        for x in "ab":
+            own = sets.select(F.col("text_key").alias("_k"), F.col("doc_id").alias("_d"), F.col("columns").alias(f"s{x}"))
+            pairs = pairs.join(own, (F.col(f"k{x}") == F.col("_k")) & F.col(f"d{x}").eqNullSafe(F.col("_d"))).drop("_k", "_d")
         both = F.size(F.array_intersect("sa", "sb"))
-        linked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), both.alias("both"))
+        linked = pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), both.alias("both"))
         links = linked.filter(100 * F.col("both") >= self.percent * (F.col("n") - F.col("both"))).select("a", "b")
         if self.labels is not None:
             links = links.unionByName(self.labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
