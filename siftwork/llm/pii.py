@@ -9,8 +9,11 @@ country code and issuer digit, a valid check digit, private addresses private; a
 the gender that its title tells.
 
 All distinct entities are compared: a surrogate that another entity has already, or that is itself
-an entity of the corpus, is drawn again.  Only entities drawn more than once are joined back to their
-documents; texts are rewritten where they are.
+an entity of the corpus, is drawn again.  After a few draws in vain the space grows: names get more
+syllables, other entities more letters or digits, private addresses another private range, so that a
+free surrogate is found however many entities there are.  Only entities drawn more than once are joined
+back to their documents; texts are rewritten where they are.  A run of symbols behind a key word (a
+blank to fill in, a ruler) is not a secret.
 
 Null texts stay null and texts without an entity stay as they are.  All columns are kept; rows may
 repeat.  Overlapping finds go to the kind that stands first in `KINDS`."""
@@ -20,7 +23,9 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,7 +49,7 @@ _PHONE = re.compile(
 _COUNTRY = re.compile(r"\+\d{1,3}(?=[ .\-(])")
 _SECRET = re.compile(
     r"(?i)\b(?:api[_\-]?key|access[_\-]?key|secret|token|password|passwd|pwd)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
-    r"([A-Za-z0-9+/_\-=]{16,})"
+    r"((?=[+/_\-=]*[A-Za-z0-9])[A-Za-z0-9+/_\-=]{16,})"
 )
 #: Titles by the gender they tell.
 _TITLES = {
@@ -65,6 +70,8 @@ _ALPHABET = {s: "".join(c for c in map(chr, range(a, b)) if c.isalpha() and c !=
 #: First octets of addresses in no special range.
 _PUBLIC = [n for n in range(11, 224) if n not in (100, 127, 169, 172, 192, 198, 203)]
 _HAN = (0x4E00, 0x9FA5)
+#: Draws before the space of surrogates grows; numbers and addresses have a format that is worth more of them.
+_PATIENCE = {"card": 12, "ssn": 12, "phone": 12, "ip": 24}
 #: Sounds that invented names are made of, and endings that tell a gender.
 _ONSETS = {"latin": "b c d f g h j k l m n p r s t v w z br cl dr gr st tr".split(), "greek": list("βγδζθκλμνπρστφχ"), "cyrillic": list("бвгджзклмнпрстфхчш")}
 _VOWELS = {"latin": "a e i o u ai ea ou".split(), "greek": list("αεηιουω"), "cyrillic": list("аеиоуя")}
@@ -171,60 +178,84 @@ def _script(char: str) -> str | None:
     return next((s for s, (a, b) in _SCRIPTS.items() if a <= ord(low) < b), "han" if _HAN[0] <= ord(low) <= _HAN[1] else None)
 
 
-def _alike(text: str, draws: _Draws) -> str:
-    """Letters for letters of the script, digits for digits, all else as it is."""
-    out = []
+@lru_cache(None)
+def _neighbours(script: str, block: int) -> str:
+    """Letters without capitals of a script that has no alphabet here, from a block of 1,024 code points."""
+    near = map(chr, range(block << 10, (block + 1) << 10))
+    return "".join(c for c in near if c.isalpha() and c == c.lower() and unicodedata.name(c, "").partition(" ")[0] == script)
+
+
+def _letter(char: str, draws: _Draws) -> str:
+    """A letter of the same script and case."""
+    script = _script(char)
+    if script == "han":
+        return chr(draws.below(_HAN[1] - _HAN[0]) + _HAN[0])
+    low = char.lower()[:1]
+    letters = _ALPHABET[script] if script else _neighbours(unicodedata.name(low, "").partition(" ")[0], ord(low) >> 10)
+    new = draws.pick(letters or _ALPHABET["latin"])
+    return new.upper() if char.isupper() and len(new.upper()) == 1 else new
+
+
+def _alike(text: str, draws: _Draws, more: int = 0) -> str:
+    """Letters for letters of the script, digits for digits, all else as it is; then `more` like the last one."""
+    out, last = [], "a"
     for c in text:
         if c.isdecimal():
             out.append(str(draws.below(10)))
-        elif c.isalpha() and (script := _script(c)):
-            new = chr(draws.below(_HAN[1] - _HAN[0]) + _HAN[0]) if script == "han" else draws.pick(_ALPHABET[script])
-            out.append(new.upper() if c.isupper() else new)
+        elif c.isalpha():
+            out.append(_letter(c, draws))
         else:
             out.append(c)
+            continue
+        last = c
+    out += [str(draws.below(10)) if last.isdecimal() else _letter(last, draws) for _ in range(more)]
     return "".join(out)
 
 
-def _number(text: str, draws: _Draws, keep: int = 0) -> str:
-    """Digits of the same number, the first `keep` ones as they are; a leading zero stays one."""
+def _number(text: str, draws: _Draws, keep: int = 0, more: int = 0) -> str:
+    """Digits of the same number and `more`, the first `keep` ones as they are; a leading zero may be one again."""
     return text[:keep] + "".join(
-        str(draws.below(10)) if i or c == "0" else str(1 + draws.below(9)) for i, c in enumerate(text[keep:])
+        str(draws.below(10)) if i or c == "0" else str(1 + draws.below(9)) for i, c in enumerate(text[keep:] + "0" * more)
     )
 
 
-def _name(entity: str, kind: str, draws: _Draws) -> str:
+def _name(entity: str, kind: str, draws: _Draws, more: int = 0) -> str:
     script = _script(entity[0])
     if script not in _ONSETS:
-        return _alike(entity, draws)
+        return _alike(entity, draws, more)
     syllable = lambda: draws.pick(_ONSETS[script]) + draws.pick(_VOWELS[script])
+    longer = "".join(syllable() for _ in range(more))
     if kind == "family":
-        return syllable() + syllable() + draws.pick(_ONSETS[script]) + draws.pick(_ENDINGS[script]["n"])
-    return syllable() + draws.pick(_ONSETS[script]) + draws.pick(_ENDINGS[script][kind.partition(":")[2] or "n"])
+        return longer + syllable() + syllable() + draws.pick(_ONSETS[script]) + draws.pick(_ENDINGS[script]["n"])
+    return longer + syllable() + draws.pick(_ONSETS[script]) + draws.pick(_ENDINGS[script][kind.partition(":")[2] or "n"])
 
 
 def surrogate(kind: str, entity: str, attempt: int, key: str) -> str:
-    """Canonical surrogate of a canonical entity."""
+    """Canonical surrogate of a canonical entity; later attempts draw from ever larger spaces."""
     draws = _Draws(key, kind.partition(":")[0], entity, attempt)
+    more = max(0, attempt - _PATIENCE.get(kind, 3))
     if kind == "email":
         local, _, domain = entity.partition("@")
         labels, _, top = domain.rpartition(".")
-        return f"{_alike(local, draws)}@{_alike(labels, draws)}.{top}"
+        return f"{_alike(local, draws, more)}@{_alike(labels, draws)}.{top}"
     if kind == "card":
-        body = _number(entity[:-1], draws, keep=1)
+        body = _number(entity[:-1], draws, keep=1, more=more)
         return body + str(-_luhn(body + "0") % 10)
     if kind == "ip":
         octets = entity.split(".")
         keep = (1 if octets[0] in ("10", "127") else 2) if ipaddress.ip_address(".".join(str(int(o)) for o in octets)).is_private else 0
         head = octets[:keep] or [str(draws.pick(_PUBLIC))]
-        return ".".join([*head, *(str(1 + draws.below(254)) for _ in octets[len(head) :])])
+        if attempt > 3 and keep:  # another private range, the largest, and at last a public one
+            head = ["10"] if attempt <= 12 else [str(draws.pick(_PUBLIC))]
+        return ".".join([*head, *(str(1 + draws.below(254)) for _ in range(len(octets) - len(head) + more))])
     if kind in ("phone", "ssn"):
-        return _number(entity, draws)
+        return _number(entity, draws, more=more)
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity):
             hexes = "0123456789ABCDEF" if entity.isupper() else "0123456789abcdef"
-            return "".join(draws.pick(hexes) for _ in entity)
-        return _alike(entity, draws)
-    return _name(entity, kind, draws)
+            return "".join(draws.pick(hexes) for _ in range(len(entity) + more))
+        return _alike(entity, draws, more)
+    return _name(entity, kind, draws, more)
 
 
 def _like_mention(kind: str, mention: str, new: str) -> str:
@@ -232,7 +263,7 @@ def _like_mention(kind: str, mention: str, new: str) -> str:
     if kind in ("card", "phone", "ssn"):
         digits, country = iter(new), _COUNTRY.match(mention)
         kept = country.end() if country else 0
-        return mention[:kept] + "".join(next(digits) if c.isdecimal() else c for c in mention[kept:])
+        return mention[:kept] + "".join(next(digits) if c.isdecimal() else c for c in mention[kept:]) + "".join(digits)
     if kind == "email" and len(new) == len(mention):
         return "".join(n.upper() if m.isupper() else n for m, n in zip(mention, new, strict=True))
     if kind == "family" or kind.startswith("given"):

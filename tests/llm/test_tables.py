@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import io
 import random
+import string
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -206,6 +208,38 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert pii.resolve(df, Workspace(spark), "k") is None
 
 
+def test_blanks_are_no_secrets():
+    assert kinds("Password: ______________________") == kinds("Token:\n--------------------") == kinds("secret = ====+/====+/====") == []
+    assert kinds("Password: ______________________x1") == [("secret", "______________________x1")]
+
+
+def test_every_entity_changes_in_some_attempt():
+    entities = [("family", "պետրոսյան"), ("given:f", "สมหญิง"), ("email", "สมชาย@ไทย.ไทย"), ("family", "김"), ("family", "ế"), ("secret", "_" * 20 + "é")]
+    for kind, entity in entities:
+        assert any(pii.surrogate(kind, entity, n, "k") != entity for n in range(3)), entity
+    assert unicodedata.name(pii.surrogate("family", "պետրոսյան", 0, "k")[0]).startswith("ARMENIAN SMALL")
+
+
+def test_space_of_surrogates_grows(spark):
+    """More entities than surrogates of their format, all of which are entities: each still gets its own."""
+    letters = string.ascii_lowercase
+    short = [("email", "email", f"{a}@{b}.co") for a in letters for b in letters]
+    private = [f"192.168.{a}.{b}" for a in range(1, 255) for b in range(1, 255)]
+    taken = {e for _, _, e in short} | set(private)
+    for kind, entity in (("email", "a@b.co"), ("ip", "192.168.1.1")):
+        assert any(pii.surrogate(kind, entity, n, "k") not in taken for n in range(40))
+    for kind, entity in (("given:m", "ann"), ("family", "李"), ("secret", "_" * 20 + "x"), ("phone", "3012"), ("ssn", "123456789"), ("card", "4" * 16)):
+        assert len(pii.surrogate(kind, entity, 40, "k")) > len(entity)
+    given = [("given", "given:m", f"n{i}") for i in range(300)]
+    names = [("given", "given:m", pii.surrogate("given:m", f"n{i}", n, "k")) for i in range(300) for n in range(2)]
+    entities = sorted(set(short + given + names))
+    df = spark.createDataFrame(entities, "class string, kind string, entity string")
+    again = {(r["class"], r.entity): r.attempt for r in pii.resolve(df, Workspace(spark), "k").collect()}
+    final = [(c, pii.surrogate(k, e, again.get((c, e), 0), "k")) for c, k, e in entities]
+    assert len(set(final)) == len(entities) and not set(final) & {(c, e) for c, _, e in entities}
+    assert pii._like_mention("phone", "+49 30 12", "301299") == "+49 30 1299"
+
+
 def test_redrawn_entities_reach_their_documents(spark, monkeypatch):
     redrawn = spark.createDataFrame([("email", "a@b.org", 3)], "class string, entity string, attempt int")
     monkeypatch.setattr(pii, "resolve", lambda *a: redrawn)
