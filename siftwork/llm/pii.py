@@ -1,7 +1,8 @@
 """Personal data replaced by surrogates of the same kind.
 
 Detected are e-mail addresses, payment cards (issuer prefix and check digit), IPv4 addresses,
-telephone numbers, US social security numbers, secrets behind a key word, and names behind a title.
+telephone numbers (with + and country code, in the North American format, or with a trunk zero and
+spaces; not a national number in pairs of digits, which looks like any list of numbers), US social security numbers, secrets behind a key word, and names behind a title.
 A surrogate is drawn from a keyed hash of the entity: the same entity has the same surrogate in
 every document, whatever its capitals or separators, and nobody without the key can find it again.
 It keeps the format: separators, capitals, number of digits and letters, script of the letters, the
@@ -46,7 +47,17 @@ _PHONE = re.compile(
     r"(?<![\d+])(?:(?:\+1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}|\+1[ .\-]?\d{3} \d{3} \d{4}"
     r"|\+(?!1[ .\-(])\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4})(?!\d)"
 )
-_COUNTRY = re.compile(r"\+\d{1,3}(?=[ .\-(])")
+_NATIONAL = re.compile(
+    r"(?<![\d+])(?:(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)|0[1-9]\d{0,3} (?=(?:\d ?){5,9}(?!\d))\d{3,8}(?: \d{2,8}){0,2}(?![.,:\-]?\d))"
+)
+_RUN = re.compile(r"\d+")
+#: A group of digits behind those before it.
+_GROUP = re.compile(r"[ .\-/]?\(\d{1,5}\)|(?:(?<=\))[ .\-/]?|[ .\-/])\d+")
+_GOES_ON = re.compile(r"[.,:/\-]?\d")
+#: The country code: what is set apart, or else by the codes in use; with a trunk zero in brackets.
+_COUNTRY = re.compile(
+    r"\+(?:\d{1,3}(?=[ .\-/(])|1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})(?:[ .\-/]?\(0\))?"
+)
 _SECRET = re.compile(
     r"(?i)\b(?:api[_\-]?key|access[_\-]?key|secret|token|password|passwd|pwd)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
     r"((?=[+/_\-=]*[A-Za-z0-9])[A-Za-z0-9+/_\-=]{16,})"
@@ -106,12 +117,50 @@ def _emails(text: str) -> Iterator[Span]:
         at = text.find("@", at + 1)
 
 
+def _international(text: str, at: int) -> int | None:
+    """End of the telephone number whose + stands before `at`: 7 to 15 digits, as many groups as go
+    together.  Compact numbers and runs of seven digits end it, but for an extension behind a hyphen;
+    numbers of country 1 have eleven digits."""
+    first = _RUN.match(text, at)
+    if first is None:
+        return None
+    if len(first[0]) > 4:
+        before, behind = text[max(0, at - 2) : at - 1], text[first.end() : first.end() + 1]
+        inside = (before.isascii() and before.isalnum()) or (behind.isascii() and behind.isalpha() and behind not in "xX")
+        return first.end() if 7 <= len(first[0]) <= 15 and not inside else None
+    digits, end, best, dots, run = len(first[0]), first.end(), None, None, 0
+    while group := _GROUP.match(text, end):
+        n = len(_digits(group[0]))
+        if digits + n > 15 or (run > 6 and group[0][0] != "-"):
+            break
+        if group[0][0] == "." and dots is False:
+            break
+        dots = group[0][0] == "." if dots is None or group[0][0] != "." else dots
+        digits, end, run = digits + n, group.end(), max(run, n)
+        if digits >= 7 and text[end - 1] != ")" and (digits == 11 or first[0] != "1") and not _GOES_ON.match(text, end):
+            best = end
+    return best
+
+
+def _phones(text: str) -> Iterator[Span]:
+    ends = {m.start(): m.end() for m in _PHONE.finditer(text)}
+    for m in _NATIONAL.finditer(text):
+        ends[m.start()] = max(m.end(), ends.get(m.start(), 0))
+    at = text.find("+")
+    while at >= 0:
+        if not text[max(0, at - 1) : at].isdecimal() and text[max(0, at - 1) : at] != "+" and (end := _international(text, at + 1)):
+            ends[at] = max(end, ends.get(at, 0))
+        at = text.find("+", at + 1)
+    for begin, end in ends.items():
+        yield begin, end, "phone", _digits(_COUNTRY.sub("", text[begin:end], 1))
+
+
 def _names(text: str) -> Iterator[Span]:
-    """Up to three capitalised words behind a title: given names and, last, the family name."""
+    """Capitalised words behind a title: given names and, last, the family name."""
     for title in _TITLE.finditer(text):
         words: list[re.Match] = []
         at = title.end()
-        while len(words) < 3 and (word := _NAME.match(text, at)) and word[1][0].isupper() and word[1] not in _GENDER:
+        while (word := _NAME.match(text, at)) and word[1][0].isupper() and word[1] not in _GENDER:
             words.append(word)
             at = word.end()
         for k, word in enumerate(words):
@@ -133,10 +182,11 @@ def find(text: str | None) -> list[Span]:
     if "=" in text or ":" in text:
         add((m.start(1), m.end(1), "secret", m[1]) for m in _SECRET.finditer(text))
     cards = ((m.start(), m.end(), "card", _digits(m[0])) for m in _CARD.finditer(text))
-    add(c for c in cards if _ISSUER.match(c[3]) and _luhn(c[3]) == 0)
+    cards = (c for c in cards if _ISSUER.match(c[3]) and _luhn(c[3]) == 0)
+    add(c for c in cards if text[max(0, c[0] - 1) : c[0]] != "+" or not _international(text, c[0]))
     add((m.start(), m.end(), "ssn", _digits(m[0])) for m in _SSN.finditer(text))
     add((m.start(), m.end(), "ip", m[0]) for m in _IP.finditer(text) if all(int(x) < 256 for x in m[0].split(".")))
-    add((m.start(), m.end(), "phone", _digits(_COUNTRY.sub("", m[0], 1))) for m in _PHONE.finditer(text))
+    add(_phones(text))
     add(_names(text))
     kept: list[Span] = []
     taken = bytearray(0)
@@ -249,7 +299,7 @@ def surrogate(kind: str, entity: str, attempt: int, key: str) -> str:
             head = ["10"] if attempt <= 12 else [str(draws.pick(_PUBLIC))]
         return ".".join([*head, *(str(1 + draws.below(254)) for _ in range(len(octets) - len(head) + more))])
     if kind in ("phone", "ssn"):
-        return _number(entity, draws, more=more)
+        return _number(entity, draws, keep=int(kind == "phone" and entity[0] == "0"), more=more)
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity):
             hexes = "0123456789ABCDEF" if entity.isupper() else "0123456789abcdef"

@@ -178,6 +178,31 @@ def test_detection():
     assert pii.find(None) == pii.find("") == pii.find("Version 2.0, 1234567890123456 and more words") == []
 
 
+@pytest.mark.parametrize("number", [
+    "+4915112345678", "+442071838750", "+12025550143", "+1 2025550143", "+49 30 1234567", "+49 (30) 1234567", "+49 (0)30 1234567",
+    "+33 1 23 45 67 89", "+33.1.23.45.67.89", "+1 (202) 555-0143", "+1(202)555-0143", "+49 30 1234567-12", "+7 495 123-45-67", "+353 1 234 5678",
+    "+49 30 1234 567", "+5 (243) 555-5526", "(202) 555 0143", "202 555 0143", "202-555-0143", "030 1234567", "020 7183 8750", "0151 12345678",
+])
+def test_formats_of_telephone_numbers(number):
+    for text in (f"call {number}", f"tel:{number}, or so", f"{number} 4.0 2024-01-02", f"({number})", f"{number}\n10:30"):
+        assert kinds(text) == [("phone", number)], text
+    new = pii.replace(number, "k")
+    assert new != number and len(new) == len(number) and kinds(new) == [("phone", new)]
+    country = pii._COUNTRY.match(number)
+    assert new.startswith(country[0] if country else "")
+
+
+def test_numbers_that_are_not_for_telephones():
+    assert kinds("1+2 345 6789, +12345, a+12345678b, +1234567890123456, v2 +3.14159, 2024-01-02 10:30 100 200 300") == []
+    assert len({s[3] for t in ("+4915112345678", "+49 151 12345678", "+49 (0)151-12345678") for s in pii.find(t)}) == 1
+    assert len({s[3] for t in ("+12025550143", "+1 202 555 0143", "(202) 555-0143") for s in pii.find(t)}) == 1
+
+
+def test_names_of_any_number_of_words():
+    assert kinds("Mr Juan Carlos García López came") == [("given", "Juan"), ("given", "Carlos"), ("given", "García"), ("family", "López")]
+    assert kinds("Doña Ana María Del Carmen Ruiz Soto")[-1] == ("family", "Soto")
+
+
 def test_surrogates_keep_type_format_gender_and_script():
     text = "Mr. Ivan Petrov, Госпожа Анна Иванова, A@Bc.org a@bc.org +1 (243) 555-5526 (243) 555-5526 4111-1111-1111-1111 10.1.2.3 8.8.8.8"
     new = pii.replace(text, "k")
