@@ -1,8 +1,10 @@
 """Licence scan: TF-IDF cosine of licence statements to templates, and inheritance along directories,
 in DataFrame operations only.
 
-A file's statements are its lines with a cue word; of a licence file (by its name) the whole text is
-one more.  Statements and templates become sparse vectors of words, weighted by 1 + ln(tf) and by the
+A file's statements are its lines, its blocks of neighbouring lines (a paragraph, or a run of comment
+lines; a statement may be wrapped) and the sentences of blocks of several lines, as far as they hold a
+word for licences or two of the words that the templates are made of; of a licence file (by its name)
+the whole text is one more.  Comment marks are no words.  Statements and templates become sparse vectors of words, weighted by 1 + ln(tf) and by the
 rarity of the word among all statements of the corpus; joining them on the word multiplies the two
 matrices.  Only words that a template has can add to a product, so all others go into the length of
 the statement alone.  A statement has the licence of its nearest template if the cosine reaches
@@ -16,13 +18,14 @@ Null and empty texts and paths have no statement and nothing to inherit from; ro
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, text_of
 
 LEAST = 0.6
-_CUE = r"(?i)\blicen[cs]e|\bcopyright\b|\bCC[ -]BY|\bpublic domain\b|\bpermission is hereby granted\b"
 _FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([^/]*)$"
 
 #: Licences and the statements that name them.
@@ -48,6 +51,18 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: Words of the templates that any text may have.
+_COMMON = frozenset(
+    "a all an and any are as at be by can either except file following for form forms free from hereby in is it later may met must not of or "
+    "person program provided released search source subject terms that the this to under use version with without work you your".split()
+)
+_TELLING = sorted({w for _, t in TEMPLATES for w in re.findall(r"[^\W\d_]{2,}", t.lower())} - _COMMON)
+_ONE = rf"\b(?:{'|'.join(_TELLING)})\b"
+_SURE = r"\blicen[cs]e|\bcopyright\b|\bCC[ -]BY|\bpublic domain\b|\bpermission is hereby granted\b"
+#: A quick test for what can be a statement at all.
+_CUE = rf"(?i){_SURE}|{_ONE}"
+_MARK = r"[ \t]*(?://|/\*|\*|#|;|%|--|<!--|\.\.[ \t]|\"{3}|'{3})"
+
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -57,14 +72,33 @@ def is_licence_file(path: str = "path") -> Column:
     return F.coalesce(F.col(path).rlike(_FILE), F.lit(False))
 
 
+def _cued(text: Column) -> Column:
+    """Whether a text has a word for licences, or two different words of the templates."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_ONE), F.lit(0)))
+    return text.rlike(_CUE) & (text.rlike(f"(?i){_SURE}") | (F.size(words) > 1))
+
+
+def _blocks(text: Column) -> Column:
+    """Paragraphs and runs of comment lines; a comment line without a word ends a block."""
+    lines = F.regexp_replace(text, r"\r\n?", "\n")
+    bare = F.regexp_replace(lines, r"(?m)^[^\p{L}\p{N}\n]+$", "")
+    out = F.regexp_replace(bare, rf"(?m)^({_MARK}[^\n]*)\n(?!{_MARK})", "$1\n\n")
+    into = F.regexp_replace(out, rf"(?m)^((?!{_MARK})[^\n]+)\n(?={_MARK})", "$1\n\n")
+    return F.split(into, r"\n{2,}", -1)
+
+
 def statements(files: DataFrame) -> DataFrame:
     """(file, words) of each statement; `files` has (file, path, text)."""
     whole = text_of()
-    lines = F.filter(F.split(whole, r"[\r\n]+", -1), lambda x: x.rlike(_CUE))
-    every = F.when(is_licence_file(), F.concat(lines, F.array(whole))).otherwise(lines)
     cued = files.filter(is_licence_file() | whole.rlike(_CUE))
-    made = cued.select("file", F.explode(F.array_distinct(every)).alias("statement"))
-    return made.select("file", _words(F.col("statement")).alias("words")).filter(F.size("words") > 0)
+    cued = cued.select("file", whole.alias("text"), is_licence_file().alias("named"), F.filter(_blocks(whole), _cued).alias("blocks"))
+    wrapped = F.filter("blocks", lambda b: b.contains("\n"))
+    sentences = F.flatten(F.transform(wrapped, lambda b: F.split(b, r"(?<=[.;])\s+", -1)))
+    lines = F.flatten(F.transform("blocks", lambda b: F.split(b, r"\n", -1)))
+    pieces = F.filter(F.array_distinct(F.concat(lines, sentences)), _cued)
+    every = F.concat(pieces, "blocks", F.when(F.col("named"), F.array("text")).otherwise(F.array().cast("array<string>")))
+    made = cued.select("file", F.explode(F.array_distinct(F.transform(every, _words))).alias("words"))
+    return made.filter(F.size("words") > 0)
 
 
 def template_vectors(spark: SparkSession) -> DataFrame:

@@ -439,6 +439,20 @@ def test_licence_cosine_against_brute_force(spark):
         assert got[i][0] == min(best)[1] and got[i][1] == pytest.approx(-min(best)[0], abs=1e-8)
 
 
+def test_wrapped_statements_and_those_without_a_cue_word(spark):
+    texts = [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\nimport os\nimport sys",
+        "/*\n * This work is licensed under the GNU General\n * Public License,\n * version 3.\n */\nint main(void) { return 0; }\nint other;",
+        "// Copyright 2020 Some Body of Elsewhere.\r\n// Licensed under the\r\n// Apache License, Version\r\n// 2.0.\r\n\r\nvar x;",
+        "This work is licensed under\nthe GNU General Public License,\nversion 2.\n\nAnother paragraph about nothing at all.",
+        "plain words\nof a text without any statement\n\nand another paragraph",
+    ]
+    files = spark.createDataFrame([(i, f"d/{i}.txt", t) for i, t in enumerate(texts)], "file bigint, path string, text string")
+    got = {r.file: r.licence for r in licences.detect(files, Workspace(spark)).collect()}
+    assert got == {0: "BSD-3-Clause", 1: "BSD-3-Clause", 2: "GPL-3.0", 3: "Apache-2.0", 4: "GPL-2.0"}
+
+
 def test_licences_of_an_empty_table(spark):
     assert licences.scan(spark.createDataFrame([], "file bigint, path string, text string")).count() == 0
 
