@@ -5,7 +5,7 @@ with the document, two sketches can be merged by a union, and the share of one s
 other one holds estimates containment also between a paragraph and a book.
 
 A fingerprint is text: the number of shingles and a check number of all of them (both hex), then
-the retained hashes in ascending order, cut to 40 bits, in base64: `n.check.hashes`.  Equal texts
+the retained hashes in ascending order, cut to 32 bits, in base64: `n.check.hashes`.  Equal texts
 have equal fingerprints.  Null and empty texts, and texts of white space, have the fingerprint
 `0.0.`; a text with fewer words than a shingle has its whole word sequence as its one shingle."""
 
@@ -25,8 +25,8 @@ from .common import Workspace
 
 SHINGLE = 5
 #: Hashes below 2^64 / SCALE are retained.
-SCALE = 16
-_BYTES = 5  # of a retained hash in the fingerprint
+SCALE = 4
+_BYTES = 4  # of a retained hash in the fingerprint
 
 Sketch = tuple[int, int, np.ndarray]
 

@@ -65,6 +65,16 @@ def test_fingerprints():
     assert sketches.likeness(of("one two"), of("three four")) == 0 and sketches.likeness(of(""), of(None)) == 1
 
 
+def test_short_near_copies_are_seen():
+    rng = random.Random(8)
+    texts = [words(rng, rng.randrange(30, 50)) for _ in range(300)]
+    copies = [" ".join("changed" if i == 4 else w for i, w in enumerate(t.split())) for t in texts]
+    sets = [list(shingles.shingle_sets(pa.array(x), 5)) for x in (texts, copies)]
+    exact = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in zip(*sets, strict=True)]
+    got = [sketches.likeness(sketches.sketch_of(a), sketches.sketch_of(b)) for a, b in zip(*sets, strict=True)]
+    assert np.mean(np.abs(np.array(got) - exact)) < 0.15 and got.count(0) <= 3
+
+
 def neighbours(rows):
     """(text, edited text) by brute force for rows with distinct identifiers."""
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
