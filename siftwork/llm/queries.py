@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, licences, mixing, outliers, packing, pii, quality, sketches, warc
+from . import alignment, jaccard, language, licences, mixing, outliers, packing, pii, pivots, quality, simhash, sketches, warc
 from .common import table
 
 
@@ -58,6 +58,18 @@ def op10_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict:
     return {
         "op1_robust_outliers": op1_robust_outliers,
@@ -70,6 +82,9 @@ def registered() -> dict:
         "op8_licence_scan": op8_licence_scan,
         "op9_warc_chunks": op9_warc_chunks,
         "op10_threshold_sketch": op10_threshold_sketch,
+        "op11_pivot_clusters": op11_pivot_clusters,
+        "op12_simhash_trie": op12_simhash_trie,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
