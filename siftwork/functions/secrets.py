@@ -1,4 +1,4 @@
-"""Credential detection inside one row: no shuffle, no Python worker.
+"""Credential detection inside one row: no shuffle, and no Python worker unless a user's rule needs one.
 
 A document is split into lines only if one of its rules can match at all.  Findings carry the
 redacted form and a context in which every character that belongs to any finding is masked; the
@@ -10,17 +10,20 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalogues as cat
 from ..catalogues import SecretRule
+from . import pyrules
 from .regex import contains_any_sql, java_pattern, let_sql, sql_literal
 from .text import LINE_BREAK, lines_sql, redact_sql, shannon_entropy_sql
 
 # Entropies that equal a threshold up to rounding pass it.
 _EPS = 1e-12
 _CHUNK = 256
+#: Column with the matches of rules that only Python can run.
+PYTHON_HITS = "_python_hits"
 
 FINDINGS_TYPE = (
     "array<struct<rule_pos:int,line:int,start:int,rule:string,redacted:string,context:string>>"
@@ -28,6 +31,20 @@ FINDINGS_TYPE = (
 _NO_FINDINGS = f"cast(array() AS {FINDINGS_TYPE})"
 
 
+def _python_rules(rules: Sequence[SecretRule]) -> list[tuple[int, SecretRule]]:
+    return [(p, rule) for p, rule in enumerate(rules) if pyrules.python_only(rule.pattern)]
+
+
+def with_python_hits(docs: DataFrame, text: str, rules: Sequence[SecretRule] = cat.SECRET_RULES) -> DataFrame:
+    """The rows, with a column of matches if any rule needs Python; the functions below expect it.
+
+    (The optimizer copies no expression out of a generator: each text goes to Python once.)"""
+    special = _python_rules(rules)
+    if not special:
+        return docs
+    return docs.select("*", F.explode_outer(F.array(pyrules.hits(text, special, _EPS))).alias(PYTHON_HITS))
+
+
 def _java(rule: SecretRule) -> str:
     if re.compile(rule.pattern).match(""):
         raise ValueError(f"rule {rule.name!r} matches the empty text")
@@ -53,6 +70,8 @@ def _existence(rule: SecretRule) -> str:
 
 def _gate(text: str, haystack: str, rule: SecretRule) -> str:
     """Necessary condition for a rule to match somewhere in the document."""
+    if pyrules.python_only(rule.pattern):
+        return f"(size({PYTHON_HITS}) > 0)"
     conditions = []
     if rule.needles:
         conditions.append(contains_any_sql(haystack, rule.needles))
@@ -67,11 +86,12 @@ def rule_gates(text: str, haystack: str, rules: Sequence[SecretRule] = cat.SECRE
 
     `haystack` is the :func:`~siftwork.functions.regex.needle_text` of the text.  Give the result
     a name in a projection of its own and hand that to :func:`findings`."""
-    needles = [n for rule in rules for n in rule.needles]
+    special = {p for p, _ in _python_rules(rules)}
+    needles = [n for p, rule in enumerate(rules) for n in rule.needles if p not in special]
     every = "array(" + ", ".join(_gate(text, haystack, rule) for rule in rules) + ")"
     if not needles:
         return F.expr(every)
-    bare = "array(" + ", ".join("false" if r.needles else _gate(text, haystack, r) for r in rules) + ")"
+    bare = "array(" + ", ".join("false" if r.needles and p not in special else _gate(text, haystack, r) for p, r in enumerate(rules)) + ")"
     return F.expr(f"CASE WHEN {contains_any_sql(haystack, needles)} THEN {every} ELSE {bare} END")
 
 
@@ -110,12 +130,19 @@ def _rule_hits(line: str, position: int, rule: SecretRule) -> str:
 
 
 def _hits_per_rule(line: str, gates: str, rules: Sequence[SecretRule]) -> str:
+    """What the rules find in line number `i`."""
+    special = {p for p, _ in _python_rules(rules)}
     cases = ", ".join(
         f"CASE WHEN {gates}[{p}] AND rlike({line}, {sql_literal(_java(rule))})"
         f" THEN {_rule_hits(line, p, rule)} END"
         for p, rule in enumerate(rules)
+        if p not in special
     )
-    return f"array_compact(array({cases}))"
+    by_python = f"transform(filter({PYTHON_HITS}, h -> h.line = i), h -> h.found)"
+    if not cases:
+        return by_python
+    found = f"array_compact(array({cases}))"
+    return f"concat({found}, {by_python})" if special else found
 
 
 def _masked_chars(line: str, found: str) -> str:
@@ -188,9 +215,9 @@ def mask_document(text: str, gates: str, rules: Sequence[SecretRule] = cat.SECRE
     """The text with every finding starred out, length and line ends kept: the form to export."""
     line_break = sql_literal(LINE_BREAK)
     in_line = let_sql("found", _hits_per_rule("ln", gates, rules), _masked_chars("ln", "found"))
+    masked = f"transform(split({text}, {line_break}, -1), (ln, i) -> array_join({in_line}, ''))"
     return F.expr(
-        f"CASE WHEN array_contains({gates}, true) THEN array_join(zip_with("
-        f"split({text}, {line_break}, -1), regexp_extract_all({text}, {line_break}, 0),"
-        f" (ln, line_end) -> concat(array_join({in_line}, ''), coalesce(line_end, ''))), '')"
+        f"CASE WHEN array_contains({gates}, true) THEN array_join(zip_with({masked},"
+        f" regexp_extract_all({text}, {line_break}, 0), (ln, line_end) -> concat(ln, coalesce(line_end, ''))), '')"
         f" ELSE {text} END"
     )

@@ -68,9 +68,10 @@ def scan_secrets(
 
 
 def _scanned(needled: DataFrame, rules: Sequence[cat.SecretRule], text_column: str, mask_context: bool) -> DataFrame:
-    gated = needled.withColumn("_gates", secrets.rule_gates(text_column, "_needles", rules))
+    tested = secrets.with_python_hits(needled, text_column, rules)
+    gated = tested.withColumn("_gates", secrets.rule_gates(text_column, "_needles", rules))
     found = once(gated, "findings", secrets.findings(text_column, "_gates", rules, mask_context))
-    return found.withColumn("has_secrets", secrets.has_secrets("findings")).drop("_needles", "_gates")
+    return found.withColumn("has_secrets", secrets.has_secrets("findings")).drop("_needles", "_gates", secrets.PYTHON_HITS)
 
 
 def mask_secrets(
@@ -78,10 +79,10 @@ def mask_secrets(
 ) -> DataFrame:
     """Rows whose text has every finding starred out."""
     return (
-        docs.withColumn("_needles", needle_text(text_column))
+        secrets.with_python_hits(docs.withColumn("_needles", needle_text(text_column)), text_column, rules)
         .withColumn("_gates", secrets.rule_gates(text_column, "_needles", rules))
         .withColumn(text_column, secrets.mask_document(text_column, "_gates", rules))
-        .drop("_needles", "_gates")
+        .drop("_needles", "_gates", secrets.PYTHON_HITS)
     )
 
 

@@ -213,6 +213,13 @@ counted AS (SELECT v.seq, count(f.rule_pos) AS n_findings FROM {source} v LEFT J
 
 
 FINDINGS = _findings(cat.SECRET_RULES)
+# The Python rules as alternations.
+_QUOTED = "sk-[A-Za-z0-9]{32,48}"
+_RE2_RULES = (
+    registry.PYTHON_RULES[0]._replace(pattern=f"'{_QUOTED}'|\"{_QUOTED}\"|{_QUOTED}"),
+    registry.PYTHON_RULES[1]._replace(pattern=r"[a-z]+_[a-z]+\s*[=:]\s*[^\s]{8,}"),
+    *registry.CUSTOM_RULES,
+)
 
 
 # Lines with findings are rebuilt character by character; texts in the corpus break at "\n" only.
@@ -430,6 +437,7 @@ def oracles() -> dict[str, str]:
         "finding_context": w(CORPUS, FINDINGS) + "SELECT seq, rule_name, line_number, start, context FROM findings",
         "secret_report": w(CORPUS, FINDINGS) + f"SELECT v.seq, v.url, count(f.seq) AS secret_count, count(f.seq) > 0 AS has_secrets, coalesce(string_agg(rule_name || ':' || line_number || ':' || redacted, {SEP} ORDER BY rule_pos, line_number, start), '') AS findings FROM valid v LEFT JOIN findings f USING (seq) GROUP BY ALL",
         "custom_rules": w(CORPUS, _findings(registry.CUSTOM_RULES)) + f"SELECT {_FINDING_COLUMNS} FROM findings",
+        "custom_rules_python": w(CORPUS, _findings(_RE2_RULES)) + f"SELECT {_FINDING_COLUMNS} FROM findings",
         "mask_document": w(CORPUS, FINDINGS) + _MASKED,
         "catalogue_count": docs + "SELECT count(*) AS n FROM first_docs",
         "dedup_content": docs + "SELECT seq, url, content_hash FROM first_docs",

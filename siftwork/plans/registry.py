@@ -28,6 +28,12 @@ CUSTOM_RULES = (
     cat.SecretRule("mail_address", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]{2,}", "mail address"),
     cat.SecretRule("never_line", r"^never [^\n]{5,}$", "line that starts with never", ignore_case=True),
 )
+# Rules 0 and 1 need Python: a group that depends on another one, named groups and references.
+PYTHON_RULES = (
+    cat.SecretRule("quoted_key", r"""(?P<quote>['"])?sk-(?P<body>[A-Za-z0-9]{32,48})(?(quote)(?P=quote))""", "key, in its quotes if any"),
+    cat.SecretRule("assigned", r"(?P<name>[a-z]+_[a-z]+)\s*[=:]\s*(?P<value>[^\s]{8,})", "assignment", ignore_case=True, min_entropy=3.0),
+    *CUSTOM_RULES,
+)
 RAW_ENTROPY_RULE = next(r for r in cat.SECRET_RULES if r.name == "high_entropy_secret")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -456,6 +462,11 @@ def custom_rules(spark, sf):
     return _findings(enrich.scan_secrets(valid_corpus(spark, sf), CUSTOM_RULES))
 
 
+@query
+def custom_rules_python(spark, sf):
+    return _findings(enrich.scan_secrets(valid_corpus(spark, sf), PYTHON_RULES))
+
+
 @query
 def mask_document(spark, sf):
     return enrich.mask_secrets(valid_corpus(spark, sf)).select("seq", "raw_content")

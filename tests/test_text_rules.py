@@ -1,13 +1,14 @@
 """Text rules: what they find in the literal texts of :mod:`tests.texts`, stated text by text."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siftwork import catalogues as cat
-from siftwork.functions import classify, embedding, extract, regex, text
+from siftwork.functions import classify, embedding, extract, pyrules, regex, text
 from siftwork.operators import enrich
 
 from .texts import TEXTS
@@ -187,6 +188,47 @@ def test_custom_rules(spark):
     ]
 
 
+def test_rules_in_python_syntax(spark):
+    rules = (
+        cat.SecretRule("number", r"\d{4,}", "digits"),
+        cat.SecretRule("named", r"(?P<key>tok)en=(?P<v>\w+)", "named groups", ignore_case=True),
+        cat.SecretRule("paired", r"(<)?[A-Z]{4,}(?(1)>)", "closed if opened"),
+        cat.SecretRule("again", r"(?P<x>[a-z]{3})-(?P=x)", "reference", min_entropy=1.5),
+    )
+    text = "TOKEN=ab12345 <WXYZ> <QRST\r\n\nabc-abc aaa-aaa\nnone 1234"
+    df = spark.createDataFrame([(0, text), (1, "nothing"), (2, None), (3, "")], "seq int, raw_content string")
+    found = {r.seq: shown(r.findings) for r in enrich.scan_secrets(df, rules).collect()}
+    assert found == {
+        0: [
+            ("number", 1, 8, "****", "************ ****** <****"),
+            ("number", 4, 5, "****", "none ****"),
+            ("named", 1, 0, "TOKE****2345", "TOKE****2345 ****** <****"),
+            ("paired", 1, 0, "****", "************ ****** <***"),
+            ("paired", 1, 14, "****", "************* **** <****"),
+            ("paired", 1, 22, "****", "*********** ****** <****"),
+            ("again", 3, 0, "****", "**** aaa-aaa"),
+        ],
+        1: [], 2: [], 3: [],
+    }
+    masked = {r.seq: r.raw_content for r in enrich.mask_secrets(df, rules).collect()}
+    assert masked[0] == "*" * 13 + " ****** <****\r\n\n******* aaa-aaa\nnone ****" and masked[1] == "nothing"
+    # The same findings as Python's own matches.
+    for rule in rules[1:]:
+        pattern = re.compile(rule.pattern, re.IGNORECASE if rule.ignore_case else 0)
+        own = [(n, m.start()) for n, line in enumerate(text.splitlines(), 1) for m in pattern.finditer(line)]
+        got = [(line, start) for name, line, start, *_ in found[0] if name == rule.name]
+        assert got == (own if rule.name != "again" else own[:1])
+    with pytest.raises(ValueError):
+        enrich.scan_secrets(df, (cat.SecretRule("empty", r"(?P<a>x)?", "matches nothing"),))
+
+
+def test_which_patterns_need_python():
+    for pattern in (r"(?P<a>x)", r"(x)(?(1)y|z)", r"[[a]x]", r"[a&&b]", r"(?#note)a", r"(?x) a b", r"x{,3}y", r"\N{BULLET}", r"(?a:\w)"):
+        assert pyrules.python_only(pattern)
+    for pattern in [r.pattern for r in cat.SECRET_RULES] + [r"(?:a|b)+", r"(?i)x", r"(?i:x)", r"\(\?P<a>", r"\[[a-z]", r"(?<=a)b(?!c)", r"[^\]a]"]:
+        assert not pyrules.python_only(pattern)
+
+
 def test_raw_context_is_available_on_request(docs):
     got = values(enrich.scan_secrets(docs, mask_context=False), "findings")
     assert got[20][0].context == "id=" + "akia" + "q7" * 8 + " and " + "AKIA" + "Q7" * 5 + "Q"
