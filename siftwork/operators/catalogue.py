@@ -1,13 +1,17 @@
 """The catalogue: one table of files with their findings, written batch by batch.
 
-A batch is one directory, written by one job in which findings travel inside their file row, so a
-file and its findings appear together or not at all.  A batch that is run again replaces itself; it
-is missing while it is written anew, so a failed re-run has to be repeated.  Rows that cannot be
-stored because their address is taken by other content are kept beside the accepted ones as rejects.
+A batch is one part (see :mod:`siftwork.sources.versions`), written by one job in which findings travel
+inside their file row, so a file and its findings appear together or not at all.  It counts from the
+moment the pointer names it; a batch that is run again replaces itself then, and until then, also if
+the new run fails, the earlier rows stay readable.  Rows that cannot be stored because their address
+is taken by other content are kept beside the accepted ones as rejects.
 
 Beside its files a batch writes its decisions, one narrow row (hash, key, address, outcome) per new
-content.  Later batches are compared with these alone, and `compact_keys` puts those of many batches
-into one table, so the number of files that a batch reads stays level.
+content; later batches are compared with these alone.  `compact` merges the small parts of many batches
+into sized ones, decisions and files alike, so the number of files that a read lists stays level.
+
+A file with findings carries its text with these starred out, made while the batch was scanned: exports
+need no second scan.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 from .. import catalogues as cat
 from ..functions import text
 from ..functions.secrets import FINDINGS_TYPE
-from ..sources.tables import read_or_empty, valid_docs
+from ..sources import versions
+from ..sources.tables import valid_docs
 from .enrich import enrich, explode_findings, mask_secrets
 
 _FILE_COLUMNS = {
@@ -29,15 +34,18 @@ _FILE_COLUMNS = {
     "content_hash": "string",
     "indexed_at": "timestamp",
     "raw_content": "string",
+    "masked_content": "string",
     "system_prompt_blocks": "array<string>",
     "tags": "array<string>",
     "confidence": "double",
     "has_secrets": "boolean",
+    "n_findings": "int",
     "findings": FINDINGS_TYPE,
+    "outcome": "string",
+    "batch": "int",
     "platform": "string",
 }
 FILES_SCHEMA = ", ".join(f"{n} {t}" for n, t in _FILE_COLUMNS.items())
-_STORED_SCHEMA = FILES_SCHEMA.replace(", platform string", "") + ", batch int, outcome string, platform string"
 
 # Hashes and addresses have no useful order, so point lookups skip row groups by Bloom filter.
 _POINT_LOOKUPS = {
@@ -51,21 +59,20 @@ _KEYS_SCHEMA = "content_hash string, seq bigint, url string, copies bigint, outc
 ACCEPTED, REJECTED = "accepted", "rejected"
 
 
-def _stored(spark: SparkSession, root: str) -> DataFrame:
-    return read_or_empty(spark, f"{root}/files", _STORED_SCHEMA)
+def _stored(spark: SparkSession, root: str, batch: int | None) -> DataFrame:
+    parts = versions.current(spark, root).holding(batch)
+    files = versions.read_parts(spark, f"{root}/files", FILES_SCHEMA, parts).drop("part")
+    return files if batch is None else files.filter(F.col("batch") == batch)
 
 
 def read_files(spark: SparkSession, root: str, batch: int | None = None) -> DataFrame:
-    """Stored files; partition columns `platform` and `batch` prune the scan."""
-    files = _stored(spark, root).filter(F.col("outcome") == ACCEPTED)
-    if batch is not None:
-        files = files.filter(F.col("batch") == batch)
-    return files.drop("outcome")
+    """Stored files; the partition column `platform` and the parts that hold `batch` prune the scan."""
+    return _stored(spark, root, batch).filter(F.col("outcome") == ACCEPTED).drop("outcome")
 
 
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:
     """Documents refused because their address already holds other content."""
-    return _stored(spark, root).filter(F.col("outcome") == REJECTED).select("seq", "url", "content_hash", "batch")
+    return _stored(spark, root, None).filter(F.col("outcome") == REJECTED).select("seq", "url", "content_hash", "batch")
 
 
 def read_findings(spark: SparkSession, root: str) -> DataFrame:
@@ -78,24 +85,48 @@ def read_findings(spark: SparkSession, root: str) -> DataFrame:
 # ------------------------------------------------------------------------------- decisions
 
 
+def _keys(spark: SparkSession, root: str, parts: list[versions.Part]) -> DataFrame:
+    return versions.read_parts(spark, f"{root}/keys", _KEYS_SCHEMA, parts).drop("part")
+
+
 def read_keys(spark: SparkSession, root: str) -> DataFrame:
-    """Decisions of all batches: the newest compacted table and what came after it."""
-    compacted = read_or_empty(spark, f"{root}/keys_compacted", _KEYS_SCHEMA + ", upto int")
-    newest = compacted.select(F.max("upto")).first()[0]
-    single = read_or_empty(spark, f"{root}/keys", _KEYS_SCHEMA)
-    if newest is None:
-        return single
-    kept = compacted.filter(F.col("upto") == newest).drop("upto")
-    return kept.unionByName(single.filter(F.col("batch") > newest))
+    """Decisions of all batches."""
+    return _keys(spark, root, list(versions.current(spark, root).parts))
+
+
+def _merge(spark: SparkSession, root: str, before: versions.Version, parts: list[versions.Part], key_files: int) -> None:
+    """Write the rows of several parts as one, in files of even size, and make it theirs."""
+    whole = versions.merged(parts)
+    files = versions.read_parts(spark, f"{root}/files", FILES_SCHEMA, parts).select(*_FILE_COLUMNS)
+    _write_files(files, f"{root}/files/part={whole.name}")
+    keys = _keys(spark, root, parts).repartition(key_files, "content_hash").sortWithinPartitions("content_hash")
+    keys.write.options(**_POINT_LOOKUPS).parquet(f"{root}/keys/part={whole.name}")
+    versions.commit(spark, root, before, [p for p in before.parts if p not in parts] + [whole])
+
+
+def compact(spark: SparkSession, root: str, fanout: int = versions.FANOUT, key_files: int = 8) -> int:
+    """Merge small parts until no level has `fanout` of them; returns the number of merges.
+
+    Every row is rewritten once a level, and a level's parts are `fanout` times as large as those of
+    the one below: the parts of n batches are at most fanout * log(n) / log(fanout)."""
+    merges = 0
+    while parts := versions.tiers(before := versions.current(spark, root), fanout):
+        _merge(spark, root, before, parts, key_files)
+        merges += 1
+    return merges
 
 
 def compact_keys(spark: SparkSession, root: str, upto: int, files: int = 8) -> None:
-    """Put the decisions of all batches up to `upto` into one table, laid out by hash."""
-    (
-        read_keys(spark, root).filter(F.col("batch") <= upto)
-        .repartition(files, "content_hash").sortWithinPartitions("content_hash")
-        .write.mode("overwrite").options(**_POINT_LOOKUPS).parquet(f"{root}/keys_compacted/upto={upto}")
-    )
+    """Merge all batches up to `upto` into one part; its decisions are laid out by hash in `files` files."""
+    before = versions.current(spark, root)
+    parts = [p for p in before.parts if p.hi <= upto]
+    if len(parts) > 1:
+        _merge(spark, root, before, parts, files)
+
+
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Delete the folders of failed, replaced and merged parts; returns how many."""
+    return versions.vacuum(spark, root, "files", "keys")
 
 
 def first_keys(hashed: DataFrame) -> DataFrame:
@@ -122,7 +153,9 @@ def decide(first: DataFrame, stored: DataFrame) -> DataFrame:
     return judged.select("content_hash", "seq", "url", "copies", outcome.alias("outcome"))
 
 
-def upsert(docs: DataFrame, stored: DataFrame, rules=cat.SECRET_RULES, keys_folder: str | None = None) -> DataFrame:
+def upsert(
+    docs: DataFrame, stored: DataFrame, rules=cat.SECRET_RULES, keys_folder: str | None = None, batch: int = 0
+) -> DataFrame:
     """Enriched new documents with their outcome; known content is dropped before any of the
     expensive work.  `stored` has the (content_hash, url) that are taken.
 
@@ -134,35 +167,41 @@ def upsert(docs: DataFrame, stored: DataFrame, rules=cat.SECRET_RULES, keys_fold
     )
     decisions = decide(first_keys(hashed), stored)
     if keys_folder:
-        decisions.write.mode("overwrite").parquet(keys_folder)
-        decisions = docs.sparkSession.read.schema(_KEYS_SCHEMA.replace(", batch int", "")).parquet(keys_folder)
+        decisions.withColumn("batch", F.lit(batch)).write.parquet(keys_folder)
+        decisions = docs.sparkSession.read.schema(_KEYS_SCHEMA).parquet(keys_folder)
     keys = ["content_hash", "seq", "url"]
     right = decisions.select(*(F.col(k).alias(f"_{k}") for k in keys), "copies", "outcome")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     fresh = hashed.join(right, same[0] & same[1] & same[2]).drop(*(f"_{k}" for k in keys))
     if keys_folder and decisions.filter("copies > 1").isEmpty():
-        return enrich(fresh.drop("copies", "content_hash"), rules)
+        return enrich(fresh.drop("copies", "content_hash"), rules, masked=True)
     repeated = fresh.filter("copies > 1").dropDuplicates(keys)
-    return enrich(fresh.filter("copies = 1").unionByName(repeated).drop("copies", "content_hash"), rules)
+    return enrich(fresh.filter("copies = 1").unionByName(repeated).drop("copies", "content_hash"), rules, masked=True)
+
+
+def _write_files(rows: DataFrame, folder: str) -> None:
+    """`rebalance` cuts the output into files of even size per platform, however many rows the most
+    frequent platform has."""
+    rows.hint("rebalance", "platform").write.options(**_POINT_LOOKUPS).partitionBy("platform").parquet(folder)
 
 
 def save_batch(
     spark: SparkSession, docs: DataFrame, root: str, batch: int, as_of: datetime, rules=cat.SECRET_RULES
 ) -> None:
-    """Store a batch of documents (seq, url, raw_content, error).
-
-    `rebalance` cuts the output into files of even size per platform, however many rows the most
-    frequent platform has.  Running the same batch again gives the same directory."""
-    stored = read_keys(spark, root).filter((F.col("outcome") == ACCEPTED) & (F.col("batch") != batch))
-    rows = upsert(docs, stored, rules, f"{root}/keys/batch={batch}").withColumn("indexed_at", F.lit(as_of).cast("timestamp"))
-    (
-        rows.select(*_FILE_COLUMNS, "outcome")
-        .hint("rebalance", "outcome", "platform")
-        .write.mode("overwrite")
-        .options(**_POINT_LOOKUPS)
-        .partitionBy("outcome", "platform")
-        .parquet(f"{root}/files/batch={batch}")
-    )
+    """Store a batch of documents (seq, url, raw_content, error); one batch at a time.
+
+    Every attempt writes folders of its own.  The pointer is moved last: running a batch again
+    replaces its rows, and a run that fails changes nothing."""
+    before = versions.current(spark, root)
+    others = before.without(batch)
+    stored = _keys(spark, root, others).filter(F.col("outcome") == ACCEPTED)
+    part = versions.Part(versions.new_name(batch, batch), batch, batch)
+    rows = upsert(docs, stored, rules, f"{root}/keys/part={part.name}", batch)
+    rows = rows.withColumns({
+        "indexed_at": F.lit(as_of).cast("timestamp"), "batch": F.lit(batch), "n_findings": F.size("findings"),
+    })
+    _write_files(rows.select(*_FILE_COLUMNS), f"{root}/files/part={part.name}")
+    versions.commit(spark, root, before, [*others, part])
 
 
 # ------------------------------------------------------------------------------- queries
@@ -252,19 +291,21 @@ def export_manifest(files: DataFrame, as_of: datetime) -> DataFrame:
     return files.agg(
         F.lit(as_of.isoformat()).alias("exported_at"),
         F.count("*").alias("total_files"),
-        F.coalesce(F.sum(F.size("findings")), F.lit(0)).alias("total_findings"),
+        F.coalesce(F.sum("n_findings"), F.lit(0)).alias("total_findings"),
     )
 
 
 def export_json(
-    spark: SparkSession, root: str, folder: str, as_of: datetime, raw: bool = False, rules=cat.SECRET_RULES
+    spark: SparkSession, root: str, folder: str, as_of: datetime, raw: bool = False, rules=None
 ) -> None:
     """Dump the catalogue as JSON lines: `files`, `secret_findings` and a one-row `manifest`.
 
-    Texts leave with every finding starred out; only `raw` exports them as they are."""
+    Texts leave with every finding starred out, as the batches have stored them; `rules` stars out the
+    findings of another rule list instead, which scans the texts; only `raw` exports them as they are."""
     files = read_files(spark, root)
+    masked = mask_secrets(files, rules) if rules else files.withColumn("raw_content", F.coalesce("masked_content", "raw_content"))
     outputs = {
-        "files": export_files(files if raw else mask_secrets(files, rules)),
+        "files": export_files(files if raw else masked),
         "secret_findings": read_findings(spark, root),
         "manifest": export_manifest(files, as_of),
     }

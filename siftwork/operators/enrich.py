@@ -67,11 +67,16 @@ def scan_secrets(
     return _scanned(docs.withColumn("_needles", needle_text(text_column)), rules, text_column, mask_context)
 
 
-def _scanned(needled: DataFrame, rules: Sequence[cat.SecretRule], text_column: str, mask_context: bool) -> DataFrame:
+def _scanned(
+    needled: DataFrame, rules: Sequence[cat.SecretRule], text_column: str, mask_context: bool, masked: bool = False
+) -> DataFrame:
     tested = secrets.with_python_hits(needled, text_column, rules)
     gated = tested.withColumn("_gates", secrets.rule_gates(text_column, "_needles", rules))
     found = once(gated, "findings", secrets.findings(text_column, "_gates", rules, mask_context))
-    return found.withColumn("has_secrets", secrets.has_secrets("findings")).drop("_needles", "_gates", secrets.PYTHON_HITS)
+    found = found.withColumn("has_secrets", secrets.has_secrets("findings"))
+    if masked:
+        found = found.withColumn("masked_content", F.when(F.col("has_secrets"), secrets.mask_document(text_column, "_gates", rules)))
+    return found.drop("_needles", "_gates", secrets.PYTHON_HITS)
 
 
 def mask_secrets(
@@ -86,9 +91,10 @@ def mask_secrets(
     )
 
 
-def enrich(docs: DataFrame, rules: Sequence[cat.SecretRule] = cat.SECRET_RULES) -> DataFrame:
-    """Classification and secret scan of the valid documents."""
-    return _scanned(_classified(docs), rules, "raw_content", True)
+def enrich(docs: DataFrame, rules: Sequence[cat.SecretRule] = cat.SECRET_RULES, masked: bool = False) -> DataFrame:
+    """Classification and secret scan of the valid documents; with `masked` also the text with its
+    findings starred out (`masked_content`, null where there are none)."""
+    return _scanned(_classified(docs), rules, "raw_content", True, masked)
 
 
 def explode_findings(docs: DataFrame, *keys: str) -> DataFrame:

@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwork import catalogues as cat
-from siftwork.operators import catalogue, dedup, vectors
+from siftwork.operators import catalogue, dedup, enrich, vectors
 from siftwork.plans import ingest
-from siftwork.sources import tables
+from siftwork.sources import tables, versions
 from siftwork.streaming.ingest import ingest_stream
 
 from .texts import GITHUB, OPENAI
@@ -180,3 +180,75 @@ def test_missing_catalogue_is_empty(spark, folder):
     assert catalogue.read_findings(spark, folder).count() == 0
     assert vectors.read_index(spark, folder, "new").count() == 0
     assert cat.DEFAULT_COLLECTION
+
+
+def listed(spark, root):
+    """Files that a read of the catalogue lists, texts and decisions."""
+    return len(catalogue._stored(spark, root, None).inputFiles()) + len(catalogue.read_keys(spark, root).inputFiles())
+
+
+def test_listed_files_stay_level_over_many_micro_batches(spark, folder):
+    for n in range(40):
+        frame(spark, [(n, f"https://a/{n}", f"text {n}"), (100 + n, "https://a/0", f"again {n}")]).coalesce(1).write.mode("append").parquet(folder + "/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
+    ingest_stream(stream, folder, folder + "/check", as_of=AS_OF, compact_every=4).awaitTermination()
+    parts = versions.current(spark, folder).parts
+    # 40 = 2 * 16 + 2 * 4 batches, and 3 at most of any size.
+    assert sorted((p.hi - p.lo + 1) for p in parts) == [4, 4, 16, 16] and {p.level for p in parts} == {1, 2}
+    assert listed(spark, folder) <= 4 * (1 + 8)
+    assert catalogue.read_files(spark, folder).count() == 40 and catalogue.read_rejects(spark, folder).count() == 40
+    assert catalogue.read_files(spark, folder, batch=17).count() == 1
+    rows = [(17, "https://a/new", "only this")]
+    catalogue.save_batch(spark, frame(spark, rows), folder, 17, AS_OF)
+    assert [r.url for r in catalogue.read_files(spark, folder, batch=17).collect()] == ["https://a/new"]
+    assert catalogue.read_files(spark, folder).count() == 40 and catalogue.read_keys(spark, folder).filter("batch = 17").count() == 1
+    before = listed(spark, folder)
+    assert catalogue.vacuum(spark, folder) > 40 and listed(spark, folder) == before
+    assert catalogue.read_files(spark, folder).count() == 40
+
+
+def test_a_failed_run_changes_nothing(spark, folder, monkeypatch):
+    catalogue.save_batch(spark, frame(spark, FIRST), folder, 1, AS_OF)
+    want = stored(spark, folder)
+    broken = F.udf(lambda url: 1 // 0 or url, "string")  # fails in a task, after the decisions are written
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        catalogue.save_batch(spark, frame(spark, FIRST).withColumn("url", broken("url")), folder, 1, AS_OF)
+    assert stored(spark, folder) == want
+    write = catalogue._write_files
+
+    def half(rows, path):
+        write(rows.limit(1), path)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(catalogue, "_write_files", half)
+    for batch in (1, 2):
+        with pytest.raises(RuntimeError, match="lost"):
+            catalogue.save_batch(spark, frame(spark, SECOND), folder, batch, AS_OF)
+    with pytest.raises(RuntimeError, match="lost"):
+        catalogue._merge(spark, folder, before := versions.current(spark, folder), list(before.parts), 1)
+    monkeypatch.undo()
+    assert stored(spark, folder) == want
+    catalogue.save_batch(spark, frame(spark, SECOND), folder, 1, AS_OF)
+    assert set(stored(spark, folder)) == {"https://a/9", "https://a/2", "https://b/1"}
+
+
+def test_a_slot_that_is_being_written_does_not_count(spark, folder):
+    import shutil
+
+    for batch in (1, 2, 3):
+        catalogue.save_batch(spark, frame(spark, [(batch, f"https://a/{batch}", f"t {batch}")]), folder, batch, AS_OF)
+    assert versions.current(spark, folder).number == 3
+    shutil.rmtree(folder + "/pointer/slot=1")  # as after a crash between the removal of a slot and its writing
+    assert versions.current(spark, folder).number == 2 and catalogue.read_files(spark, folder).count() == 2
+    catalogue.save_batch(spark, frame(spark, [(3, "https://a/3", "t 3")]), folder, 3, AS_OF)
+    assert versions.current(spark, folder).number == 3 and catalogue.read_files(spark, folder).count() == 3
+
+
+def test_stored_masks_are_those_of_a_scan(spark, folder):
+    catalogue.save_batch(spark, frame(spark, FIRST), folder, 1, AS_OF)
+    files = catalogue.read_files(spark, folder)
+    scanned = {r.url: r.raw_content for r in enrich.mask_secrets(files).collect()}
+    for row in files.collect():
+        assert (row.masked_content or row.raw_content) == scanned[row.url]
+        assert (row.masked_content is None) == (row.n_findings == 0) == (not row.has_secrets)
+    assert "rlike" not in catalogue.export_files(files)._jdf.queryExecution().optimizedPlan().toString().lower()
