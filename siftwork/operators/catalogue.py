@@ -98,7 +98,9 @@ def _merge(spark: SparkSession, root: str, before: versions.Version, parts: list
     """Write the rows of several parts as one, in files of even size, and make it theirs."""
     whole = versions.merged(parts)
     files = versions.read_parts(spark, f"{root}/files", FILES_SCHEMA, parts).select(*_FILE_COLUMNS)
-    _write_files(files, f"{root}/files/part={whole.name}")
+    _write_files(files, f"{root}/files/part={whole.name}", sort=["indexed_at", "seq"])
+    if whole.rows is None:
+        whole = _counted(spark, root, whole)
     keys = _keys(spark, root, parts).repartition(key_files, "content_hash").sortWithinPartitions("content_hash")
     keys.write.options(**_POINT_LOOKUPS).parquet(f"{root}/keys/part={whole.name}")
     versions.commit(spark, root, before, [p for p in before.parts if p not in parts] + [whole])
@@ -179,10 +181,20 @@ def upsert(
     return enrich(fresh.filter("copies = 1").unionByName(repeated).drop("copies", "content_hash"), rules, masked=True)
 
 
-def _write_files(rows: DataFrame, folder: str) -> None:
+def _write_files(rows: DataFrame, folder: str, sort: list[str] | None = None) -> None:
     """`rebalance` cuts the output into files of even size per platform, however many rows the most
     frequent platform has."""
-    rows.hint("rebalance", "platform").write.options(**_POINT_LOOKUPS).partitionBy("platform").parquet(folder)
+    even = rows.hint("rebalance", "platform")
+    if sort:
+        even = even.sortWithinPartitions("platform", *sort)
+    even.write.options(**_POINT_LOOKUPS).partitionBy("platform").parquet(folder)
+
+
+def _counted(spark: SparkSession, root: str, part: versions.Part) -> versions.Part:
+    """The part with what paging has to know of it, from its narrow columns."""
+    rows = versions.read_parts(spark, f"{root}/files", FILES_SCHEMA, [part]).filter(F.col("outcome") == ACCEPTED)
+    about = rows.agg(F.count("*").alias("rows"), F.min("indexed_at").alias("oldest"), F.max("indexed_at").alias("newest"))
+    return part._replace(**about.first().asDict())
 
 
 def save_batch(
@@ -201,7 +213,7 @@ def save_batch(
         "indexed_at": F.lit(as_of).cast("timestamp"), "batch": F.lit(batch), "n_findings": F.size("findings"),
     })
     _write_files(rows.select(*_FILE_COLUMNS), f"{root}/files/part={part.name}")
-    versions.commit(spark, root, before, [*others, part])
+    versions.commit(spark, root, before, [*others, _counted(spark, root, part)])
 
 
 # ------------------------------------------------------------------------------- queries
@@ -231,6 +243,35 @@ def page(files: DataFrame, limit: int = cat.DEFAULT_PAGE, offset: int = 0) -> Da
     return _newest_first(files).offset(offset).limit(limit)
 
 
+def page_after(
+    spark: SparkSession, root: str, limit: int = cat.DEFAULT_PAGE, after: tuple[datetime, int] | None = None
+) -> DataFrame:
+    """The stored files that follow a place (indexed_at, seq) in the order newest first; the first
+    page without one.  The last row of a page is the place the next one starts from.
+
+    Only parts that can hold rows of the page are read: newest first, until those that lie wholly
+    behind the place, and before all parts not chosen, have enough rows.  A deep page so reads no more
+    than the first."""
+    parts = versions.current(spark, root).parts
+    unknown = [p for p in parts if p.rows is None or p.dropped]
+    known = sorted((p for p in parts if p not in unknown and p.rows), key=lambda p: p.newest, reverse=True)
+    if after is not None:  # a time without a zone is one of the session
+        at = after[0] if after[0].tzinfo is None else after[0].astimezone().replace(tzinfo=None)
+        known = [p for p in known if p.oldest <= at]
+    chosen: list[versions.Part] = []
+    for k, p in enumerate(known):
+        behind = [c for c in chosen if c.oldest > p.newest and (after is None or c.newest < at)]
+        if sum(c.rows for c in behind) >= limit:
+            break
+        chosen = known[: k + 1]
+    files = versions.read_parts(spark, f"{root}/files", FILES_SCHEMA, chosen + unknown).drop("part")
+    files = files.filter(F.col("outcome") == ACCEPTED).drop("outcome")
+    if after is not None:
+        time = F.lit(after[0])
+        files = files.filter((F.col("indexed_at") <= time) & ((F.col("indexed_at") < time) | (F.col("seq") < after[1])))
+    return _newest_first(files).limit(limit)
+
+
 def count_rows(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("n"))
 

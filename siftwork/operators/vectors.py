@@ -1,8 +1,12 @@
 """Vector collections and exact cosine search.
 
-A collection is a table of batches plus a table of deletions; a row is live unless its hash was
-deleted in a later batch.  Deleting therefore costs the size of the deletion, and `compact`
-rewrites when that pays.
+A collection is a table of parts (see :mod:`siftwork.sources.versions`) with rows and parts with
+deletions; a row is live unless its hash was deleted in a later batch.  Deleting therefore costs the
+size of the deletion; `compact_in_place` writes the live rows as one part and so does away with all
+deletions, and readers see either the parts before or the one after.
+
+Beside a collection there may be postings: for each bucket of the embedding the rows that have it.  A
+query reads its own buckets only.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 from .. import catalogues as cat
 from ..functions import embedding as em
 from ..functions import text
-from ..sources.tables import read_or_empty
+from ..sources import versions
 from .dedup import first_per_value
 from .enrich import once
 
@@ -26,6 +30,10 @@ _INDEX_SCHEMA = (
     " has_secrets int"
 )
 _STORED_SCHEMA = _INDEX_SCHEMA + ", batch int"
+_DELETED_SCHEMA = "id string, batch int"
+_POSTING_SCHEMA = "id string, weight double, bucket int"
+#: Level of parts that hold deletions.
+_DELETIONS = -1
 
 Embedder = Callable[[str], Column]
 
@@ -61,15 +69,20 @@ def _folder(root: str, collection: str) -> str:
     return f"{root}/vectors/{collection}"
 
 
-def _deletions(spark: SparkSession, root: str, collection: str) -> DataFrame:
-    return read_or_empty(spark, f"{_folder(root, collection)}/deletions", "id string, deleted_in int")
+def _live(spark: SparkSession, folder: str, parts: tuple[versions.Part, ...]) -> DataFrame:
+    rows = versions.read_parts(spark, f"{folder}/rows", _STORED_SCHEMA, [p for p in parts if p.level != _DELETIONS])
+    deletions = [p for p in parts if p.level == _DELETIONS]
+    rows = rows.drop("part")
+    if not deletions:
+        return rows
+    gone = versions.read_parts(spark, f"{folder}/deletions", _DELETED_SCHEMA, deletions).alias("d")
+    return rows.alias("r").join(gone, F.expr("r.id = d.id AND d.batch > r.batch"), "left_anti")
 
 
 def read_index(spark: SparkSession, root: str, collection: str = cat.DEFAULT_COLLECTION) -> DataFrame:
     """Live rows of a collection; empty if the collection is new."""
-    rows = read_or_empty(spark, f"{_folder(root, collection)}/rows", _STORED_SCHEMA).alias("r")
-    gone = _deletions(spark, root, collection).alias("d")
-    return rows.join(gone, F.expr("r.id = d.id AND d.deleted_in > r.batch"), "left_anti")
+    folder = _folder(root, collection)
+    return _live(spark, folder, versions.current(spark, folder).parts)
 
 
 def index_batch(
@@ -85,38 +98,122 @@ def index_batch(
     Known content is dropped before anything is moved or embedded.  What is left (documents of at
     most DOCUMENT_CHARS) is spread by (hash, key): embedding is the costly step, and files may be
     uneven.  A batch that is run again replaces itself."""
-    live = read_index(spark, root, collection).filter(F.col("batch") != batch)
+    folder = _folder(root, collection)
+    before = versions.current(spark, folder)
+    deletions = [p for p in before.parts if p.level == _DELETIONS]
+    others = versions.Version(0, tuple(p for p in before.parts if p.level != _DELETIONS)).without(batch)
+    live = _live(spark, folder, (*others, *deletions))
     first = first_per_value(files.select("content_hash", "seq"), "content_hash", "seq")
     fresh = first.join(live.select(F.col("id").alias("content_hash")), "content_hash", "left_anti")
     keys = fresh.select(F.col("content_hash").alias("id"), "seq")
     documents = index_documents(files).join(keys, ["id", "seq"], "left_semi").repartition("id", "seq")
-    target = f"{_folder(root, collection)}/rows/batch={batch}"
-    rows = once(documents, "embedding", embed("document")).select(*_ROW_COLUMNS)
-    rows.write.mode("overwrite").parquet(target)
-    return spark.read.schema(_INDEX_SCHEMA).parquet(target).count()
+    part = versions.Part(versions.new_name(batch, batch), batch, batch)
+    target = f"{folder}/rows/part={part.name}"
+    rows = once(documents, "embedding", embed("document")).select(*_ROW_COLUMNS, F.lit(batch).alias("batch"))
+    rows.write.parquet(target)
+    versions.commit(spark, folder, before, [*others, *deletions, part])
+    return spark.read.schema(_STORED_SCHEMA).parquet(target).count()
 
 
 def delete_from_index(ids: DataFrame, root: str, batch: int, collection: str = cat.DEFAULT_COLLECTION) -> None:
     """Delete rows by id; `batch` orders the deletion among the batches of additions."""
-    (
-        ids.select("id", F.lit(batch).alias("deleted_in")).distinct()
-        .write.mode("append").parquet(f"{_folder(root, collection)}/deletions")
-    )
+    spark, folder = ids.sparkSession, _folder(root, collection)
+    part = versions.Part(versions.new_name(batch, batch), batch, batch, _DELETIONS)
+    ids.select("id", F.lit(batch).alias("batch")).distinct().write.parquet(f"{folder}/deletions/part={part.name}")
+    before = versions.current(spark, folder)
+    versions.commit(spark, folder, before, [*before.parts, part])
 
 
 def reset_index(spark: SparkSession, root: str, collection: str = cat.DEFAULT_COLLECTION) -> None:
     """Empty a collection."""
-    for name, schema in (("rows", _INDEX_SCHEMA), ("deletions", "id string, deleted_in int")):
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{_folder(root, collection)}/{name}")
+    folder = _folder(root, collection)
+    versions.commit(spark, folder, versions.current(spark, folder), [])
+
+
+def _write_live(spark: SparkSession, rows: DataFrame, folder: str, lo: int, hi: int, level: int) -> versions.Part:
+    """One part with the given rows in files of even size, in order of id: a lookup of a few ids skips
+    the others' row groups."""
+    part = versions.Part(versions.new_name(lo, hi), lo, hi, level)
+    rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{folder}/rows/part={part.name}")
+    return part
+
+
+def compact_in_place(spark: SparkSession, root: str, collection: str = cat.DEFAULT_COLLECTION) -> None:
+    """Write the live rows as one part; the deletions made so far are then no longer read."""
+    folder = _folder(root, collection)
+    before = versions.current(spark, folder)
+    if not before.parts:
+        return
+    whole = versions.merged(list(before.parts))
+    part = _write_live(spark, _live(spark, folder, before.parts), folder, whole.lo, whole.hi, max(whole.level, 1))
+    versions.commit(spark, folder, before, [part])
 
 
 def compact_index(
     spark: SparkSession, root: str, target_root: str, batch: int = 0, collection: str = cat.DEFAULT_COLLECTION
 ) -> None:
     """Copy the live rows into one batch under another root."""
-    read_index(spark, root, collection).drop("batch").write.mode("overwrite").parquet(
-        f"{_folder(target_root, collection)}/rows/batch={batch}"
-    )
+    folder = _folder(target_root, collection)
+    rows = read_index(spark, root, collection).withColumn("batch", F.lit(batch))
+    before = versions.current(spark, folder)
+    versions.commit(spark, folder, before, [*before.without(batch), _write_live(spark, rows, folder, batch, batch, 0)])
+
+
+def vacuum_index(spark: SparkSession, root: str, collection: str = cat.DEFAULT_COLLECTION) -> int:
+    """Delete the folders of parts that are no longer read; returns how many."""
+    return versions.vacuum(spark, _folder(root, collection), "rows", "deletions")
+
+
+# -------------------------------------------------------------------------------- postings
+
+
+def _postings_folder(spark: SparkSession, root: str, collection: str) -> str:
+    folder = _folder(root, collection)
+    return f"{folder}/postings/of={versions.current(spark, folder).number}"
+
+
+def build_postings(spark: SparkSession, root: str, collection: str = cat.DEFAULT_COLLECTION) -> None:
+    """Write, for the collection as it is, the rows (id, weight) of each bucket in a folder of its own.
+
+    `rebalance` cuts a bucket that most rows have (a frequent token's) into files of even size."""
+    entries = read_index(spark, root, collection).select("id", F.explode(em.sparse("embedding")).alias("e"))
+    rows = entries.select("id", "e.weight", "e.bucket").hint("rebalance", "bucket")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(_postings_folder(spark, root, collection))
+
+
+def search_postings(
+    spark: SparkSession,
+    root: str,
+    query: str,
+    n: int = cat.DEFAULT_TOP_K,
+    collection: str = cat.DEFAULT_COLLECTION,
+    embed: Embedder = em.hash_embed,
+) -> DataFrame:
+    """What `semantic_search` finds in the collection, read from its postings: the folders of the
+    query's buckets and the documents of the n best rows.
+
+    The query's entries (as many as the embedding is wide, at most) and the n best come to the driver.
+    Rows that share no bucket with the query have the distance 1, by id; they are only looked for if
+    fewer than n share one."""
+    entries = spark.range(1).select(F.lit(query).alias("q")).select(embed("q").alias("v")).select(F.inline(em.sparse("v"))).collect()
+    index = read_index(spark, root, collection)
+    weights = {row["bucket"]: row["weight"] for row in entries}
+    best: list[tuple[str, float]] = []
+    if weights:
+        postings = spark.read.schema(_POSTING_SCHEMA).parquet(_postings_folder(spark, root, collection))
+        own = postings.filter(F.col("bucket").isin(*weights))
+        weight = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
+        shared = own.withColumn("part", F.col("weight") * F.element_at(weight, F.col("bucket")))
+        scored = shared.groupBy("id").agg(F.round(1.0 - F.sum("part"), 9).alias("_exact"))
+        best = [tuple(r) for r in scored.orderBy("_exact", "id").limit(n).collect()]
+        index_ids = index.select("id").join(scored.select("id"), "id", "left_anti") if len(best) < n else None
+    else:
+        index_ids = index.select("id")
+    if index_ids is not None and len(best) < n:
+        best += [(r["id"], 1.0) for r in index_ids.orderBy("id").limit(n - len(best)).collect()]
+    found = spark.createDataFrame(best, "id string, _exact double")
+    rows = index.filter(F.col("id").isin(*(i for i, _ in best))).join(F.broadcast(found), "id")
+    return _shown(rows.orderBy("_exact", "id"))
 
 
 # --------------------------------------------------------------------------------- search
@@ -146,7 +243,11 @@ def semantic_search(
     own top n; nothing else is shuffled."""
     spark = index.sparkSession
     vector = spark.range(1).select(F.lit(query).alias("q")).select(embed("q").alias("v"))
-    found = _top(index, n, where, em.distance_to_sparse("embedding", "_query"), vector.select(em.sparse("v").alias("s")))
+    return _shown(_top(index, n, where, em.distance_to_sparse("embedding", "_query"), vector.select(em.sparse("v").alias("s"))))
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    """A search result as it leaves the engine."""
     return found.select(
         "id",
         text.excerpt("document").alias("document"),
@@ -177,13 +278,20 @@ def _cell_top(n: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(queries) and len(rows):
+            rows = rows.sort_values("id", kind="stable")  # ties go to the smaller identifier
             ids, columns, query_ids = rows["id"].to_numpy(), unit(rows["embedding"]).T, queries["query_id"].to_numpy()
             for lo in range(0, len(queries), 256):
                 distance = np.round(1.0 - unit(queries["embedding"].iloc[lo : lo + 256]) @ columns, 9)
-                for query_id, own in zip(query_ids[lo : lo + 256], distance, strict=True):
-                    near = np.flatnonzero(own <= np.partition(own, n - 1)[n - 1]) if len(own) > n else np.arange(len(own))
-                    near = near[np.lexsort((ids[near], own[near]))[:n]]
-                    found.append(pd.DataFrame({"query_id": query_id, "id": ids[near], "distance": own[near]}))
+                if len(ids) > n:
+                    limit = np.partition(distance, n - 1, axis=1)[:, n - 1 : n]
+                    query, near = np.nonzero(distance <= limit)
+                else:
+                    query, near = np.divmod(np.arange(distance.size), len(ids))
+                order = np.lexsort((near, distance[query, near], query))
+                query, near = query[order], near[order]
+                rank = np.arange(len(query)) - np.searchsorted(query, query)
+                query, near = query[rank < n], near[rank < n]
+                found.append(pd.DataFrame({"query_id": query_ids[lo + query], "id": ids[near], "distance": distance[query, near]}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "distance": []})
 
     return run
@@ -197,6 +305,10 @@ def _ranked(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
         .cogroup(rows.groupBy("cell", "part"))
         .applyInPandas(_cell_top(n), f"query_id {id_type}, id {id_type}, distance double")
     )
+    return _best(found, n)
+
+
+def _best(found: DataFrame, n: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return (
         found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
@@ -247,3 +359,82 @@ def knn_batch_bounded(
     asked = queries.select(F.col("id").alias("query_id"), "embedding", F.explode(nearest("embedding")).alias("cell"))
     rows = vectors.select("id", "embedding", F.get(nearest("embedding"), F.lit(0)).alias("cell"), _dealt(parts).alias("part"))
     return _ranked(asked.select("*", _every(parts).alias("part")), rows, n)
+
+
+def _projections(size: int, tables: int, bits: int, seed: int) -> np.ndarray:
+    """Random directions, `bits` for each table: (size, tables, bits)."""
+    return np.random.Generator(np.random.PCG64(seed)).standard_normal((size, tables, bits))
+
+
+def _buckets(directions: np.ndarray, probes: int) -> Column:
+    """The buckets of a vector in all tables (table * 2^bits + the signs of its projections).  With
+    more than one probe also those it would be in if the projections nearest to zero had the other sign:
+    one or two of them, the smallest sums of magnitudes first."""
+    _, tables, bits = directions.shape
+    flips = np.array([[]] + [[i] for i in range(bits)] + [[i, j] for i in range(bits) for j in range(i)], dtype=object)
+    pattern = np.array([[k in f for k in range(bits)] for f in flips], bool)  # which signs a probe turns
+    mask = pattern @ (1 << np.arange(bits))
+
+    @F.pandas_udf("array<int>")
+    def buckets(embedding: pd.Series) -> pd.Series:
+        rows = np.stack(embedding.to_numpy()).astype(np.float64)
+        projected = np.einsum("nd,dtb->ntb", rows, directions)
+        own = (projected > 0) @ (1 << np.arange(bits))
+        if probes == 1:
+            found = own[:, :, None]
+        else:
+            cost = np.abs(projected) @ pattern.T.astype(float)
+            chosen = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+            found = own[:, :, None] ^ mask[chosen]
+        whole = found + (np.arange(tables) << bits)[None, :, None]
+        return pd.Series(list(whole.reshape(len(rows), -1).astype(np.int32)))
+
+    return buckets("embedding")
+
+
+#: Hash tables, projections in each, and buckets a query looks into in each table.
+TABLES, BITS, PROBES = 16, 8, 12
+
+
+def knn_batch_projected(
+    vectors: DataFrame, queries: DataFrame, n: int = cat.DEFAULT_TOP_K,
+    tables: int = TABLES, bits: int = BITS, probes: int = PROBES, block: int = GRID_BLOCK, seed: int = 1,
+) -> DataFrame:
+    """Nearest rows of (id, embedding) for many queries (id, embedding), approximate: candidates are
+    the rows that fall into a query's bucket in one of several tables of random projections, and these
+    are compared exactly.
+
+    A row goes to one bucket of each table, a query to its `probes` nearest ones.  A bucket with more
+    than `block` rows is cut into parts, and its queries go to each, so no task has more than that.  A
+    bucket gives out the best n per query.  Fewer bits or more probes find more and compare more; the
+    test measures the recall of the defaults on the given vectors.  Zero vectors have a bucket too."""
+    first = vectors.select(F.size("embedding")).first()
+    if first is None:
+        return knn_batch(vectors, queries, n, block)
+    directions = _projections(first[0], tables, bits, seed)
+    rows = vectors.select("id", "embedding", F.explode(_buckets(directions, 1)).alias("cell"))
+    # One row per bucket at most: tables * 2^bits of them.
+    sizes = vectors.select(F.explode(_buckets(directions, 1)).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    parts = F.broadcast(sizes.select("cell", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    dealt = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    renamed = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("embedding"))
+    asked = renamed.select("*", F.explode(_buckets(directions, probes)).alias("cell"))
+    asked = asked.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    id_type = vectors.schema["id"].dataType.simpleString()
+    found = (
+        asked.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part"))
+        .applyInPandas(_cell_top(n), f"query_id {id_type}, id {id_type}, distance double")
+    )
+    # A pair that met in several tables is one: its distance is the same in each.
+    return _best(found.groupBy("query_id", "id").agg(F.min("distance").alias("distance")), n)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: queries, neighbours to find, and how many of these were found (by distance: of several
+    equally near rows any counts)."""
+    worst = exact.groupBy("query_id").agg(F.max("distance").alias("worst"), F.count("*").alias("wanted"))
+    near = found.join(worst, "query_id").filter(F.col("distance") <= F.col("worst")).groupBy("query_id").agg(F.count("*").alias("hits"))
+    return worst.join(near, "query_id", "left").agg(
+        F.count("*").alias("n_queries"), F.sum("wanted").alias("n_wanted"),
+        F.sum(F.least(F.coalesce("hits", F.lit(0)), "wanted")).alias("n_found"),
+    )

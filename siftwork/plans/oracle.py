@@ -39,33 +39,36 @@ def _shape(shape: str) -> str:
 
 _NAMES = strlist(name for name, _ in planted.PLANTED)
 _SUFFIXES = "[" + ", ".join(_suffix(p) for _, p in planted.PLANTED) + "]"
-_N = len(planted.PLANTED)
+
+_KIND_SLOTS = " ".join(f"WHEN {at} THEN [0, {kind}]" for kind, (at, *_) in enumerate(planted.ADDED, 1))
+_ADDED = {c: " ".join(f"WHEN {k} THEN {q(row[i])}" for k, row in enumerate(planted.ADDED, 1)) for i, c in ((1, "name"), (2, "text"), (3, "error"))}
+_TURN_SEQ = planted.key_sql(planted.pair_sql("conv_id", "turn", "//"), planted.TURN)
+_PAGE_SEQ = planted.key_sql("page_id", planted.PAGE)
 
 CORPUS = f"""
 corpus AS (
-  SELECT doc_id AS seq,
-    'https://example.com/' || source || '/' || doc_id || '/' ||
-      CASE WHEN doc_id % {planted.SLOTS} < {_N} THEN ({_NAMES})[doc_id % {planted.SLOTS} + 1] ELSE {q(planted.DEFAULT_NAME)} END AS url,
-    CASE doc_id % {planted.SLOTS} WHEN {planted.SAME_TEXT_SLOT} THEN {q(planted.SAME_TEXT)} WHEN {planted.FAILED_SLOT} THEN ''
-      ELSE text || chr(10) || ({_SUFFIXES})[doc_id % {planted.SLOTS} + 1] END AS raw_content,
-    CASE WHEN doc_id % {planted.SLOTS} = {planted.FAILED_SLOT} THEN 'timeout' END AS error,
+  SELECT doc_id * {planted.KINDS} + kind AS seq,
+    'https://example.com/' || source || '/' || doc_id || '/' || CASE kind {_ADDED["name"]}
+      ELSE coalesce(({_NAMES})[doc_id % {planted.SLOTS} + 1], {q(planted.DEFAULT_NAME)}) END AS url,
+    CASE kind {_ADDED["text"]} ELSE text || coalesce(chr(10) || ({_SUFFIXES})[doc_id % {planted.SLOTS} + 1], '') END AS raw_content,
+    CASE kind {_ADDED["error"]} END AS error,
     source, 1704067200 + doc_id % 97 * 60 AS ingest_s
-  FROM documents),
+  FROM (SELECT *, unnest(CASE doc_id % {planted.SLOTS} {_KIND_SLOTS} ELSE [0] END) AS kind FROM documents)),
 valid AS (SELECT *, sha256(raw_content) AS content_hash FROM corpus WHERE error IS NULL AND raw_content <> ''),
 first_docs AS (SELECT * FROM valid WHERE seq IN (SELECT min(seq) FROM valid GROUP BY content_hash))"""
 
-RECRAWL = """
+RECRAWL = f"""
 recrawl AS (
-  SELECT seq + 1000000000 AS seq, url,
-    CASE WHEN seq % 3 = 0 AND raw_content <> '' THEN raw_content || chr(10) || 'revised' ELSE raw_content END AS raw_content, error
+  SELECT seq + {planted.REVISED} AS seq, url,
+    CASE WHEN seq // {planted.KINDS} % 3 = 0 AND raw_content <> '' THEN raw_content || chr(10) || 'revised' ELSE raw_content END AS raw_content, error
   FROM corpus
   UNION ALL
-  SELECT 2000000000 + conv_id * 1000 + turn, 'https://example.com/conv/' || conv_id || '/' || turn, text, NULL FROM conversations)"""
+  SELECT {_TURN_SEQ}, 'https://example.com/conv/' || conv_id || '/' || turn, text, NULL FROM conversations)"""
 
 URLS = f"""
 urls AS (
   SELECT doc_id AS seq, ([{", ".join(_shape(s) for s in planted.URL_SHAPES)}])[doc_id % {len(planted.URL_SHAPES)} + 1] AS url FROM documents
-  UNION ALL SELECT 3000000000 + page_id, url FROM pages),
+  UNION ALL SELECT {_PAGE_SEQ}, url FROM pages),
 parts AS (
   SELECT seq, url,
     lower(regexp_extract(url, '^(?:([a-zA-Z][a-zA-Z0-9+.\\-]*):)?', 1)) AS scheme,
@@ -431,7 +434,7 @@ def oracles() -> dict[str, str]:
         "classify": tagged + f"SELECT seq, url, content_hash, platform, confidence, {_join('tags', chr(39) + ',' + chr(39))} AS tags, CAST(len(block_list) AS BIGINT) AS n_blocks FROM tagged",
         "lines": w(_lines("documents", "doc_id", "text")) + "SELECT doc_id, line_number, line FROM all_lines",
         "secret_findings": w(CORPUS, FINDINGS) + f"SELECT {_FINDING_COLUMNS} FROM findings",
-        "secret_findings_raw_tables": w("texts AS (SELECT doc_id AS seq, text FROM documents UNION ALL SELECT 3000000000 + page_id, html FROM pages UNION ALL SELECT 2000000000 + conv_id * 1000 + turn, text FROM conversations)", _findings(cat.SECRET_RULES, "texts", "text")) + f"SELECT {_FINDING_COLUMNS} FROM findings",
+        "secret_findings_raw_tables": w(f"texts AS (SELECT {planted.key_sql('doc_id', 0)} AS seq, text FROM documents UNION ALL SELECT {_PAGE_SEQ}, html FROM pages UNION ALL SELECT {_TURN_SEQ}, text FROM conversations)", _findings(cat.SECRET_RULES, "texts", "text")) + f"SELECT {_FINDING_COLUMNS} FROM findings",
         "secret_rule_counts": w(CORPUS, FINDINGS, "rules(rule_pos, rule_name, min_entropy) AS (" + _rows(f"({i}, {q(r.name)}, {r.min_entropy}::DOUBLE)" for i, r in enumerate(cat.SECRET_RULES)) + ")") + "SELECT CAST(r.rule_pos AS BIGINT) AS rule_pos, r.rule_name, r.min_entropy, count(f.seq) AS n_findings, count(DISTINCT f.seq) AS n_docs FROM rules r LEFT JOIN findings f USING (rule_name) GROUP BY ALL",
         "entropy_filter": w(CORPUS, _findings([registry.RAW_ENTROPY_RULE._replace(name="all", min_entropy=0.0), registry.RAW_ENTROPY_RULE._replace(name="kept")])) + "SELECT v.seq, count(*) FILTER (f.rule_name = 'all') AS n_all, count(*) FILTER (f.rule_name = 'kept') AS n_kept FROM valid v LEFT JOIN findings f USING (seq) GROUP BY ALL",
         "finding_context": w(CORPUS, FINDINGS) + "SELECT seq, rule_name, line_number, start, context FROM findings",
@@ -447,6 +450,7 @@ def oracles() -> dict[str, str]:
         "index_documents": w(CORPUS, RECRAWL, *BATCHES, "accepted AS (SELECT seq, 1 AS batch, raw_content FROM one WHERE outcome = 'accepted' UNION ALL SELECT seq, 2, raw_content FROM two WHERE outcome = 'accepted')", _findings(cat.SECRET_RULES, "accepted")) + "SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, count(*) FILTER (n_findings > 0) AS n_secrets FROM accepted JOIN counted USING (seq) GROUP BY ALL",
         "index_delete": w(CORPUS, SCORES) + "SELECT content_hash AS id, platform FROM first_docs JOIN best USING (seq) WHERE platform <> 'crewai'",
         "index_reset": w(CORPUS) + "SELECT unnest(['before', 'reset', 'again']) AS state, unnest([n, 0, n]) AS n FROM (SELECT count(*) AS n FROM first_docs)",
+        "search_postings": _semantic(registry.QUERY_TEXT, cat.DEFAULT_TOP_K),
         "search_stored_index": _semantic(registry.QUERY_TEXT, cat.DEFAULT_TOP_K),
         "page_catalogue": w(CORPUS, SCORES) + "SELECT seq, url, ingest_s, platform FROM first_docs JOIN best USING (seq) ORDER BY ingest_s DESC, seq DESC LIMIT 100 OFFSET 100",
         "findings_of_file": w(CORPUS, FINDINGS) + "SELECT url, content_hash, rule_name, line_number, redacted FROM first_docs JOIN findings USING (seq)",
@@ -455,7 +459,7 @@ def oracles() -> dict[str, str]:
         "inventory_merge": w(CORPUS, RECRAWL) + "SELECT url FROM corpus UNION SELECT url FROM recrawl",
         "run_summary": w(CORPUS, SCORES, TRAITS, FINDINGS) + "SELECT t.platform, count(*) AS n_files, CAST(sum(copies) AS BIGINT) AS n_documents, round(avg(confidence), 6) AS mean_confidence, count(*) FILTER (n_findings > 0) AS n_with_secrets, CAST(sum(n_findings) AS BIGINT) AS n_findings, CAST(sum(len(block_list)) AS BIGINT) AS n_blocks FROM tagged t JOIN first_docs USING (seq) JOIN counted USING (seq) JOIN (SELECT content_hash AS h, count(*) AS copies FROM valid GROUP BY ALL) ON h = t.content_hash GROUP BY ALL",
         "skip_report": docs + "SELECT CASE WHEN error IS NOT NULL THEN error WHEN raw_content = '' THEN 'empty' ELSE 'ok' END AS status, count(*) AS n FROM corpus GROUP BY ALL",
-        "multi_source_union": w(PAGES, PAYLOADS, "u AS (SELECT 0 AS source, page_id AS pos, url FROM pages UNION ALL SELECT 1, page_id * 1000 + pos, url FROM kept UNION ALL SELECT 2, page_id * 1000 + pos, url FROM github_urls)") + "SELECT url, CAST(source AS BIGINT) AS source, pos FROM u QUALIFY row_number() OVER (PARTITION BY url ORDER BY source, pos) = 1",
+        "multi_source_union": w(PAGES, PAYLOADS, "u AS (SELECT 0 AS source, page_id, 0 AS pos, url FROM pages UNION ALL SELECT 1, page_id, pos, url FROM kept UNION ALL SELECT 2, page_id, pos, url FROM github_urls)") + "SELECT url, CAST(source AS BIGINT) AS source, page_id, CAST(pos AS BIGINT) AS pos FROM u QUALIFY row_number() OVER (PARTITION BY url ORDER BY source, page_id, pos) = 1",
         "build_document": tagged + f"SELECT seq, {_DOCUMENT} AS document FROM tagged",
         "tokenize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, {_join('t', chr(39) + ' ' + chr(39))} AS tokens FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+', 0) AS t FROM documents)",
         "hash_embed": w(_tokens("documents", "doc_id", "text", "dv")) + "SELECT doc_id, bucket, weight FROM dv_w",
@@ -465,6 +469,7 @@ def oracles() -> dict[str, str]:
         "semantic_search_filtered": _semantic(registry.FILTER_QUERY, 5, "platform = 'langchain'"),
         "knn_embeddings": "SELECT id, label, round(d, 4) AS distance FROM (SELECT vec_id AS id, label, round(list_cosine_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 9) AS d FROM embeddings) ORDER BY d, id LIMIT 10",
         "knn_batch": "SELECT query_id, id, round(d, 4) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS d FROM embeddings a, embeddings b)) WHERE rank <= 5",
+        "knn_recall": f"SELECT count(*) FILTER (vec_id % 20 = 0) AS n_queries, CAST(count(*) FILTER (vec_id % 20 = 0) * least({cat.DEFAULT_TOP_K}, count(*)) AS BIGINT) AS n_wanted, true AS enough FROM embeddings",
         "knn_batch_text": w(_tokens("documents", "doc_id", "text", "dv"), _tokens("benchmark", "item_id", "text", "qv")) + "SELECT query_id, id, round(d, 4) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (SELECT item_id AS query_id, x.doc_id AS id, round(1 - coalesce(dot, 0.0), 9) AS d FROM benchmark CROSS JOIN documents x LEFT JOIN (SELECT item_id, doc_id, sum(dv.v * qv.v) AS dot FROM dv JOIN qv USING (bucket) GROUP BY ALL) USING (item_id, doc_id))) WHERE rank <= 3",
         "search_filename": _search("every", "filename"),
         "search_content": _search("code-search", "content"),

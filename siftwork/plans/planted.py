@@ -41,10 +41,22 @@ PLANTED: tuple[tuple[str, tuple], ...] = (
     ("k.txt", (("A", 40), "\n0123456789abcdefGHIJKLMNOPQRSTUVWXYZ_-+=")),
 )
 SLOTS = 24
-SAME_TEXT_SLOT = 22
-SAME_TEXT = "from crewai import Crew"
-FAILED_SLOT = 23
 DEFAULT_NAME = "doc.md"
+# Rows added for the documents of a slot, (slot, file name, text, error).
+ADDED = ((22, "copy.md", "from crewai import Crew", None), (23, "failed.md", "", "timeout"))
+SAME_TEXT = ADDED[0][2]
+#: Kinds of rows, so that no two have one key at any size: a key is 8 times an identifier plus its kind.
+KINDS = 8
+REVISED, TURN, PAGE = 3, 6, 7
+
+
+def key_sql(identifier: str, kind: int) -> str:
+    return f"({identifier}) * {KINDS} + {kind}"
+
+
+def pair_sql(a: str, b: str, div: str) -> str:
+    """A number of its own for each pair of numbers from 0 on; `div` is the integer division."""
+    return f"({a} + {b}) * ({a} + {b} + 1) {div} 2 + {b}"
 
 
 def _piece_sql(piece) -> str:
@@ -52,33 +64,37 @@ def _piece_sql(piece) -> str:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """(seq, url, raw_content, error, source, ingest_s) over all documents."""
+    """(seq, url, raw_content, error, source, ingest_s) over all documents, each with its whole text;
+    some have a second row, a copy of one text or a failed fetch."""
     docs = read_table(spark, folder, "documents", ["doc_id", "text", "source"], key="doc_id")
     names = "array(" + ", ".join(sql_literal(name) for name, _ in PLANTED) + ")"
-    suffixes = "array(" + ", ".join("concat(" + ", ".join(map(_piece_sql, p)) + ")" for _, p in PLANTED) + ")"
+    suffixes = "array(" + ", ".join("concat('\n', " + ", ".join(map(_piece_sql, p)) + ")" for _, p in PLANTED) + ")"
     slot = f"int(doc_id % {SLOTS})"
-    return docs.selectExpr(
-        "doc_id AS seq",
-        f"concat('https://example.com/', source, '/', doc_id, '/', coalesce(get({names}, {slot}), '{DEFAULT_NAME}')) AS url",
-        f"CASE {slot} WHEN {SAME_TEXT_SLOT} THEN {sql_literal(SAME_TEXT)} WHEN {FAILED_SLOT} THEN ''"
-        f" ELSE concat(text, '\\n', get({suffixes}, {slot})) END AS raw_content",
-        f"CASE WHEN {slot} = {FAILED_SLOT} THEN 'timeout' END AS error",
+    kinds = " ".join(f"WHEN {at} THEN array(0, {kind})" for kind, (at, *_) in enumerate(ADDED, 1))
+    by_kind = lambda column, own: f"CASE kind {' '.join(f'WHEN {k} THEN {sql_literal(row[column])}' for k, row in enumerate(ADDED, 1))} ELSE {own} END"
+    failed = " ".join(f"WHEN {k} THEN {sql_literal(row[3])}" for k, row in enumerate(ADDED, 1) if row[3])
+    rows = docs.selectExpr("*", f"explode(CASE {slot} {kinds} ELSE array(0) END) AS kind")
+    return rows.selectExpr(
+        f"doc_id * {KINDS} + kind AS seq",
+        f"concat('https://example.com/', source, '/', doc_id, '/', {by_kind(1, f"coalesce(get({names}, {slot}), '{DEFAULT_NAME}')")}) AS url",
+        f"{by_kind(2, f"concat(text, coalesce(get({suffixes}, {slot}), ''))")} AS raw_content",
+        f"CASE kind {failed} END AS error",
         "source",
         "1704067200 + doc_id % 97 * 60 AS ingest_s",
     )
 
 
 def recrawl(spark: SparkSession, folder: str) -> DataFrame:
-    """A second batch: every document again, one in three with new content, and every turn of
-    the conversations as a document of its own."""
+    """A second batch: every row again, those of one document in three with new content, and every
+    turn of the conversations as a document of its own."""
     again = corpus(spark, folder).selectExpr(
-        "seq + 1000000000 AS seq",
+        f"seq + {REVISED} AS seq",
         "url",
-        "CASE WHEN seq % 3 = 0 AND raw_content <> '' THEN concat(raw_content, '\\nrevised') ELSE raw_content END AS raw_content",
+        f"CASE WHEN seq div {KINDS} % 3 = 0 AND raw_content <> '' THEN concat(raw_content, '\nrevised') ELSE raw_content END AS raw_content",
         "error",
     )
     turns = read_table(spark, folder, "conversations", key="conv_id").selectExpr(
-        "2000000000 + conv_id * 1000 + turn AS seq",
+        f"{key_sql(pair_sql('conv_id', 'turn', 'div'), TURN)} AS seq",
         "concat('https://example.com/conv/', conv_id, '/', turn) AS url",
         "text AS raw_content",
         "cast(NULL AS string) AS error",

@@ -36,6 +36,9 @@ PYTHON_RULES = (
 )
 RAW_ENTROPY_RULE = next(r for r in cat.SECRET_RULES if r.name == "high_entropy_secret")
 
+#: Queries whose rows SQL can't give; tests compare them with brute force.
+WITHOUT_SQL = {"knn_batch_approximate"}
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -81,7 +84,12 @@ def scanned(spark, sf) -> DataFrame:
 
 def all_urls(spark, sf) -> DataFrame:
     pages = tables.read_table(spark, sf, "pages", ["page_id", "url"])
-    return planted.url_table(spark, sf).unionByName(pages.selectExpr("3000000000 + page_id AS seq", "url"))
+    return planted.url_table(spark, sf).unionByName(pages.selectExpr(f"{planted.key_sql('page_id', planted.PAGE)} AS seq", "url"))
+
+
+def _place(pos) -> Column:
+    """Place of a link among those of all pages."""
+    return F.struct("page_id", (F.col(pos) if isinstance(pos, str) else pos).cast("bigint").alias("pos")).alias("pos")
 
 
 def with_haystack(spark, sf) -> DataFrame:
@@ -411,11 +419,13 @@ def secret_findings(spark, sf):
 @query
 def secret_findings_raw_tables(spark, sf):
     """The same scan over the untouched texts of documents, pages and conversations."""
+    key = planted.key_sql
+    turn = planted.pair_sql("conv_id", "turn", "div")
     parts = [
-        tables.read_table(spark, sf, "documents", key="doc_id").selectExpr("doc_id AS seq", "text AS raw_content"),
-        tables.read_table(spark, sf, "pages", key="page_id").selectExpr("3000000000 + page_id AS seq", "html AS raw_content"),
+        tables.read_table(spark, sf, "documents", key="doc_id").selectExpr(f"{key('doc_id', 0)} AS seq", "text AS raw_content"),
+        tables.read_table(spark, sf, "pages", key="page_id").selectExpr(f"{key('page_id', planted.PAGE)} AS seq", "html AS raw_content"),
         tables.read_table(spark, sf, "conversations", key="conv_id").selectExpr(
-            "2000000000 + conv_id * 1000 + turn AS seq", "text AS raw_content"),
+            f"{key(turn, planted.TURN)} AS seq", "text AS raw_content"),
     ]
     return _findings(enrich.scan_secrets(parts[0].unionByName(parts[1]).unionByName(parts[2])))
 
@@ -554,6 +564,14 @@ def index_reset(spark, sf):
     return before.unionByName(reset).unionByName(size("again"))
 
 
+@query
+def search_postings(spark, sf):
+    """The same search through the postings of the stored collection."""
+    root = _indexed(spark, sf, "search_postings")
+    vectors.build_postings(spark, root)
+    return vectors.search_postings(spark, root, QUERY_TEXT)
+
+
 @query
 def search_stored_index(spark, sf):
     """The text search over a collection that was written and read back."""
@@ -583,9 +601,9 @@ def inventory_refresh(spark, sf):
     path = f"{shared_folder(spark)}/inventory"
     pages = tables.read_table(spark, sf, "pages", ["url"])
     url_list.update_urls(pages.limit(0), pages, path, version=1)
-    links_found = harvest.harvest_links(planted.linked_pages(spark, sf)).selectExpr("page_id * 1000 + pos AS pos", "url")
+    links_found = harvest.harvest_links(planted.linked_pages(spark, sf)).select(_place("pos"), "url")
     bodies = planted.payloads(spark, sf).select("page_id", "github_body")
-    from_search = payloads.github_payload_urls(bodies, "github_body").selectExpr("page_id * 1000 + pos AS pos", "url")
+    from_search = payloads.github_payload_urls(bodies, "github_body").select(_place("pos"), "url")
     added = inventory.refresh(spark, path, 2, links_found, from_search)
     return added.select("url").unionByName(url_list.load_urls(spark, path).select(F.concat(F.lit("stored "), "url").alias("url")))
 
@@ -607,11 +625,12 @@ def skip_report(spark, sf):
 
 @query
 def multi_source_union(spark, sf):
-    pages = tables.read_table(spark, sf, "pages", ["page_id", "url"]).selectExpr("page_id AS pos", "url")
-    harvested = harvest.harvest_links(planted.linked_pages(spark, sf)).selectExpr("page_id * 1000 + pos AS pos", "url")
+    pages = tables.read_table(spark, sf, "pages", ["page_id", "url"]).select(_place(F.lit(0)), "url")
+    harvested = harvest.harvest_links(planted.linked_pages(spark, sf)).select(_place("pos"), "url")
     github = planted.payloads(spark, sf).select("page_id", "github_body")
-    found = payloads.github_payload_urls(github, "github_body").selectExpr("page_id * 1000 + pos AS pos", "url")
-    return dedup.union_sources(pages, harvested, found).select("url", *as_long("source", "pos"))
+    found = payloads.github_payload_urls(github, "github_body").select(_place("pos"), "url")
+    union = dedup.union_sources(pages, harvested, found)
+    return union.select("url", *as_long("source"), F.col("pos.page_id").alias("page_id"), F.col("pos.pos").cast("bigint").alias("pos"))
 
 
 # ---------------------------------------------------------------- V: vectors and search
@@ -680,6 +699,27 @@ def knn_batch(spark, sf):
     return vectors.knn_batch(table, table, 5).select("query_id", "id", "distance", *as_long("rank"))
 
 
+def _every_20th(table: DataFrame) -> DataFrame:
+    """The queries of the approximate search; they are compared with all rows."""
+    return table.filter("id % 20 = 0")
+
+
+@query
+def knn_batch_approximate(spark, sf):
+    table = _vectors(spark, sf).select("id", "embedding")
+    found = vectors.knn_batch_projected(table, _every_20th(table))
+    return found.select("query_id", "id", "distance", *as_long("rank"))
+
+
+@query
+def knn_recall(spark, sf):
+    """Whether the approximate search finds nine tenths of the exact one's neighbours."""
+    table = _vectors(spark, sf).select("id", "embedding")
+    asked = _every_20th(table)
+    measured = vectors.recall(vectors.knn_batch_projected(table, asked), vectors.knn_batch(table, asked))
+    return measured.select("n_queries", "n_wanted", (F.col("n_found") >= 0.9 * F.col("n_wanted")).alias("enough"))
+
+
 @query
 def knn_batch_text(spark, sf):
     """Documents nearest to every benchmark passage."""

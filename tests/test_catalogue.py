@@ -1,13 +1,13 @@
 import json
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftwork import catalogues as cat
 from siftwork.operators import catalogue, dedup, enrich, vectors
-from siftwork.plans import ingest
-from siftwork.sources import tables, versions
+from siftwork.plans import ingest, inventory
+from siftwork.sources import tables, url_list, versions
 from siftwork.streaming.ingest import ingest_stream
 
 from .texts import GITHUB, OPENAI
@@ -216,7 +216,7 @@ def test_a_failed_run_changes_nothing(spark, folder, monkeypatch):
     assert stored(spark, folder) == want
     write = catalogue._write_files
 
-    def half(rows, path):
+    def half(rows, path, **_):
         write(rows.limit(1), path)
         raise RuntimeError("lost")
 
@@ -252,3 +252,35 @@ def test_stored_masks_are_those_of_a_scan(spark, folder):
         assert (row.masked_content or row.raw_content) == scanned[row.url]
         assert (row.masked_content is None) == (row.n_findings == 0) == (not row.has_secrets)
     assert "rlike" not in catalogue.export_files(files)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_paging_by_key_reads_few_parts(spark, folder):
+    for batch in range(1, 13):
+        rows = [(batch * 10 + k, f"https://a/{batch}/{k}", f"text {batch} {k}") for k in range(5)]
+        catalogue.save_batch(spark, frame(spark, rows).coalesce(1), folder, batch, AS_OF + timedelta(days=batch))
+    want = [(r.indexed_at, r.seq) for r in catalogue.page(catalogue.read_files(spark, folder), 100).collect()]
+    got, place, read = [], None, []
+    for _ in range(9):
+        found = catalogue.page_after(spark, folder, 7, place)
+        rows = [(r.indexed_at, r.seq) for r in found.collect()]
+        read.append(len({f.split("/part=")[1].split("/")[0] for f in found.inputFiles()}))
+        got += rows
+        place = rows[-1] if rows else place
+    assert got == want and len(got) == 60
+    assert max(read) <= 4  # two batches hold a page, its place is in another, one more is not known to be unneeded
+    catalogue.compact(spark, folder, fanout=4, key_files=1)
+    catalogue.save_batch(spark, frame(spark, [(33, "https://a/3/3", "text 3 3")]), folder, 3, AS_OF + timedelta(days=3))
+    assert [(r.indexed_at, r.seq) for r in catalogue.page_after(spark, folder, 100).collect()] == [w for w in want if w[1] // 10 != 3 or w[1] == 33]
+    assert catalogue.page_after(spark, folder + "/none").count() == 0
+
+
+def test_inventory_versions(spark, folder):
+    path = folder + "/urls"
+    add = lambda *urls: spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "pos int, url string")
+    assert [r.url for r in inventory.refresh(spark, path, 1, add("b", "a")).collect()] == ["b", "a"]
+    assert [r.url for r in inventory.refresh(spark, path, 2, add("c", "a"), add("d", "c")).collect()] == ["c", "d"]
+    # The same version again: against the one before, with the same result.
+    assert [r.url for r in inventory.refresh(spark, path, 2, add("c", "a"), add("d", "c")).collect()] == ["c", "d"]
+    assert sorted(r.url for r in url_list.load_urls(spark, path).collect()) == ["a", "b", "c", "d"]
+    assert sorted(r.url for r in url_list.load_urls(spark, path, before=2).collect()) == ["a", "b"]
+    assert inventory.refresh(spark, path, 3, add("a")).count() == 0 and url_list.load_urls(spark, path, before=1).count() == 0

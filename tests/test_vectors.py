@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +65,34 @@ def test_collections_delete_reset_compact(spark, files, folder):
     assert vectors.read_index(spark, folder).count() == 0 and vectors.read_index(spark, folder, "other").count() == 4
 
 
+def test_deletions_end_with_a_compaction(spark, files, folder):
+    vectors.index_batch(spark, files, folder, 1)
+    for batch, url in ((2, "https://a/2"), (3, "https://a/3")):
+        vectors.delete_from_index(vectors.read_index(spark, folder).filter(F.col("url") == url).select("id"), folder, batch)
+    plan = lambda: vectors.read_index(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan()
+    want = {r.url for r in vectors.read_index(spark, folder).collect()}
+    vectors.compact_in_place(spark, folder)
+    assert "LeftAnti" not in plan() and {r.url for r in vectors.read_index(spark, folder).collect()} == want == {"https://a/CLAUDE.md", "https://a/4"}
+    assert vectors.vacuum_index(spark, folder) == 0  # the version before may still be read
+    assert vectors.index_batch(spark, files, folder, 4) == 2 and vectors.read_index(spark, folder).count() == 4
+    assert vectors.vacuum_index(spark, folder) == 3 and vectors.read_index(spark, folder).count() == 4
+    vectors.compact_in_place(spark, folder, "none")
+
+
+def test_postings_find_what_the_scan_finds(spark, files, folder):
+    vectors.index_batch(spark, files, folder, 1)
+    vectors.build_postings(spark, folder)
+    index = vectors.read_index(spark, folder)
+    for query, n in (("bash scripts with langchain agents", 2), ("recipes", 99), ("!!", 3), ("claude rust zebra", 3), ("", 9)):
+        want = vectors.semantic_search(index, query, n).collect()
+        assert vectors.search_postings(spark, folder, query, n).collect() == want
+    path = vectors._postings_folder(spark, folder, vectors.cat.DEFAULT_COLLECTION)
+    own = spark.read.schema(vectors._POSTING_SCHEMA).parquet(path).filter(F.col("bucket").isin(1, 2))
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+
+
 @pytest.mark.parametrize("block", [2048, 3])
 def test_batch_knn_against_brute_force(spark, block):
     rng = np.random.default_rng(7)
@@ -91,6 +121,44 @@ def test_bounded_batch_knn_finds_most_neighbours(spark):
     assert len(near) == len(set(near)) == 150 and len(exact & set(near)) >= 0.9 * 150
 
 
+def exact_neighbours(base, queries, n):
+    unit = base / np.where((size := np.linalg.norm(base, axis=1, keepdims=True)) > 0, size, 1)
+    distance = np.round(1 - unit[queries] @ unit.T, 9)
+    return {int(q): np.lexsort((np.arange(len(base)), d))[:n].tolist() for q, d in zip(queries, distance, strict=True)}, distance
+
+
+@pytest.mark.parametrize("block", [8192, 5])
+def test_projected_knn(spark, block):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(150, 12)).astype("float32").astype("float64")
+    base[5], base[7] = base[9], 0
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "id bigint, embedding array<float>").repartition(4)
+    want, distance = exact_neighbours(base, np.arange(0, 150, 10), 4)
+    # With every bucket probed nothing is missed, in whatever parts the buckets are.
+    every = vectors.knn_batch_projected(table, table.filter("id % 10 = 0"), 4, tables=2, bits=2, probes=4, block=block).collect()
+    assert {(r.query_id, r.rank): r.id for r in every} == {(q, k + 1): i for q, own in want.items() for k, i in enumerate(own)}
+    # Otherwise what is found has its exact distance and rank.
+    some = vectors.knn_batch_projected(table, table.filter("id % 10 = 0"), 4, tables=2, bits=3, probes=2, block=block).collect()
+    for r in some:
+        assert r.distance == pytest.approx(distance[r.query_id // 10][r.id], abs=1e-4)
+    assert 0 < len(some) == len({(r.query_id, r.id) for r in some}) == len({(r.query_id, r["rank"]) for r in some}) <= 60
+    assert vectors.knn_batch_projected(table.limit(0), table, 4).count() == 0
+
+
+GIVEN = "/root/testdata/sf0.1/embeddings.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(GIVEN), reason="no test tables")
+def test_projected_knn_finds_nine_tenths_at_its_defaults(spark):
+    rows = spark.read.parquet(GIVEN).selectExpr("vec_id AS id", "embedding").orderBy("id").collect()
+    base = np.array([r.embedding for r in rows], float)
+    table = spark.createDataFrame([(i, r.embedding) for i, r in enumerate(rows)], "id bigint, embedding array<float>")
+    want, _ = exact_neighbours(base, np.arange(0, len(base), 20), 10)
+    got = {(r.query_id, r.id) for r in vectors.knn_batch_projected(table, table.filter("id % 20 = 0")).collect()}
+    found = sum((q, i) in got for q, own in want.items() for i in own)
+    assert found >= 0.9 * 10 * len(want) and len(got) == 10 * len(want)
+
+
 def test_predicate_catalogue_sizes():
     sizes = {"code-host": 48, "open-web": 48, "code-search": 50, "blob-search": 32, "s3": 24, "all": 96, "github": 48, "web": 48}
     assert {name: len(search.predicates(name)) for name in sizes} == sizes
