@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import catalogues as cat
 from ..functions import urls
 from ..functions.regex import sql_literal
+from ..session import shared_folder
 
 
 @dataclass(frozen=True)
@@ -218,6 +219,39 @@ def search(docs: DataFrame, source: str = "every", kind: str | None = None, text
     return match_predicates(docs, chosen, text)
 
 
+#: The optimizer limits a window's groups per task up to this rank, by default.
+_GROUP_LIMIT = 1000
+_SALTS = 64
+
+
+def first_hits(hits: DataFrame, n: int) -> DataFrame:
+    """The first n hits of every query by (seq, url), with their rank.
+
+    A query that all documents satisfy is a group with all rows, so its hits are ranked in two steps:
+    by parts of the group first, of which each keeps n.  A small n is then ranked in one window of at
+    most n rows a part.  A large one is ranked along the order: the rest is shuffled by range and
+    written, a range ranks its own rows, and starts after the rows of the ranges before; what is
+    small there is the number of rows per query and range."""
+    order = ["seq", "url"]
+    salted = Window.partitionBy("query_no", F.pmod(F.xxhash64("seq"), F.lit(_SALTS))).orderBy(*order)
+    kept = hits.withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= n).drop("rank")
+    if n <= _GROUP_LIMIT:
+        whole = Window.partitionBy("query_no").orderBy(*order)
+        return kept.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= n)
+    spark = hits.sparkSession
+    folder = shared_folder(spark) + "/hits"
+    ranged = kept.repartitionByRange("query_no", *order).withColumn("_range", F.spark_partition_id())
+    ranged.write.parquet(folder)
+    ranges = spark.read.schema(ranged.schema).parquet(folder)
+    counts = ranges.groupBy("query_no", "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("query_no").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("query_no", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("query_no", "_range").orderBy(*order)
+    ranked = ranges.filter(F.col("query_no").isNotNull()).withColumn("rank", F.row_number().over(inside)).join(starts, ["query_no", "_range"])
+    ranked = ranked.withColumn("rank", (F.col("rank") + F.col("_before")).cast("int"))
+    return ranked.filter(F.col("rank") <= n).drop("_range", "_before")
+
+
 def search_all(
     docs: DataFrame,
     source: str = "all",
@@ -227,14 +261,17 @@ def search_all(
 ) -> DataFrame:
     """Addresses found by a catalogue: first results per query, then each address once.
 
-    The cap per query is the feature; it is applied per task before the shuffle (window group
-    limit), so a query that matches everything sends a handful of rows."""
+    The cap per query is the feature, of any size; it is applied per task before the shuffle (window
+    group limit), so a query that matches everything sends a handful of rows."""
     chosen = predicates(source)[:max_queries]
-    per_query = Window.partitionBy("query_no").orderBy("seq")
     hits = match_predicates(docs, chosen, text).select("query_no", "query", "seq", "url")
-    capped = hits.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= max_results_per_query)
-    first = capped.groupBy("url").agg(F.min(F.struct("query_no", "rank", "query")).alias("hit"))
-    return first.select("url", "hit.query_no", "hit.rank", "hit.query").orderBy("query_no", "rank")
+    capped = first_hits(hits, max_results_per_query)
+    # The first hit of an address, as one number: an aggregation over numbers needs no sort.
+    place = F.col("query_no").cast("bigint") * (1 << 32) + F.col("rank")
+    first = capped.groupBy("url").agg(F.min(place).alias("_place"))
+    first = first.select("url", F.shiftright("_place", 32).cast("int").alias("query_no"), F.col("_place").bitwiseAND((1 << 32) - 1).cast("int").alias("rank"))
+    names = "array(" + ", ".join(sql_literal(p.query) for _, p in chosen) + ")" if chosen else "cast(array() AS array<string>)"
+    return first.withColumn("query", F.expr(f"get({names}, query_no)")).orderBy("query_no", "rank")
 
 
 def coverage_grid(inventory: DataFrame, url: str = "url") -> DataFrame:

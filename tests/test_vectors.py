@@ -192,3 +192,18 @@ def test_cap_is_applied_before_the_shuffle(spark):
     docs = spark.range(100).selectExpr("id AS seq", "concat('https://x/', id, '/CLAUDE.md') AS url", "'t' AS raw_content")
     plan = search.search_all(docs)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan.split("WindowGroupLimit", 1)[1]
+
+
+def test_a_cap_of_any_size(spark):
+    docs = spark.range(3000).selectExpr("id AS seq", "concat('https://x/', id, '/CLAUDE.md') AS url", "'t' AS raw_content").repartition(5)
+    hits = search.match_predicates(docs, search.predicates("all")).select("query_no", "query", "seq", "url")
+    assert hits.select("query_no").distinct().count() == 1 and hits.count() == 3000
+    for cap in (1, 900, 2000, 5000):
+        rows = search.first_hits(hits, cap).orderBy("rank").collect()
+        assert [(r["rank"], r.seq) for r in rows] == [(i + 1, i) for i in range(min(cap, 3000))]
+    found = search.search_all(docs, max_results_per_query=2000).collect()
+    assert len(found) == 2000 and [r["rank"] for r in found] == list(range(1, 2001)) and len({r.query for r in found}) == 1
+    ranges = search.first_hits(hits, 2000)._jdf.queryExecution().optimizedPlan().toString()
+    # Beyond the two steps over parts of a group, no window gathers a query's rows: only counts per range.
+    for window in [line for line in ranges.splitlines() if "row_number" in line]:
+        assert "_range" in window
