@@ -17,8 +17,12 @@ A times its transpose.  Only the cells that can reach the threshold are ever wor
 
 Linked documents need no further pair between them, so the search runs on components: first each
 row of a bucket with the next one in size, then each row with its best partner in another component,
-and last all remaining pairs across components.  No pair inside a group that is linked already is
-made, and no link between two groups is lost.
+and last all remaining pairs across components.  For these a task gives out, not the pairs it can't
+discard, but a spanning forest of them: fewer rows than it has read.  The groups that the forests
+connect are the product's last blocks: the whole sets of a group's rows come together once, in blocks
+of bounded size, overlap counts are accumulated exactly over the columns inside the task, and again
+only a forest of the links leaves it.  No pair inside a group that is linked already is made, and no
+link between two groups is lost.
 
 Null and blank texts have no shingles and link with nothing.  A text with fewer words than a shingle
 has its whole word sequence as its one shingle.  Rows with null or repeated identifiers are documents
@@ -38,6 +42,8 @@ from pyspark.sql import functions as F
 from . import keyfilter, shingles
 from .common import Workspace
 from .components import components
+from .groups import Groups
+from .order import running_sums
 
 #: Column groups of a small row; they double until a group has at most `_PER_CELL` columns of the row.
 CELLS, _PER_CELL = 128, 4
@@ -46,6 +52,8 @@ _COUNTERS, _FREQUENT, _WINDOW = 1 << 20, 4, 1 << 21
 #: Rows of a bucket that are multiplied as one block.
 BLOCK = 2048
 _PAIRS = 1 << 19
+#: Columns of the rows of one exact block together; rows from which a column is multiplied densely.
+_ENTRIES, _DENSE = 1 << 22, 64
 
 _ROWS = "doc_id bigint, text_key bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>, cells binary"
 _ROWS_ARROW = pa.schema(
@@ -233,65 +241,135 @@ def _pair_slabs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndar
             yield (base + i).reshape(-1), (base + j).reshape(-1)
 
 
+def _candidates(rows: pa.Table, percent: int, apart=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Slabs (i, j, bound) of the row pairs across components, inside blocks (shingle, bi, bj), that
+    can't be discarded; `apart` tells of two arrays of rows which pairs still matter."""
+    n, component, block, bi, bj = (rows[c].to_numpy() for c in ("n", "component", "block", "bi", "bj"))
+    key = np.stack([rows["shingle"].to_numpy(), bi, bj])
+    begin = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+    folds = Folds(rows["cells"].to_pylist())
+    for i, j in _pair_slabs(begin, np.diff(np.append(begin, len(n)))):
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        ok = (component[i] != component[j]) & (100 * small >= percent * large)
+        ok &= (bi[i] == bj[i]) | (block[i] != block[j])
+        if apart is not None:
+            ok &= apart(i, j)
+        i, j = i[ok], j[ok]
+        bound = folds.bounds(n, folds, n, i, j, percent)
+        hit = bound >= 0
+        if hit.any():
+            yield i[hit], j[hit], bound[hit]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """Pairs (a, b), and one row for each bucket that has more."""
+    none, other = pa.nulls(len(more), pa.int64()), pa.nulls(len(a), pa.int64())
+    columns = [pa.concat_arrays([pa.array(a), none]), pa.concat_arrays([pa.array(b), none]), pa.concat_arrays([other, pa.array(more)])]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "more"])
+
+
+_NONE = np.zeros(0, np.int64)
+
+
+def _best_pairs(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """Each row's best candidate, and the buckets that have further ones."""
+    node, n, shingle = (rows[c].to_numpy() for c in ("node", "n", "shingle"))
+    found = [(node[i], node[j], bound / (n[i] + n[j] - bound), shingle[i]) for i, j, bound in _candidates(rows, percent)]
+    if not found:
+        return _pairs(_NONE, _NONE, _NONE)
+    a, b, share, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    ab, pair = np.unique(np.stack([a, b]), axis=1, return_inverse=True)
+    own, other, both = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([share, share])
+    order = np.lexsort((other, -both, own))  # ties go to the smallest partner
+    first = order[np.concatenate([[True], own[order][1:] != own[order][:-1]])]
+    chosen = np.zeros(ab.shape[1], bool)
+    chosen[pair[first % len(a)]] = True
+    return _pairs(*ab[:, chosen], np.unique(bucket[~chosen[pair]]))
+
+
+def _forest(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """A forest that connects the rows of all candidate pairs."""
+    node, place = np.unique(rows["node"].to_numpy(), return_inverse=True)
+    groups = Groups(len(node))
+    for i, j, _ in _candidates(rows, percent, lambda i, j: groups.least[place[i]] != groups.least[place[j]]):
+        groups.link(place[i], place[j])
+    linked = np.flatnonzero(groups.least != np.arange(len(node)))
+    return _pairs(node[groups.least[linked]], node[linked], _NONE)
+
+
 def _multiply(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b) across components from rows sorted by block (shingle, bi, bj); with
-    `best` only each row's best ones, and rows (null, null, shingle) for the buckets with more."""
-    rest: pa.Table | None = None
-
-    def pairs_of(rows: pa.Table) -> pa.RecordBatch:
-        node, n, component, block, bi, bj = (rows[c].to_numpy() for c in ("node", "n", "component", "block", "bi", "bj"))
-        shingle = rows["shingle"].to_numpy()
-        key = np.stack([shingle, bi, bj])
-        begin = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
-        sizes = np.diff(np.append(begin, len(node)))
-        folds = Folds(rows["cells"].to_pylist())
-        found = []
-        for i, j in _pair_slabs(begin, sizes):
-            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (component[i] != component[j]) & (100 * small >= percent * large)
-            ok &= (bi[i] == bj[i]) | (block[i] != block[j])
-            i, j = i[ok], j[ok]
-            bound = folds.bounds(n, folds, n, i, j, percent)
-            hit = bound >= 0
-            if hit.any():
-                a, b = i[hit], j[hit]
-                found.append((node[a], node[b], bound[hit] / (n[a] + n[b] - bound[hit]), shingle[a]))
-        ab, left = np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
-        if found:
-            a, b, share, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            ab, pair = np.unique(np.stack([a, b]), axis=1, return_inverse=True)
-            if best:  # ties go to the smallest partner
-                own, other, both = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([share, share])
-                order = np.lexsort((other, -both, own))
-                first = order[np.concatenate([[True], own[order][1:] != own[order][:-1]])]
-                chosen = np.zeros(ab.shape[1], bool)
-                chosen[pair[first % len(a)]] = True
-                left = np.unique(bucket[~chosen[pair]])
-                ab = ab[:, chosen]
-        none = pa.nulls(len(left), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(ab[0]), none]),
-                pa.concat_arrays([pa.array(ab[1]), none]),
-                pa.concat_arrays([pa.nulls(ab.shape[1], pa.int64()), pa.array(left)]),
-            ],
-            names=["a", "b", "more"],
-        )
+    return _in_blocks(batches, ("shingle", "bi", "bj"), 4096, partial(_best_pairs if best else _forest, percent=percent))
+
 
+def _in_blocks(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], least: int, work) -> Iterator[pa.RecordBatch]:
+    """Apply a function to tables of whole blocks, each of about `least` rows, from sorted rows."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rest = rows if rest is None else pa.concat_tables([rest, rows])
-        if rest.num_rows < 4096:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
             continue
-        key = np.stack([rest[c].to_numpy() for c in ("shingle", "bi", "bj")])
-        change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0))
+        whole = pa.Table.from_batches(held)
+        places = np.stack([whole[c].to_numpy().astype(np.int64) for c in key])
+        change = np.flatnonzero((places[:, 1:] != places[:, :-1]).any(0))
         if len(change):  # the last block may go on in the next batch
             cut = int(change[-1]) + 1
-            yield pairs_of(rest.slice(0, cut))
-            rest = rest.slice(cut).combine_chunks()
-    if rest is not None and rest.num_rows:
-        yield pairs_of(rest)
+            yield work(whole.slice(0, cut).combine_chunks())
+            held, rows = whole.slice(cut).combine_chunks().to_batches(), whole.num_rows - cut
+    if rows:
+        yield work(pa.Table.from_batches(held).combine_chunks())
+
+
+def overlaps(sets: pa.Array) -> np.ndarray:
+    """The overlap counts of all pairs of rows: the product of their 0/1 matrix with its transpose,
+    accumulated over the columns.  Columns of few rows add one to each pair of these; the others are
+    multiplied as dense blocks."""
+    rows = len(sets)
+    row = np.repeat(np.arange(rows), np.diff(np.asarray(sets.offsets)))
+    columns, column, times = np.unique(np.asarray(sets.flatten()), return_inverse=True, return_counts=True)
+    order = np.lexsort((row, column))
+    row, begin = row[order], np.concatenate([[0], np.cumsum(times)])[:-1]
+    counts = np.zeros(rows * rows, np.int32)
+    few = times < _DENSE
+    for i, j in _pair_slabs(begin[few], times[few]):
+        np.add.at(counts, row[i] * rows + row[j], 1)
+    counts = counts.reshape(rows, rows)
+    dense = np.flatnonzero(~few)
+    step = max(1, (1 << 24) // max(rows, 1))
+    for lo in range(0, len(dense), step):
+        part = dense[lo : lo + step]
+        matrix = np.zeros((len(part), rows), np.float32)
+        for k, c in enumerate(part.tolist()):
+            matrix[k, row[begin[c] : begin[c] + times[c]]] = 1
+        counts += np.triu((matrix.T @ matrix).astype(np.int32), 1)
+    return counts
+
+
+def _links(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """A forest of the links across components inside the blocks (family, bi, bj), counted exactly."""
+    key = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("family", "bi", "bj")])
+    cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0), [True]]))
+    a, b = [], []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        part = rows.slice(lo, hi - lo)
+        node, n, component, block = (part[c].to_numpy() for c in ("node", "n", "component", "block"))
+        if (component == component[0]).all():
+            continue
+        both = overlaps(part["columns"].combine_chunks())
+        i, j = np.nonzero((both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both)))
+        other = (component[i] != component[j]) & ((key[1, lo] == key[2, lo]) | (block[i] != block[j]))
+        groups = Groups(len(node))
+        groups.link(i[other], j[other])
+        linked = np.flatnonzero(groups.least != np.arange(len(node)))
+        a.append(node[groups.least[linked]])
+        b.append(node[linked])
+    return _pairs(np.concatenate([_NONE, *a]), np.concatenate([_NONE, *b]), _NONE)
+
+
+def _multiply_exactly(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    return _in_blocks(batches, ("family", "bi", "bj"), 512, partial(_links, percent=percent))
 
 
 def _blocks(buckets: DataFrame, percent: int, block: int, work: Workspace) -> DataFrame:
@@ -389,14 +467,10 @@ class Join:
         found = placed.mapInArrow(partial(_multiply, percent=self.percent, best=best), "a bigint, b bigint, more bigint")
         return self.work.keep(found.distinct())
 
-    def link(self, candidates: DataFrame) -> None:
-        """Count the overlaps of candidate pairs exactly and merge what is linked."""
-        pairs = self.work.keep(candidates.select("a", "b"))
-        if self.labels is not None and pairs.isEmpty():
-            return
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets_of(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What is known of some nodes, and the shingle sets (doc_id, text_key, columns) of their rows."""
         known = self.distinct.select("node", "n", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
-        wanted = self.work.keep(known.join(wanted, "node"))
+        wanted = self.work.keep(known.join(nodes, "node"))
         size, table = self.size, self.docs.sparkSession.sparkContext.broadcast(keyfilter.build(wanted, "_key"))
 
         def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,7 +492,14 @@ class Join:
         # Whole texts are not moved: the shingle sets of the rows asked for are.
         keyed = self.docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
         made = keyed.mapInArrow(columns, "doc_id bigint, text_key bigint, columns array<bigint>")
-        sets = self.work.keep(made)
+        return wanted, self.work.keep(made)
+
+    def link(self, candidates: DataFrame) -> None:
+        """Count the overlaps of candidate pairs exactly and merge what is linked."""
+        pairs = self.work.keep(candidates.select("a", "b"))
+        if self.labels is not None and pairs.isEmpty():
+            return
+        wanted, sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         # A repeated row may have its set from several tasks; its pairs then come as often, as one link.
         for x in "ab":
             named = wanted.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("_key").alias(f"k{x}"), F.col("_doc").alias(f"d{x}"))
@@ -433,6 +514,32 @@ class Join:
             links = links.unionByName(self.labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         self.labels = components(links, self.work)
 
+    def settle(self, forest: DataFrame) -> None:
+        """Find all links among the rows that a forest of candidates connects, and merge what is linked."""
+        families = components(forest.select("a", "b"), self.work).withColumnRenamed("component", "family")
+        labels = self.labels.withColumnRenamed("node", "_node")
+        wanted, sets = self.sets_of(families.select("node"))
+        named = wanted.join(families, "node").join(labels, F.col("node") == F.col("_node"), "left")
+        named = named.withColumn("component", F.coalesce("component", "node")).drop("_node")
+        # Rows in order of size are cut into blocks of bounded rows and columns.
+        sums = {"rows": F.lit(1).cast("long"), "entries": F.col("n")}
+        placed = running_sums(named, self.work, ["family"], ["n", "node"], sums)
+        last = placed.withColumn("cut", F.floor(F.col("rows") / max(1, self.block // 2)) + F.floor(F.col("entries") / (_ENTRIES // 2)))
+        members = self.work.keep(last.withColumnRenamed("cut", "block").drop("rows", "entries"))
+        about = members.groupBy("family", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
+        left, right = about.toDF("family", "bi", "m0", "m1"), about.withColumnRenamed("block", "bj")
+        near = (100 * F.col("m1") >= self.percent * F.col("n0")) & (F.col("bi") <= F.col("bj"))
+        sides = F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block")
+        pairs = left.join(right, "family").filter(near).select("family", "bi", "bj", sides)
+        same = (F.col("_key") == F.col("text_key")) & F.col("_doc").eqNullSafe(F.col("doc_id"))
+        with_sets = members.join(sets, same).select("family", "block", "node", "n", "component", "columns")
+        # A repeated row may have its set from several tasks: its copies link with each other alike.
+        dealt = with_sets.join(pairs, ["family", "block"]).repartition("family", "bi", "bj").sortWithinPartitions("family", "bi", "bj")
+        found = dealt.mapInArrow(partial(_multiply_exactly, percent=self.percent), "a bigint, b bigint, more bigint")
+        links = self.work.keep(found.select("a", "b"))
+        known = self.labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        self.labels = components(links.unionByName(known), self.work)
+
     def run(self) -> DataFrame:
         """Per document row: row_id, doc_id, text_key, n and component_id."""
         buckets = self.buckets()
@@ -443,7 +550,9 @@ class Join:
         more = found.filter("more IS NOT NULL").select(F.col("more").alias("shingle")).distinct()
         rest = self.work.keep(buckets.join(more, "shingle", "left_semi"))
         if not rest.isEmpty():
-            self.link(self.candidates(rest, best=False))
+            forest = self.candidates(rest, best=False)
+            if not forest.isEmpty():
+                self.settle(forest)
         labels = self.labels.withColumnRenamed("node", "_node")
         labelled = self.nodes.join(labels, F.col("node") == F.col("_node"), "left").drop("_node")
         labelled = self.work.keep(labelled.withColumn("component", F.coalesce("component", "node")))
