@@ -8,64 +8,40 @@ the residual capacities, each relative to its whole, fit the piece best: by the
 norm of what would be left (`norm`), or by the largest weighted dot product of piece and residual
 (`dot`).  If none has room, a sequence is opened.
 
-Full pieces are sequences of their own.  The others are dealt by a hash of their place in the
+The ids are those of the tokenizer file as it is loaded: the strings of its added tokens (such as
+`<|endoftext|>`) in a text are these tokens.
+
+Full pieces are sequences of their own, and so is a piece that alone exceeds the attention capacity,
+which is one of sequences of several pieces.  The others are dealt by a hash of their place in the
 written table into blocks of about `BLOCK` pieces, and a block is packed by one task; every block
 ends with a few sequences that are not full.  A null or empty text is a document with the end mark
 only.  Rows with one doc_id, or equal ones, are documents of their own."""
 
 from __future__ import annotations
 
-import base64
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import vocab
 from .common import Workspace
 
 LENGTH = 2048
 END = 0
 BLOCK = 8192
-#: Capacities of a sequence: documents and attention cost.
+#: Capacities of a sequence: documents and attention cost.  These never bind, for the fewest sequences.
 DOCUMENTS, ATTENTION = LENGTH, LENGTH * LENGTH
 #: Weights of tokens, documents and attention cost in the choice.
 CHOICE = (1.0, 0.001, 0.01)
-_SLICE = 1 << 20
-#: A token always ends between a character that is no white space and a space.
-_CUT = re.compile(r"(?<=\S)(?= )")
-
-
-@lru_cache(maxsize=4)
-def encoder(ranks_path: str, pattern: str):
-    import tiktoken
-
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-def default_tokenizer() -> tuple[str, str]:
-    """Ranks file and word pattern of the public 50k byte-level vocabulary."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def token_ids(encoding, text: str | None) -> np.ndarray:
-    """Ids of a whole text and the end mark; a very long text is encoded slice by slice."""
-    text, parts, lo = text or "", [], 0
-    while lo < len(text):
-        hi = len(text)
-        if hi - lo > _SLICE and (cut := _CUT.search(text, lo + _SLICE)):
-            hi = cut.start()
-        parts.append(np.array(encoding.encode_ordinary(text[lo:hi]), "<u4"))
-        lo = hi
-    return np.concatenate([*parts, np.array([END], "<u4")])
+    """Ids of a whole text and the end mark."""
+    return np.append(vocab.byte_ids(encoding, text), END).astype("<u4")
 
 
 def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -83,13 +59,13 @@ _PIECES = pa.schema(
 )
 
 
-def pieces(docs: DataFrame, length: int = LENGTH, keep_ids: bool = True, tokenizer: tuple[str, str] | None = None) -> DataFrame:
+def pieces(docs: DataFrame, length: int = LENGTH, keep_ids: bool = True, tokenizer: str | None = None) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, token_ids]) of the tokenized documents."""
-    ranks, pattern = tokenizer or default_tokenizer()
+    path = tokenizer or vocab.byte_file()
     schema = _PIECES if keep_ids else pa.schema(list(_PIECES)[:-1])
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = encoder(ranks, pattern)
+        encoding = vocab.byte_level(path)
         for batch in batches:
             rows: list[tuple] = []
             held = 0
@@ -158,8 +134,8 @@ def best_fit(
 def pack(parts: DataFrame, work: Workspace, length: int = LENGTH, block: int = BLOCK, **capacities) -> DataFrame:
     """The rows of a written piece table (with any further columns) with sequence_id and offset."""
     placed = parts.withColumn("_place", F.monotonically_increasing_id())
-    full = placed.filter(F.col("length") == length)
-    rest = placed.filter(F.col("length") < length)
+    alone = (F.col("length") == length) | (F.col("length") * F.col("length") > capacities.get("attention", ATTENTION))
+    full, rest = placed.filter(alone), placed.filter(~alone)
     blocks = -(-rest.count() // block) or 1
     fields = parts.schema.fields
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id bigint, offset bigint"
@@ -177,7 +153,7 @@ def pack(parts: DataFrame, work: Workspace, length: int = LENGTH, block: int = B
     return full.unionByName(dealt.groupBy("_block").applyInArrow(pack_block, out))
 
 
-def pack_documents(docs: DataFrame, keep_ids: bool = True, tokenizer: tuple[str, str] | None = None, **capacities) -> DataFrame:
+def pack_documents(docs: DataFrame, keep_ids: bool = True, tokenizer: str | None = None, **capacities) -> DataFrame:
     """Documents (doc_id, text) as placed pieces: a sequence is the token_ids of its pieces by offset."""
     work = Workspace(docs.sparkSession)
     if keep_ids:  # the ids travel with the pieces

@@ -13,6 +13,8 @@ from .common import code_points, table
 
 #: Near duplicates in the pipeline: word shingles and percent of common ones.
 SHINGLE, PERCENT = 5, 80
+#: Capacities of a training sequence of several pieces: documents and attention cost (half of a full one's).
+DOCUMENTS, ATTENTION = 64, packing.LENGTH**2 // 2
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,4 +40,4 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their token ids and their place in the training sequences."""
-    return packing.pack_documents(docs, keep_ids=True)
+    return packing.pack_documents(docs, keep_ids=True, documents=DOCUMENTS, attention=ATTENTION)

@@ -64,9 +64,9 @@ def pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def slices(text: str, most: int = _SLICE):
+def slices(text: str, most: int | None = None):
     """A very long text in parts that tokenize independently; each later one begins with a space."""
-    lo = 0
+    lo, most = 0, most or _SLICE
     while lo < len(text):
         cut = WORD_START.search(text, lo + most) if len(text) - lo > most else None
         hi = cut.start() if cut else len(text)

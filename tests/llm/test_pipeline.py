@@ -13,14 +13,14 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator():
     names = list(queries.registered())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert "pipeline" in entry.queries() and [n for n, _ in corpus_pipeline.STAGES][0] == "quality_classifier"
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.registered()))
 def test_query_returns_every_row(spark, name):
-    table = "pages" if name.startswith("op9") else "documents"
+    table = {"op9": "pages", "op11": "embeddings"}.get(name.split("_")[0], "documents")
     rows = queries.registered()[name](spark, FOLDER)
     n = spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
     assert rows.count() >= n if name.startswith("op4") else rows.count() == n
