@@ -9,7 +9,9 @@ scan and no join.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from .. import catalogues as cat
 from ..functions import urls
 from ..functions.regex import sql_literal
 from ..session import shared_folder
+from .enrich import once
 
 
 @dataclass(frozen=True)
@@ -171,8 +174,39 @@ def _literal(number: int, source: str, p: Predicate) -> str:
     )
 
 
+#: Literals from which one automaton is faster than a substring test for each.
+_MANY = 64
+
+
+def _held_by_automaton(haystack: str, values) -> Column:
+    """The literals that occur in a text, in one pass over it however many they are."""
+    values = tuple(values)
+
+    @F.arrow_udf("array<string>")
+    def held(texts: pa.Array) -> pa.Array:
+        automaton = _automaton(values)
+        found = [sorted({i for _, i in automaton.iter(t)}) if t else [] for t in texts.to_pylist()]
+        return pa.array([[values[i] for i in own] for own in found], pa.list_(pa.string()))
+
+    return held(F.col(haystack))
+
+
+@lru_cache(maxsize=8)
+def _automaton(values: tuple[str, ...]):
+    """Finds every literal, also those inside another one; built once per worker."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for i, value in enumerate(values):
+        automaton.add_word(value, i)
+    automaton.make_automaton()
+    return automaton
+
+
 def _held(haystack: str, values) -> Column:
-    """The literals that occur in a text."""
+    """The literals that occur in a text, in their order."""
+    if len(values) >= _MANY:
+        return _held_by_automaton(haystack, values)
     kept = ", ".join(f"CASE WHEN contains({haystack}, {sql_literal(v)}) THEN {sql_literal(v)} END" for v in values)
     return F.expr(f"array_compact(array({kept}))") if values else F.expr("cast(array() AS array<string>)")
 
@@ -206,7 +240,9 @@ def match_predicates(docs: DataFrame, chosen: list[tuple[str, Predicate]], text:
         urls.extension_of(url).alias("_ext"),
         F.lower(urls.host_of(url)).alias("_host"),
         *([F.lower(text).alias("_lower")] if needles else []),
-    ).withColumn("_held", _held("_lower", needles))
+    )
+    # (The optimizer copies no expression out of a generator: the literals are looked for once.)
+    atoms = once(atoms, "_held", _held("_lower", needles))
     hits = atoms.select("seq", "url", F.explode_outer(_matching(chosen)).alias("p"))
     return hits.filter(F.col("p").isNotNull()).select(
         "seq", "url", "p.query_no", "p.source", "p.query", "p.kind", F.array_join("p.tags", ",").alias("tags")

@@ -207,3 +207,16 @@ def test_a_cap_of_any_size(spark):
     # Beyond the two steps over parts of a group, no window gathers a query's rows: only counts per range.
     for window in [line for line in ranges.splitlines() if "row_number" in line]:
         assert "_range" in window
+
+
+def test_many_literals_in_one_pass(spark):
+    words = [f"w{i}x" for i in range(400)] + ["w1", "1x w2", "über", "ss"]
+    chosen = [("own", search.Predicate(f'"{w}"', "content", (), needle=w)) for w in words]
+    texts = ["w1x and w399x", "a w1x w2x b", "W77X ÜBER", "", None, "nothing", "classes " + "w5x " * 500]
+    docs = spark.createDataFrame([(i, f"https://x/{i}", t) for i, t in enumerate(texts)], "seq bigint, url string, raw_content string")
+    got = {(r.seq, r.query) for r in search.match_predicates(docs, chosen).collect()}
+    assert got == {(i, f'"{w}"') for i, t in enumerate(texts) for w in words if t and w in t.lower()}
+    few = {(r.seq, r.query) for part in range(0, len(words), 50) for r in search.match_predicates(docs, chosen[part : part + 50]).collect()}
+    assert got == few
+    plan = search.match_predicates(docs, chosen)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
