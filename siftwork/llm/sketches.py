@@ -99,11 +99,14 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
 
 # ------------------------------------------------------------------ fingerprints along an order
 
+#: Rows of a part of the order on average, and keys of a part among those that the parts are cut by.
+PART, _SAMPLED = 1 << 13, 16
 _COMPARED = (
     "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double, contained_edited double, part int, edge int, edge_text string"
+    "near_edited double, near_next double, contained_edited double"
 )
-_FIRST, _LAST = 1, 2
+_TYPES = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (c.split() for c in _COMPARED.split(", "))])
 
 
 def _edited(text: str, following: str) -> str:
@@ -111,79 +114,86 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _compare(ids: list, texts: list[str], size: int, scale: int) -> Iterator[tuple]:
-    """Rows of all documents but the last, each compared with its edited text and the next one."""
-    edits = [_edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
+def _compare(ids: list, texts: list[str], wanted: list[bool], size: int, scale: int) -> Iterator[tuple]:
+    """Rows of the wanted documents, each compared with its edited text and the next one."""
+    at = [i for i, w in enumerate(wanted) if w]
+    edits = [_edited(texts[i], texts[i + 1]) for i in at]
     own = list(fingerprints(pa.array(texts, pa.large_string()), size, scale))
     changed = fingerprints(pa.array(edits, pa.large_string()), size, scale)
-    for i, (edit, sketch) in enumerate(zip(edits, changed, strict=True)):
+    for i, edit, sketch in zip(at, edits, changed, strict=True):
         yield (
             ids[i], len(texts[i]), hashlib.sha256(edit.encode()).hexdigest(), encode(own[i]), encode(sketch),
-            likeness(own[i], sketch), likeness(own[i], own[i + 1]), containment(own[i], sketch), None, None, None,
+            likeness(own[i], sketch), likeness(own[i], own[i + 1]), containment(own[i], sketch),
         )
 
 
-def _frame(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
-_ARROW = pa.schema(
-    [
-        (n, {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "string": pa.string()}[t])
-        for n, t in (c.split() for c in _COMPARED.split(", "))
-    ]
-)
+def _keys(ids: pa.Array, ties: pa.Array) -> np.ndarray:
+    """Keys as bytes that sort like (doc_id, null first; tie)."""
+    out = np.zeros((len(ids), 17), np.uint8)
+    out[:, 0] = np.asarray(ids.is_valid())
+    for lo, column in ((1, ids.fill_null(-(2**63))), (9, ties)):
+        out[:, lo : lo + 8] = (column.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").reshape(-1)
+
+
+def _cuts(keyed: DataFrame, part: int) -> np.ndarray:
+    """First keys of the parts of the order: the least of all, and every so manieth of a sample that
+    is drawn by hash and grows with the number of parts."""
+    parts = -(-keyed.count() // part) or 1
+    key = F.struct("doc_id", "tie")
+    least = keyed.agg(F.min(key).alias("key")).select("key.doc_id", "key.tie")
+    drawn = keyed.orderBy(F.xxhash64("doc_id", "tie"), "doc_id", "tie").limit(parts * _SAMPLED)
+    rows = least.unionByName(drawn.select("doc_id", "tie")).toArrow()
+    found = np.sort(_keys(rows["doc_id"].combine_chunks(), rows["tie"].combine_chunks()))
+    return np.unique(np.concatenate([found[:1], found[_SAMPLED::_SAMPLED]]))
 
 
-def compare_with_next(docs: DataFrame, size: int = SHINGLE, scale: int = SCALE) -> DataFrame:
+def compare_with_next(docs: DataFrame, size: int = SHINGLE, scale: int = SCALE, part: int = PART) -> DataFrame:
     """For each document (doc_id, text) its fingerprint, that of its edited text (the second half
     replaced by the beginning of the next document's text) and how alike they are.
 
     The order is ascending doc_id, null first; rows with one doc_id are ordered by a hash of their
     text, and equal rows follow each other.  After the last document comes the first.  A null text
-    counts as empty.  One range shuffle brings the texts into order, cut evenly however often an
-    identifier repeats; a task walks through its range holding two batches.  The first and the
-    last text of each range are written beside the results and compared afterwards: as many rows
-    as there are ranges."""
+    counts as empty.  The order is cut at keys that occur into parts of about `part` rows, however
+    often an identifier repeats (rows equal in doc_id and text stay together), and the first row of a
+    part also goes to the end of the part before.  So one shuffle is all that is moved or written; a
+    task walks through a part holding two batches.  The driver holds one key per part and its sample."""
     spark = docs.sparkSession
-    work = Workspace(spark)
+    Workspace(spark)  # batches of a size for texts
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    if keyed.isEmpty():
+        return spark.createDataFrame([], _COMPARED)
+    first = spark.sparkContext.broadcast(_cuts(keyed.select("doc_id", "tie"), part))
+    count = len(first.value)
+
+    @F.arrow_udf("array<struct<part:int,again:boolean>>")
+    def parts_of(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        key = _keys(ids, ties)
+        at = np.searchsorted(first.value, key, "right") - 1
+        starts = first.value[at] == key
+        before = (at - 1) % count
+        rows = [[(a, False), (b, True)] if s else [(a, False)] for a, b, s in zip(at.tolist(), before.tolist(), starts.tolist(), strict=True)]
+        return pa.array(rows, pa.list_(pa.struct([("part", pa.int32()), ("again", pa.bool_())])))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        last: tuple | None = None
-        for batch in batches:
-            for lo, texts in shingles.pieces(batch["text"], 1 << 22):
-                ids = batch["doc_id"].slice(lo, len(texts)).to_pylist()
-                whole = [t or "" for t in texts.to_pylist()]
-                rows = []
-                if last is None:
-                    rows.append((ids[0], *[None] * 7, part, _FIRST, whole[0]))
-                else:
-                    ids, whole = [last[0], *ids], [last[1], *whole]
-                rows += _compare(ids, whole, size, scale)
-                last = (ids[-1], whole[-1])
-                yield _frame(rows, _ARROW)
-        if last is not None:
-            yield _frame([(last[0], *[None] * 7, part, _LAST, last[1])], _ARROW)
-
-    def join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
         for batch in batches:
-            for i, text, following in zip(*(batch[c].to_pylist() for c in ("doc_id", "edge_text", "following")), strict=True):
-                yield _frame(list(_compare([i, None], [text, following], size, scale)), _ARROW)
-
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
-    ordered = keyed.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    walked = work.keep(ordered.mapInArrow(walk, _COMPARED))
-    edges = walked.filter(F.col("edge").isNotNull())
-    firsts = edges.filter(F.col("edge") == _FIRST).select("part", F.col("edge_text").alias("following"))
-    lasts = edges.filter(F.col("edge") == _LAST).select("part", "doc_id", "edge_text")
-    # part -> the next part that has rows: one row per range of the shuffle.
-    parts = [r[0] for r in firsts.select("part").orderBy("part").collect()]
-    after = dict(zip(parts, parts[1:] + parts[:1], strict=True))
-    steps = spark.createDataFrame(list(after.items()), "part int, after int")
-    pairs = lasts.join(steps, "part").join(firsts.withColumnRenamed("part", "after"), "after")
-    joined = pairs.select("doc_id", "edge_text", "following").mapInArrow(join_edges, _COMPARED)
-    return walked.filter(F.col("edge").isNull()).unionByName(joined).drop("part", "edge", "edge_text")
+            for lo, some in shingles.pieces(batch["text"], 1 << 22):
+                ids, again = (batch[c].slice(lo, len(some)).to_pylist() for c in ("doc_id", "again"))
+                texts = [t or "" for t in some.to_pylist()]
+                if held is not None:
+                    ids, texts, again = [held[0], *ids], [held[1], *texts], [held[2], *again]
+                held = (ids[-1], texts[-1], again[-1])
+                # Every row of a part has its next one behind it; the last is another part's first.
+                wanted = [not a for a in again[:-1]]
+                yield _frame(list(_compare(ids, texts, [*wanted, False], size, scale)))
+
+    placed = keyed.select("doc_id", "text", "tie", F.inline(parts_of("doc_id", "tie")))
+    order = ["part", "again", "doc_id", "tie"]
+    dealt = placed.repartition(count, "part").sortWithinPartitions(*order)
+    return dealt.select("doc_id", "text", "again").mapInArrow(walk, _COMPARED)
