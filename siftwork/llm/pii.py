@@ -1,18 +1,22 @@
 """Personal data replaced by surrogates of the same kind.
 
-Detected are e-mail addresses, payment cards (issuer prefix and check digit), IPv4 addresses,
-telephone numbers (with + and country code, in the North American format, or with a trunk zero and
-spaces; not a national number in pairs of digits, which looks like any list of numbers), US social security numbers, secrets behind a key word, and names behind a title.
+Detected are e-mail addresses, bank accounts (IBAN with its check digits), payment cards (issuer prefix
+and check digit), IPv4 and IPv6 addresses, telephone numbers (with + and country code, in the North
+American format, or with a trunk zero and spaces; not a national number in pairs of digits, which looks
+like any list of numbers), US social security numbers (with hyphens, or with spaces behind their name),
+secrets behind a key word or in the format of a provider, passwords behind a key word (letters and
+others), and names behind a title, wherever these stand again in the text with a capital.  Particles
+between names (van, de) and suffixes (Jr.) stay; an initial becomes another letter and is no entity.
 A surrogate is drawn from a keyed hash of the entity: the same entity has the same surrogate in
 every document, whatever its capitals or separators, and nobody without the key can find it again.
 It keeps the format: separators, capitals, number of digits and letters, script of the letters, the
 country code and issuer digit, a valid check digit, private addresses private; a given name keeps
-the gender that its title tells.
+the gender that its title tells (the first that a text tells of it).
 
 All distinct entities are compared: a surrogate that another entity has already, or that is itself
 an entity of the corpus, is drawn again.  After a few draws in vain the space grows: names get more
-syllables, other entities more letters or digits, private addresses another private range, so that a
-free surrogate is found however many entities there are.  Only entities drawn more than once are joined
+syllables, other entities more letters or digits, private addresses another private range and then
+the public one, so that a free surrogate is found however many entities there are.  Only entities drawn more than once are joined
 back to their documents; texts are rewritten where they are.  A run of symbols behind a key word (a
 blank to fill in, a ruler) is not a secret.
 
@@ -34,14 +38,18 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-KINDS = ("email", "secret", "card", "ssn", "ip", "phone", "given", "family")
+KINDS = ("email", "secret", "iban", "card", "ssn", "ip6", "ip", "phone", "given", "family", "initial")
 DEFAULT_KEY = "change this key in production"
 
 _LOCAL = re.compile(r"[\w.%+\-]{1,64}\Z")
 _DOMAIN = re.compile(r"(?:[^\W_](?:[\w\-]{0,61}[^\W_])?\.){1,8}[^\W\d_]{2,24}(?![\w\-])")
 _CARD = re.compile(r"(?<![\d.])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})(?!\d)")
 _ISSUER = re.compile(r"4|5[1-5]|2(?:2[2-9]|[3-6]|7[01])|3[47]|6(?:011|5)")
-_SSN = re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")
+_SSN = re.compile(r"(?<![\d\-])(\d{3}-\d{2}-\d{4})(?![\d\-])")
+_NAMED_SSN = re.compile(r"(?i)\b(?:SSN|social security(?: number| no\.?)?)[:#]?\s{1,3}(\d{3} \d{2} \d{4})(?!\d)")
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b")
+_COLONS = re.compile(r":[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}")
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)")
 _PHONE = re.compile(
     r"(?<![\d+])(?:(?:\+1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}|\+1[ .\-]?\d{3} \d{3} \d{4}"
@@ -62,6 +70,14 @@ _SECRET = re.compile(
     r"(?i)\b(?:api[_\-]?key|access[_\-]?key|secret|token|password|passwd|pwd)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
     r"((?=[+/_\-=]*[A-Za-z0-9])[A-Za-z0-9+/_\-=]{16,})"
 )
+#: Secrets by the prefix of their provider, which stays.
+_KEY = re.compile(
+    r"(?<![A-Za-z0-9_\-])(?:(?:AKIA|ASIA)(?=[0-9A-Z]{16}(?![0-9A-Za-z]))|gh[pousr]_(?=[A-Za-z0-9]{36})|AIza(?=[\w\-]{35})|hf_(?=[A-Za-z0-9]{30})"
+    r"|sk-(?=[A-Za-z0-9_\-]{20})|xox[abprs]-(?=[A-Za-z0-9\-]{10}))[A-Za-z0-9_\-]+"
+)
+_PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|AIza|hf_|sk-|xox[abprs]-")
+_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AIza", "hf_", "sk-", "xox")
+_PASSWORD = re.compile(r"(?i)\b(?:password|passwd|pwd)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?((?=[^\s\"']*[a-z])(?=[^\s\"']*[^a-z\s\"'.,;:!?])[^\s\"']{6,64})")
 #: Titles by the gender they tell.
 _TITLES = {
     "m": ("Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Signor", "Господин", "Κύριος"),
@@ -69,11 +85,16 @@ _TITLES = {
           "Doña", "Signora", "Госпожа", "Κυρία"),
     "n": ("Dr", "Prof", "Professor", "Доктор"),
 }
-_GENDER = {t: g for g, titles in _TITLES.items() for t in titles}
+_GENDER = {form: g for g, titles in _TITLES.items() for t in titles for form in (t, t.upper())} | {"M.": "m"}
+#: Words inside a name that are not names, and behind one.
+_PARTICLES = frozenset("af al bin da das de degli dei del della den der di do dos du el ibn la le los ten ter van vom von y zu zum zur".split())
+_SUFFIXES = frozenset("Jr JR Sr II III IV MD PhD Esq".split())
 _WORD = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
-_TITLE = re.compile(rf"\b({'|'.join(sorted(_GENDER, key=len, reverse=True))})\b\.?(?= )")
-_NAME = re.compile(f" ({_WORD})")
-_ANY = re.compile(rf"[@0-9]|\b(?:{'|'.join(_GENDER)})\b|(?i:secret|token|passw|pwd|key)")
+_GAP = r"[^\S\r\n]{1,3}"
+_TITLE = re.compile(rf"\b({'|'.join(sorted(map(re.escape, _GENDER), key=len, reverse=True))})(?:(?<=\.)|\b\.?)(?={_GAP})")
+_NAME = re.compile(rf"{_GAP}({_WORD})")
+_POSSESSIVE = re.compile(r"['’][sS]$")
+_ANY = re.compile(rf"[@0-9]|\b(?:{'|'.join(map(re.escape, _GENDER))})(?!\w)|(?i:secret|token|passw|pwd|key)|sk-|hf_|AIza|gh._|xox")
 
 #: Letters of a script, lower case, by a code point range.
 _SCRIPTS = {"latin": (0x61, 0x7B), "greek": (0x3B1, 0x3CA), "cyrillic": (0x430, 0x450), "hebrew": (0x5D0, 0x5EB), "arabic": (0x641, 0x64B)}
@@ -155,17 +176,85 @@ def _phones(text: str) -> Iterator[Span]:
         yield begin, end, "phone", _digits(_COUNTRY.sub("", text[begin:end], 1))
 
 
+def _name_words(text: str, at: int) -> Iterator[tuple[int, int, str]]:
+    """Words of a name from a place on: (begin, end, name, initial or particle).  A particle counts if
+    a name follows it; possessive endings are no part of a name."""
+    held: list[tuple[int, int, str]] = []
+    while word := _NAME.match(text, at):
+        own = _POSSESSIVE.sub("", word[1])
+        begin, at = word.start(1), word.start(1) + len(own)
+        if own in _PARTICLES:
+            held.append((begin, at, "particle"))
+            continue
+        if not own[0].isupper() or own in _GENDER or own in _SUFFIXES:
+            return
+        initial = len(own) == 1 and text[at : at + 1] == "."
+        yield from held
+        held = []
+        yield begin, at, "initial" if initial else "name"
+        at += initial
+        if own != word[1]:
+            return
+
+
 def _names(text: str) -> Iterator[Span]:
-    """Capitalised words behind a title: given names and, last, the family name."""
+    """Names behind a title: given names and, last or behind a particle, family names; and the same
+    words with a capital elsewhere in the text."""
+    known: dict[str, str] = {}
+    spans: list[tuple[int, int, str]] = []
     for title in _TITLE.finditer(text):
-        words: list[re.Match] = []
-        at = title.end()
-        while (word := _NAME.match(text, at)) and word[1][0].isupper() and word[1] not in _GENDER:
-            words.append(word)
-            at = word.end()
-        for k, word in enumerate(words):
-            kind = "family" if k == len(words) - 1 else f"given:{_GENDER[title[1]]}"
-            yield word.start(1), word.end(), kind, word[1].casefold()
+        words = list(_name_words(text, title.end()))
+        names = [k for k, w in enumerate(words) if w[2] == "name"]
+        cut = min([k for k, w in enumerate(words) if w[2] == "particle" and any(n < k for n in names)] or names[-1:] or [0])
+        for k, (begin, end, part) in enumerate(words):
+            if part == "particle":
+                continue
+            kind = part if part == "initial" else "family" if k >= cut else f"given:{_GENDER[title[1]]}"
+            entity = text[begin:end].casefold()
+            if kind != "initial" and (entity not in known or known[entity] == "given:n" != kind):
+                known[entity] = kind
+            spans.append((begin, end, kind))
+    for begin, end, kind in spans:
+        entity = text[begin:end].casefold()
+        yield begin, end, kind if kind == "initial" else known[entity], entity
+    if known:
+        again = "|".join(re.escape(e) for e in sorted(known, key=len, reverse=True))
+        for word in re.finditer(rf"(?i)(?<!\w)(?:{again})(?!\w)", text):
+            if word[0][0].isupper() and (entity := word[0].casefold()) in known:
+                yield word.start(), word.end(), known[entity], entity
+
+
+def _mod97(account: str) -> int:
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def _accounts(text: str) -> Iterator[Span]:
+    """Account numbers whose check digits are right; a group too many at the end is left out."""
+    for m in _IBAN.finditer(text):
+        found = "" if text[max(0, m.start() - 1) : m.start()].isalnum() else m[0]
+        while found:
+            own = found.replace(" ", "")
+            if 15 <= len(own) <= 34 and _mod97(own) == 1:
+                yield m.start(), m.start() + len(found), "iban", own
+                break
+            found = found.rpartition(" ")[0]
+
+
+def _addresses6(text: str) -> Iterator[Span]:
+    for m in _IP6.finditer(text):
+        if m[0].count(":") > 2 and any(c.isdecimal() for c in m[0]):
+            try:
+                yield m.start(), m.end(), "ip6", str(ipaddress.IPv6Address(m[0]))
+            except ValueError:
+                continue
+
+
+def _secrets(text: str) -> Iterator[Span]:
+    if "=" in text or ":" in text:
+        for pattern in (_SECRET, _PASSWORD):
+            yield from ((m.start(1), m.end(1), "secret", m[1]) for m in pattern.finditer(text))
+    if any(p in text for p in _PREFIXES):
+        yield from ((m.start(), m.end(), "secret", m[0]) for m in _KEY.finditer(text))
 
 
 def find(text: str | None) -> list[Span]:
@@ -179,12 +268,15 @@ def find(text: str | None) -> list[Span]:
 
     if "@" in text:
         add(_emails(text))
-    if "=" in text or ":" in text:
-        add((m.start(1), m.end(1), "secret", m[1]) for m in _SECRET.finditer(text))
+    add(_secrets(text))
+    add(_accounts(text))
+    if _COLONS.search(text):
+        add(_addresses6(text))
     cards = ((m.start(), m.end(), "card", _digits(m[0])) for m in _CARD.finditer(text))
     cards = (c for c in cards if _ISSUER.match(c[3]) and _luhn(c[3]) == 0)
     add(c for c in cards if text[max(0, c[0] - 1) : c[0]] != "+" or not _international(text, c[0]))
-    add((m.start(), m.end(), "ssn", _digits(m[0])) for m in _SSN.finditer(text))
+    for pattern in (_SSN, _NAMED_SSN) if "SSN" in text or "ssn" in text or "ocial" in text else (_SSN,):
+        add((m.start(1), m.end(1), "ssn", _digits(m[1])) for m in pattern.finditer(text))
     add((m.start(), m.end(), "ip", m[0]) for m in _IP.finditer(text) if all(int(x) < 256 for x in m[0].split(".")))
     add(_phones(text))
     add(_names(text))
@@ -297,14 +389,25 @@ def surrogate(kind: str, entity: str, attempt: int, key: str) -> str:
         head = octets[:keep] or [str(draws.pick(_PUBLIC))]
         if attempt > 3 and keep:  # another private range, the largest, and at last a public one
             head = ["10"] if attempt <= 12 else [str(draws.pick(_PUBLIC))]
-        return ".".join([*head, *(str(1 + draws.below(254)) for _ in range(len(octets) - len(head) + more))])
+        return ".".join([*head, *(str(1 + draws.below(254)) for _ in range(4 - len(head)))])
+    if kind == "ip6":  # the first group tells the range; groups of zeros stay
+        groups = ipaddress.IPv6Address(entity).exploded.split(":")
+        new = [g if i == 0 or g == "0000" and attempt < 8 else f"{1 + draws.below(65535):04x}" for i, g in enumerate(groups)]
+        return str(ipaddress.IPv6Address(":".join(new)))
+    if kind == "iban":
+        body = _alike(entity[4:], draws, more).upper()
+        return f"{entity[:2]}{98 - _mod97(entity[:2] + '00' + body):02d}{body}"
+    if kind == "initial":
+        return _letter(entity[0], draws)
     if kind in ("phone", "ssn"):
         return _number(entity, draws, keep=int(kind == "phone" and entity[0] == "0"), more=more)
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity):
             hexes = "0123456789ABCDEF" if entity.isupper() else "0123456789abcdef"
             return "".join(draws.pick(hexes) for _ in range(len(entity) + more))
-        return _alike(entity, draws, more)
+        prefix = _PREFIX.match(entity)
+        kept = prefix.end() if prefix else 0
+        return entity[:kept] + _alike(entity[kept:], draws, more)
     return _name(entity, kind, draws, more)
 
 
@@ -314,20 +417,23 @@ def _like_mention(kind: str, mention: str, new: str) -> str:
         digits, country = iter(new), _COUNTRY.match(mention)
         kept = country.end() if country else 0
         return mention[:kept] + "".join(next(digits) if c.isdecimal() else c for c in mention[kept:]) + "".join(digits)
+    if kind == "iban":
+        letters = iter(new)
+        return "".join(c if c == " " else next(letters) for c in mention) + "".join(letters)
     if kind == "email" and len(new) == len(mention):
         return "".join(n.upper() if m.isupper() else n for m, n in zip(mention, new, strict=True))
-    if kind == "family" or kind.startswith("given"):
+    if kind in ("family", "initial") or kind.startswith("given"):
         return new.upper() if len(mention) > 1 and mention.isupper() else new[:1].upper() + new[1:]
     return new
 
 
 def replace(text: str | None, key: str, attempts: dict[tuple[str, str], int] | None = None) -> str | None:
-    """The text with surrogates; `attempts` has the draws of entities that were drawn again."""
+    """The text with surrogates; `attempts` has the draws of (kind, entity) that were drawn again."""
     if text is None or not (spans := find(text)):
         return text
     out, at = [], 0
     for begin, end, kind, entity in spans:
-        attempt = (attempts or {}).get((kind.partition(":")[0], entity), 0)
+        attempt = (attempts or {}).get((kind, entity), 0)
         out += [text[at:begin], _like_mention(kind, text[begin:end], surrogate(kind, entity, attempt, key))]
         at = end
     return "".join([*out, text[at:]])
@@ -339,38 +445,39 @@ def replace(text: str | None, key: str, attempts: dict[tuple[str, str], int] | N
 def _entities() -> Column:
     @F.arrow_udf("array<struct<kind:string,entity:string>>")
     def found(texts: pa.Array) -> pa.Array:
-        rows = [sorted({(s[2], s[3]) for s in find(t.as_py())}) for t in texts]
+        rows = [sorted({(s[2], s[3]) for s in find(t.as_py()) if s[2] != "initial"}) for t in texts]
         return pa.array([[{"kind": k, "entity": e} for k, e in r] for r in rows], pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string())])))
 
     return found(F.col("text"))
 
 
 def resolve(entities: DataFrame, work: Workspace, key: str) -> DataFrame | None:
-    """(kind, entity, attempt) of the entities whose first surrogate won't do; None if none.
+    """(class, kind, entity, attempt) of the entities whose first surrogate won't do; None if none.
 
     Round by round: of the entities that draw one surrogate the first in order keeps it, unless it
     is an entity itself or settled before; the others draw again.  `entities` has one row per
-    (class, entity) with the kind to draw for."""
+    (class, kind, entity): a given name under two kinds has two surrogates."""
+    key_columns = ["class", "kind", "entity"]
 
     @F.arrow_udf("string")
     def draw(kind: pa.Array, entity: pa.Array, attempt: pa.Array) -> pa.Array:
         rows = zip(kind.to_pylist(), entity.to_pylist(), attempt.to_pylist(), strict=True)
         return pa.array([surrogate(k, e, a, key) for k, e, a in rows], pa.string())
 
-    originals = entities.select("class", F.col("entity").alias("new"))
+    originals = entities.select("class", F.col("entity").alias("new")).distinct()
     pending, settled, redrawn = entities.withColumn("attempt", F.lit(0)), None, None
     while True:
         drawn = work.keep(pending.withColumn("new", draw("kind", "entity", "attempt")))
         free = drawn.join(originals, ["class", "new"], "left_anti")
         if settled is not None:
             free = free.join(settled, ["class", "new"], "left_anti")
-        first = free.groupBy("class", "new").agg(F.min("entity").alias("entity"))
-        won = work.keep(drawn.join(first, ["class", "new", "entity"], "left_semi"))
+        first = free.groupBy("class", "new").agg(F.min(F.struct("entity", "kind")).alias("e")).select("class", "new", "e.*")
+        won = work.keep(drawn.join(first, [*key_columns, "new"], "left_semi"))
         settled = won.select("class", "new") if settled is None else work.keep(settled.unionByName(won.select("class", "new")))
-        again = won.filter("attempt > 0").select("class", "entity", "attempt")
+        again = won.filter("attempt > 0").select(*key_columns, "attempt")
         redrawn = again if redrawn is None else redrawn.unionByName(again)
-        lost = drawn.join(won.select("class", "entity"), ["class", "entity"], "left_anti")
-        pending = work.keep(lost.select("class", "kind", "entity", (F.col("attempt") + 1).alias("attempt")))
+        lost = drawn.join(won.select(*key_columns), key_columns, "left_anti")
+        pending = work.keep(lost.select(*key_columns, (F.col("attempt") + 1).alias("attempt")))
         if pending.isEmpty():
             break
     redrawn = work.keep(redrawn)
@@ -383,7 +490,7 @@ def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     own = [F.xxhash64("text").alias("_hash"), F.col("doc_id").alias("_doc")]
     mentions = docs.select(*own, F.explode(_entities()).alias("_e")).select("_hash", "_doc", "_e.*")
     mentions = work.keep(mentions.withColumn("class", F.split_part("kind", F.lit(":"), F.lit(1))))
-    entities = mentions.groupBy("class", "entity").agg(F.min("kind").alias("kind"))
+    entities = mentions.select("class", "kind", "entity").distinct()
     redrawn = resolve(work.keep(entities), work, key)
 
     @F.arrow_udf("string")
@@ -395,13 +502,13 @@ def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
 
     @F.arrow_udf("string")
     def rewritten_with(texts: pa.Array, again: pa.Array) -> pa.Array:
-        known = ({(a["class"], a["entity"]): a["attempt"] for a in x.as_py() or ()} for x in again)
+        known = ({(a["kind"], a["entity"]): a["attempt"] for a in x.as_py() or ()} for x in again)
         return pa.array([replace(t.as_py(), key, k) for t, k in zip(texts, known, strict=True)], pa.string())
 
     again = (
-        mentions.join(redrawn, ["class", "entity"])
+        mentions.join(redrawn, [c for c in ("class", "kind", "entity") if c in redrawn.columns])
         .groupBy("_hash", "_doc")
-        .agg(F.collect_set(F.struct("class", "entity", "attempt")).alias("_again"))
+        .agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("_again"))
     )
     again = work.keep(again)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("_own"))
