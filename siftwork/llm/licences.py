@@ -4,17 +4,21 @@ in DataFrame operations only.
 A file's statements are its lines, its blocks of neighbouring lines (a paragraph, or a run of comment
 lines; a statement may be wrapped) and the sentences of blocks of several lines, as far as they hold a
 word for licences or two of the words that the templates are made of; of a licence file (by its name)
-the whole text is one more.  Comment marks are no words.  Statements and templates become sparse vectors of words, weighted by 1 + ln(tf) and by the
-rarity of the word among all statements of the corpus; joining them on the word multiplies the two
-matrices.  Only words that a template has can add to a product, so all others go into the length of
-the statement alone.  A statement has the licence of its nearest template if the cosine reaches
-`LEAST`.
+the whole text is one more.  Comment marks are no words.  Statements and templates become sparse vectors of
+words, weighted by 1 + ln(tf) and by the rarity of the word among all statements of the corpus; joining
+them on the word multiplies the two matrices.  Equal statements are one vector.  Only words that a template
+has can add to a product, so all others go into the length of the statement alone; the templates' words,
+which every statement has, take their rarity from a broadcast table of their number.  A version ("version
+2", "v. 2.0") is one word, and decides: a statement with versions is compared with the templates that
+have one of them, or none.  A statement has the licence of its nearest template if the cosine reaches
+`LEAST`.  The sentence that the BSD licences have in common is resolved by the clauses of the file.
 
 A file without a licence of its own takes that of the nearest directory above it (its own directory
 first) that a licence file speaks for; the best statement holds, ties go to the licence that sorts
 first.  Directories are resolved once each, and then joined to their files.
 
-Null and empty texts and paths have no statement and nothing to inherit from; rows may repeat."""
+Null and empty texts and paths have no statement and nothing to inherit from.  Rows with null or
+repeated `file` are files of their own: licences go by (file, path, text), nulls included."""
 
 from __future__ import annotations
 
@@ -29,20 +33,43 @@ LEAST = 0.6
 _FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([^/]*)$"
 
 #: Licences and the statements that name them.
+_GNU = (
+    ("GPL-2.0", "program", "GNU General Public License", "2"),
+    ("GPL-3.0", "program", "GNU General Public License", "3"),
+    ("LGPL-2.1", "library", "GNU Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "library", "GNU Lesser General Public License", "3"),
+    ("AGPL-3.0", "program", "GNU Affero General Public License", "3"),
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+)
+_BSD_NAME = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_NO_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    *((licence, f"This work is licensed under the {name}, version {version}.") for licence, _, name, version in _GNU),
+    *(
+        (licence, f"This {thing} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or any later version.")
+        for licence, thing, name, version in _GNU
+    ),
+    *((licence, f"{name} Version {version}") for licence, _, name, version in _GNU),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("BSD-3-Clause", " ".join((*_BSD, _BSD_NAME, _NO_WARRANTY))),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-2-Clause", " ".join((*_BSD, _NO_WARRANTY))),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "Released under the ISC License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -50,11 +77,18 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright to this work. It is in the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Identifiers of an SPDX line by licence; an ending "-only", "-or-later" or "+" is not told apart.
+_SPDX = sorted({licence for licence, _ in TEMPLATES})
+#: What tells the BSD licences apart in a file with the sentence they share.
+_THIRD_CLAUSE, _SECOND_CLAUSE = r"(?i)neither\s+the\s+name|3[- ]clause", r"(?i)redistributions\s+in\s+binary\s+form\s+must\s+reproduce|2[- ]clause"
 
 #: Words of the templates that any text may have.
 _COMMON = frozenset(
-    "a all an and any are as at be by can either except file following for form forms free from hereby in is it later may met must not of or "
-    "person program provided released search source subject terms that the this to under use version with without work you your".split()
+    "a above accompanying all an and any appear are as at available be by can contributors copies derived disclaimed distribute "
+    "distribution either except express fee file following for form forms free from hereby holder holders http implied in is it "
+    "its january later library licenses list made materials may met must name names neither nor not notice of or org other person "
+    "prior products program promote provided purpose released reproduction search source specific subject terms that the this to "
+    "under use used version warranties with without work written www you your".split()
 )
 _TELLING = sorted({w for _, t in TEMPLATES for w in re.findall(r"[^\W\d_]{2,}", t.lower())} - _COMMON)
 _ONE = rf"\b(?:{'|'.join(_TELLING)})\b"
@@ -64,8 +98,18 @@ _CUE = rf"(?i){_SURE}|{_ONE}"
 _MARK = r"[ \t]*(?://|/\*|\*|#|;|%|--|<!--|\.\.[ \t]|\"{3}|'{3})"
 
 
+_VERSION = r"\b(?:version|v)[^\p{L}\p{N}]{0,12}(\d+)(?:\.0)*((?:\.\d+)?)(?!\w)"
+
+
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-cased words; "version 2", "v. 2.0" and "V2" are the word `v2`, "version 2.1" is `v2_1`."""
+    one = F.regexp_replace(F.lower(text), _VERSION, "\u0001$1$2 ")
+    named = F.regexp_replace(F.regexp_replace(one, "\u0001(\\d+)\\.(\\d+)", " v$1_$2 "), "\u0001(\\d+)", " v$1 ")
+    return F.regexp_extract_all(named, F.lit(r"v\d+_\d+|[\p{L}\p{N}]+"), F.lit(0))
+
+
+def _versions(words: Column) -> Column:
+    return F.filter(words, lambda w: w.rlike(r"^v\d"))
 
 
 def is_licence_file(path: str = "path") -> Column:
@@ -87,54 +131,84 @@ def _blocks(text: Column) -> Column:
     return F.split(into, r"\n{2,}", -1)
 
 
+def _key() -> Column:
+    """What files of one key have in common is everything: file, path and text."""
+    return F.md5(F.concat(F.to_json(F.struct("file", "path")), F.lit("\n"), text_of()))
+
+
 def statements(files: DataFrame) -> DataFrame:
-    """(file, words) of each statement; `files` has (file, path, text)."""
+    """(key, words, clause) of each statement; `files` has (file, path, text)."""
     whole = text_of()
     cued = files.filter(is_licence_file() | whole.rlike(_CUE))
-    cued = cued.select("file", whole.alias("text"), is_licence_file().alias("named"), F.filter(_blocks(whole), _cued).alias("blocks"))
+    clause = F.when(whole.rlike(_THIRD_CLAUSE), "BSD-3-Clause").when(whole.rlike(_SECOND_CLAUSE), "BSD-2-Clause")
+    cued = cued.select(
+        _key().alias("key"), whole.alias("text"), is_licence_file().alias("named"), F.filter(_blocks(whole), _cued).alias("blocks"),
+        clause.alias("clause"),
+    )
     wrapped = F.filter("blocks", lambda b: b.contains("\n"))
     sentences = F.flatten(F.transform(wrapped, lambda b: F.split(b, r"(?<=[.;])\s+", -1)))
     lines = F.flatten(F.transform("blocks", lambda b: F.split(b, r"\n", -1)))
     pieces = F.filter(F.array_distinct(F.concat(lines, sentences)), _cued)
     every = F.concat(pieces, "blocks", F.when(F.col("named"), F.array("text")).otherwise(F.array().cast("array<string>")))
-    made = cued.select("file", F.explode(F.array_distinct(F.transform(every, _words))).alias("words"))
+    made = cued.select("key", "clause", F.explode(F.array_distinct(F.transform(every, _words))).alias("words"))
     return made.filter(F.size("words") > 0)
 
 
 def template_vectors(spark: SparkSession) -> DataFrame:
-    """(template, licence, word, tf): a fixed number of rows."""
+    """(template, licence, versions, word, tf): a fixed number of rows."""
     rows = [(i, licence, text) for i, (licence, text) in enumerate(TEMPLATES)]
-    made = spark.createDataFrame(rows, "template int, licence string, text string")
-    return made.select("template", "licence", F.explode(_words(F.col("text"))).alias("word")).groupBy("template", "licence", "word").agg(
-        F.count("*").alias("tf")
-    )
+    made = spark.createDataFrame(rows, "template int, licence string, text string").withColumn("words", _words(F.col("text")))
+    made = made.select("template", "licence", _versions(F.col("words")).alias("t_versions"), F.explode("words").alias("word"))
+    return made.groupBy("template", "licence", "t_versions", "word").agg(F.count("*").alias("tf"))
+
+
+def spdx(files: DataFrame) -> DataFrame:
+    """(key, licence, score) of the files with an SPDX line that names a licence of the templates."""
+    named = F.regexp_extract(text_of(), r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.\-]+)", 1)
+    plain = F.regexp_replace(named, r"-only$|-or-later$|\.$", "")
+    found = files.filter(text_of().contains("SPDX-License-Identifier:")).select(_key().alias("key"), plain.alias("licence"))
+    return found.filter(F.col("licence").isin(*_SPDX)).distinct().withColumn("score", F.lit(1.0))
 
 
 def detect(files: DataFrame, work: Workspace, least: float = LEAST) -> DataFrame:
-    """(file, licence, score) of the files with a licence statement of their own."""
+    """(key, licence, score) of the files with a licence statement of their own."""
     spark = files.sparkSession
-    made = work.keep(statements(files).withColumn("statement", F.monotonically_increasing_id()))
-    counts = made.select("file", "statement", F.explode("words").alias("word")).groupBy("file", "statement", "word")
+    named = statements(files).withColumn("statement", F.md5(F.array_join("words", " ")))
+    named = work.keep(named.select("key", "clause", "statement", "words"))
+    # One vector for each distinct statement; how often it occurs counts for the rarity of its words.
+    distinct = named.groupBy("statement").agg(F.count("*").alias("copies"), F.first("words").alias("words"))
+    distinct = distinct.withColumn("versions", F.array_distinct(_versions(F.col("words"))))
+    counts = distinct.select("statement", "copies", F.explode("words").alias("word")).groupBy("statement", "copies", "word")
     vectors = work.keep(counts.agg(F.count("*").alias("tf")))
-    total = made.count()
-    rarity = vectors.groupBy("word").agg((1 + F.ln((F.lit(total) + 1) / (F.count("*") + 1))).alias("idf"))
+    versions = work.keep(distinct.select("statement", "versions").filter(F.size("versions") > 0))
+    total = named.count()
+    rarity = vectors.groupBy("word").agg((1 + F.ln((F.lit(total) + 1) / (F.sum("copies") + 1))).alias("idf"))
     rarity = work.keep(rarity)
     weight = (1 + F.ln(F.col("tf"))) * F.coalesce("idf", F.lit(1.0) + F.ln(F.lit(total + 1.0)))
-    own = work.keep(vectors.join(rarity, "word").withColumn("weight", weight).drop("tf", "idf"))
-    length = own.groupBy("statement").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length"))
-    templates = template_vectors(spark).join(rarity, "word", "left").select("template", "licence", "word", weight.alias("t_weight"))
+    templates = template_vectors(spark).join(rarity, "word", "left").select("template", "licence", "t_versions", "word", weight.alias("t_weight"))
     templates = work.keep(templates)
+    # The templates are a fixed list of some hundred words, the most frequent ones of statements among them.
+    frequent = F.broadcast(templates.select("word").distinct().join(rarity, "word"))
+    rare = rarity.join(F.broadcast(templates.select("word").distinct()), "word", "left_anti")
+    here = vectors.join(frequent, "word").select("statement", "word", weight.alias("weight"))
+    other = vectors.join(rare, "word").select("statement", F.lit(None).cast("string").alias("word"), weight.alias("weight"))
+    length = here.unionByName(other).groupBy("statement").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length"))
     t_length = templates.groupBy("template").agg(F.sqrt(F.sum(F.col("t_weight") ** 2)).alias("t_length"))
-    # The templates are a fixed list of some 300 words.
     product = (
-        own.join(F.broadcast(templates), "word")
-        .groupBy("file", "statement", "template", "licence")
+        here.join(F.broadcast(templates), "word")
+        .groupBy("statement", "template", "licence", "t_versions")
         .agg(F.sum(F.col("weight") * F.col("t_weight")).alias("dot"))
     )
     cosine = F.round(F.col("dot") / (F.col("length") * F.col("t_length")), 9)
     scored = product.join(length, "statement").join(F.broadcast(t_length), "template").withColumn("score", cosine)
+    scored = scored.filter(F.col("score") >= least).join(versions, "statement", "left")
+    agrees = F.col("versions").isNull() | (F.size("t_versions") == 0) | F.arrays_overlap("versions", "t_versions")
     best = F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), "licence"))
-    return work.keep(scored.filter(F.col("score") >= least).groupBy("file").agg(best.alias("b")).select("file", "b.*"))
+    nearest_template = work.keep(scored.filter(agrees).groupBy("statement").agg(best.alias("b")).select("statement", "b.*"))
+    of_files = named.select("key", "clause", "statement").join(nearest_template, "statement")
+    told = F.when(F.col("licence").startswith("BSD-") & F.col("clause").isNotNull(), F.col("clause")).otherwise(F.col("licence"))
+    of_files = of_files.select("key", told.alias("licence"), "score").unionByName(spdx(files))
+    return work.keep(of_files.groupBy("key").agg(best.alias("b")).select("key", "b.*"))
 
 
 def directory(path: str = "path") -> Column:
@@ -154,10 +228,11 @@ def nearest(directories: DataFrame, spoken: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     """For each row of (file, path, text): licence, score, origin (own, inherited, none) and the
-    directory it is inherited from.  `file` identifies a row."""
+    directory it is inherited from."""
     work = Workspace(files.sparkSession)
     own = detect(files, work, least)
-    paths = work.keep(files.select("file", "path", directory().alias("directory")).join(own, "file", "left"))
+    keyed = files.select("file", "path", directory().alias("directory"), _key().alias("key"))
+    paths = work.keep(keyed.join(own, "key", "left").drop("key"))
     speaking = paths.filter(is_licence_file() & F.col("licence").isNotNull())
     spoken = speaking.groupBy(F.col("directory").alias("ancestor")).agg(
         F.min_by("licence", F.struct(-F.col("score"), "licence")).alias("licence")
