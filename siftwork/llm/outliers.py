@@ -3,16 +3,16 @@
 Each document has statistics of its text, transformed into a vector.  For each language and source
 the minimum covariance determinant gives centre and scatter of the `CORE` share of documents that
 lie closest together: from two deterministic starts (quartiles; spatial signs) concentration steps
-take the documents nearest to the last estimate and estimate again, until the determinants stay; the
-start with the smaller determinant holds.  The scatter is scaled to the median distance, and one
+take the documents nearest to the last estimate and estimate again, each group until its determinant no
+longer falls; the start with the smaller determinant holds.  The scatter is scaled to the median distance, and one
 reweighting step estimates again from all documents within the 97.5 % ellipsoid.  A document beyond
 `CUT` in squared Mahalanobis distance is rejected.
 
 `FLOORS` are standard deviations added to the scatter: a statistic that is the same in nearly all
 documents, such as no symbols at all, has no spread of its own that deviations could be measured by.
 
-Languages and sources with fewer than `LEAST` documents are pooled by language, and then all
-together; if that is still fewer than `FEWEST`, nothing is rejected there.  Null is a language and a
+Languages and sources with fewer than `LEAST` documents are pooled by language; those of languages with
+fewer are judged by the estimate over all documents of the table.  Null is a language and a
 source like others.  Documents that fail the base rules take no part.  Null, empty and blank texts
 have 0 everywhere and fail the base rules.  Equal rows count as often as they occur."""
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import WORD, Workspace, text_of
 
 FLOORS = {"length": 0.5, "word_length": 0.1, "symbols": 0.3, "same_lines": 0.1, "same_words": 0.15}
-CORE, STEPS, SETTLED = 0.75, 6, 1e-3
-LEAST, FEWEST = 100, 20
+CORE, SETTLED = 0.75, 1e-3
+LEAST = 100
 #: Chi-square quantiles for five statistics: 50 %, 97.5 % and about 1 - 1e-6.
 _MEDIAN, _INNER, CUT = 4.3515, 12.833, 36.0
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -116,8 +116,12 @@ def vector() -> list[Column]:
 # --------------------------------------------------------------------- estimates by group
 
 
+#: The group of all documents.
+_ALL = 2
+
+
 def _groups(rows: DataFrame, work: Workspace) -> DataFrame:
-    """(lang, source, group): the pool each language and source is estimated in."""
+    """(lang, source, group, level): the pool each language and source is judged in; level 2 is all."""
     counts = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
     small = F.col("n") < LEAST
     of_language = counts.filter(small).groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("_n_lang"))
@@ -127,9 +131,9 @@ def _groups(rows: DataFrame, work: Workspace) -> DataFrame:
     group = (
         F.when(level == 0, F.xxhash64(F.lit(0), missing("lang"), missing("source")))
         .when(level == 1, F.xxhash64(F.lit(1), missing("lang")))
-        .otherwise(F.xxhash64(F.lit(2)))
+        .otherwise(F.xxhash64(F.lit(_ALL)))
     )
-    return work.keep(joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), group.alias("group")))
+    return work.keep(joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), group.alias("group"), level.alias("_level")))
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,9 +177,10 @@ def distance(scale: Column | float = 1.0) -> Column:
     return total / scale
 
 
-def _core(measured: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows nearest to their estimate: the CORE share of each group."""
-    cuts = measured.groupBy(*keys).agg(F.percentile_approx("d", CORE, 10_000).alias("cut"))
+def _core(measured: DataFrame, keys: list[str], work: Workspace) -> DataFrame:
+    """The rows nearest to their estimate: the CORE share of each group.  The cuts are written, a row
+    per group: the join then knows how few they are, and moves no rows for them."""
+    cuts = work.keep(measured.groupBy(*keys).agg(F.percentile_approx("d", CORE, 10_000).alias("cut")))
     return measured.join(cuts, keys).filter(F.col("d") <= F.col("cut"))
 
 
@@ -203,15 +208,16 @@ def estimates(rows: DataFrame, work: Workspace) -> DataFrame:
             "group", F.lit(1).alias("start"), *(F.col(f"_{x}").alias(x) for x in _X), distance().alias("d")
         )
     )
-    estimate = work.keep(_moments(_core(first, keys), keys))
-    for _ in range(STEPS):
-        measured = rows.join(estimate.drop("n"), "group").select(*keys, *_X, distance().alias("d"))
-        after = work.keep(_moments(_core(measured, keys), keys))
-        change = after.select(*keys, F.col("log_det").alias("_new")).join(estimate, keys)
-        moved = change.agg(F.max(F.abs(F.col("log_det") - F.col("_new")))).first()[0]
-        estimate = after
-        if moved is None or moved < SETTLED:
-            break
+    moving, settled = work.keep(_moments(_core(first, keys, work), keys)), None
+    while not moving.isEmpty():  # a determinant can't fall for ever: floors bound it
+        measured = rows.join(moving.drop("n"), "group").select(*keys, *_X, distance().alias("d"))
+        after = _moments(_core(measured, keys, work), keys)
+        before = moving.select(*keys, F.col("log_det").alias("_before"))
+        after = work.keep(after.join(before, keys).withColumn("_falls", F.col("_before") - F.col("log_det") > SETTLED).drop("_before"))
+        still = after.filter(~F.col("_falls")).drop("_falls")
+        settled = still if settled is None else settled.unionByName(still)
+        moving = after.filter("_falls").drop("_falls")
+    estimate = moving if settled is None else settled
     best = estimate.groupBy("group").agg(F.min_by(F.struct(*_M, *_W), F.struct("log_det", "start")).alias("e"))
     best = work.keep(best.select("group", "e.*"))
     near = rows.join(best, "group").withColumn("d", distance())
@@ -229,11 +235,16 @@ def verdicts(docs: DataFrame) -> DataFrame:
     measured = work.keep(measured.select("*", *(c.alias(x) for c, x in zip(vector(), _X, strict=True))))
     passed = measured.filter(~F.col("base_failed"))
     groups = _groups(passed, work)
+    left_over = not groups.filter(F.col("_level") == _ALL).isEmpty()
     own = measured["lang"].eqNullSafe(groups["_lang"]) & measured["source"].eqNullSafe(groups["_source"])
     grouped = work.keep(measured.join(groups, own, "left").drop("_lang", "_source"))
-    estimate = estimates(grouped.filter(~F.col("base_failed")).select("group", *_X), work)
-    judged = grouped.join(estimate.select("group", "n", *_M, *_W), "group", "left")
-    away = F.when(~F.col("base_failed") & (F.col("n") >= FEWEST), distance())
+    rows = grouped.filter(~F.col("base_failed")).select("group", "_level", *_X)
+    pools = rows.filter(F.col("_level") != _ALL).drop("_level")
+    if left_over:
+        pools = pools.unionByName(rows.drop("_level").withColumn("group", F.xxhash64(F.lit(_ALL))))
+    estimate = estimates(pools, work)
+    judged = grouped.join(estimate.select("group", *_M, *_W), "group", "left")
+    away = F.when(~F.col("base_failed"), distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("_d") <= CUT, F.lit(True))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return judged.select(*names, away.alias("_d")).select(*names, kept.alias("kept"), F.col("_d").alias("distance"))
