@@ -4,8 +4,8 @@ A word seen in training counts with its log frequency in each language.  An unse
 to its character n-grams, with marks at both ends: the longest length of which any n-gram is known
 counts, with the mean log frequency of the known ones.  A text's score is the mean over its words.
 
-The model is of bounded size: `WORDS` and, for each length, `GRAMS` entries per language, from a
-bounded sample of `TRAIN_DOCS` labelled documents per language.
+The model holds every word and n-gram of a bounded sample of `TRAIN_DOCS` labelled documents per language
+(of rows with one identifier, one), with its count in each language.
 
 Null texts and texts without a letter are `und` with score 0; so is every text if there was nothing
 to learn from.  Equal scores go to the language that sorts first."""
@@ -18,14 +18,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HELD_OUT_FOLD, Workspace, fold, held_out
 
 #: Labelled documents to learn from, about this many per language.
 TRAIN_DOCS = 1_500
-WORDS, GRAMS, LENGTHS = 20_000, 6_000, (4, 3, 2, 1)
+LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
 _ALPHA = 0.5
 #: Words after which further ones no longer raise the confidence.
@@ -47,23 +47,20 @@ class Model:
 # ------------------------------------------------------------------------------------ learning
 
 
-def _top(counted: DataFrame, keys: list[str], most: int) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(F.desc("n"), "item")
-    return counted.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
-
-
 def fit(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     """The model of (doc_id, text, lang) rows outside the held-out fold with a language."""
     work = Workspace(docs.sparkSession)
     usable = (fold(F.col("doc_id")) != HELD_OUT_FOLD) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     learned = docs.filter(usable)
-    sizes = work.keep(learned.groupBy("lang").agg(F.count("*").alias("_n")))
+    sizes = work.keep(learned.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_n")))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.lit(float(per_language << 20)) / F.col("_n")
     sample = learned.select("doc_id", "lang", "text").join(sizes, "lang").filter(drawn)
+    one = F.min_by(F.struct("lang", "text"), F.struct(F.xxhash64("text"), "lang"))
+    sample = sample.groupBy("doc_id").agg(one.alias("_one")).select("_one.*")
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     counted = work.keep(sample.select("lang", word.alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n")))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    words = _top(counted, ["lang"], WORDS).withColumn("length", F.lit(0)).unionByName(
+    words = counted.withColumn("length", F.lit(0)).unionByName(
         totals.select("lang", F.lit(None).cast("string").alias("item"), F.col("total").alias("n"), F.lit(0).alias("length"))
     )
     # Letter by letter, so that a run of any length takes time in proportion; the generator keeps the
@@ -80,7 +77,7 @@ def fit(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     )
     grams = work.keep(grams)
     gram_totals = grams.groupBy("lang", "length").agg(F.sum("n").alias("n")).withColumn("item", F.lit(None).cast("string"))
-    rows = words.unionByName(_top(grams, ["lang", "length"], GRAMS)).unionByName(gram_totals).toArrow()
+    rows = words.unionByName(grams).unionByName(gram_totals).toArrow()
     return build(rows)
 
 
