@@ -103,6 +103,34 @@ SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(32), la
 FROM q"""
 
 
+def _clusters_sql(clusters: int = pivots.CLUSTERS, rounds: int = pivots.ROUNDS) -> str:
+    """The plain algorithm, one pair of steps for each round."""
+    assigned = (
+        "a{k} AS MATERIALIZED (SELECT vec_id, x, key % {n} AS c, key // {n} AS d FROM (SELECT v.vec_id, any_value(v.x) AS x,"
+        " min(CAST(list_sum(list_transform(list_zip(v.x, c{k}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * {n} + c) AS key"
+        " FROM v, c{k} GROUP BY v.vec_id))"
+    )
+    moved = (
+        "c{j} AS MATERIALIZED (SELECT c{k}.c, coalesce(m.x, c{k}.x) AS x FROM c{k} LEFT JOIN (SELECT c, list(q ORDER BY i) AS x FROM ("
+        "SELECT c, i, (sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*) AS q FROM"
+        " (SELECT c, unnest(x) AS e, unnest(range(len(x))) AS i FROM a{k}) GROUP BY c, i) GROUP BY c) m USING (c))"
+    )
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor({pivots.SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS x"
+        f" FROM embeddings WHERE len(embedding) = {pivots.WIDTH} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{pivots.SEED}:' || vec_id)) - 1 AS c, x FROM v QUALIFY c < {clusters})",
+    ]
+    for k in range(rounds):
+        steps += [assigned.format(k=k, n=clusters), moved.format(k=k, j=k + 1)]
+    steps.append(assigned.format(k=rounds, n=clusters))
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} f USING (c)"""
+    )
+
+
 def oracles() -> dict[str, str]:
     """The other queries train, draw, pack or hash in ways that SQL can't express."""
-    return {"op9_warc_chunks": _ARCHIVES}
+    return {"op9_warc_chunks": _ARCHIVES, "op11_pivot_clusters": _clusters_sql()}
