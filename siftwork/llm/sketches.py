@@ -195,5 +195,5 @@ def compare_with_next(docs: DataFrame, size: int = SHINGLE, scale: int = SCALE,
 
     placed = keyed.select("doc_id", "text", "tie", F.inline(parts_of("doc_id", "tie")))
     order = ["part", "again", "doc_id", "tie"]
-    dealt = placed.repartition(count, "part").sortWithinPartitions(*order)
+    dealt = placed.repartitionById(count, "part").sortWithinPartitions(*order)  # a part is a task
     return dealt.select("doc_id", "text", "again").mapInArrow(walk, _COMPARED)
