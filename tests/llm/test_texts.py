@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -89,14 +90,44 @@ def test_comparison_along_the_order(spark):
     rows = [(i * 7 - 20, words(rng, rng.randrange(1, 80)) + "é😀") for i in range(40)] + [(None, "no id"), (900, None), (901, "")]
     for parts, some in ((1, rows), (7, rows), (3, rows[:1]), (3, rows[:2])):
         df = spark.createDataFrame(some, "doc_id bigint, text string").repartition(parts)
-        got = {r.doc_id: r for r in sketches.compare_with_next(df).collect()}
-        assert len(got) == len(some)
+        found = sketches.compare_with_next(df, part=sketches.PART if parts == 1 else 4).collect()
+        got = {r.doc_id: r for r in found}
+        assert len(got) == len(found) == len(some)
         for i, text, edited in neighbours(some):
             assert got[i].n_chars == len(text) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
             prints = [sketches.encode(s) for s in sketches.fingerprints(pa.array([text, edited]))]
             assert [got[i].fingerprint, got[i].edited_fingerprint] == prints
 
 
+def plain_sketch(text, scale):
+    """The sketch as its definition has it: all shingle hashes below a fraction of the range."""
+    w = WORD.findall(text)
+    found = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+    hashes = {int(next(shingles.shingle_sets(pa.array([s]), 5))[0]) for s in found}
+    kept = sorted(h for h in hashes if h <= (2**64 - 1) // scale)
+    return len(hashes), [h >> (64 - 32 - scale.bit_length() + 1) for h in kept]
+
+
+def test_fingerprints_are_plain_sketches():
+    rng = random.Random(21)
+    for text in ["", "one two", words(rng, 5), words(rng, 400), words(rng, 300, 3)]:
+        for scale in (1, 4, 16):
+            n, _, kept = sketches.decode(sketches.encode(next(sketches.fingerprints(pa.array([text]), scale=scale))))
+            assert (n, kept.tolist()) == plain_sketch(text, scale)
+
+
+def test_one_identifier_may_hold_most_rows(spark):
+    rng = random.Random(22)
+    rows = [(5, words(rng, 20)) for _ in range(60)] + [(i, words(rng, 9)) for i in range(9)] + [(5, "same")] * 20
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    found = sketches.compare_with_next(df, part=4).collect()
+    assert Counter(r.doc_id for r in found) == Counter(i for i, _ in rows)
+    prints = Counter(r.fingerprint for r in found)
+    assert max(prints.values()) == 20
+    one = sketches.compare_with_next(df, part=1000).collect()
+    assert Counter(map(tuple, found)) == Counter(map(tuple, one))
+
+
 def test_comparison_of_odd_rows(odd_docs, no_docs):
     rows = sketches.compare_with_next(odd_docs).collect()
     assert len(rows) == 12 and all(0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 for r in rows)
@@ -157,6 +188,72 @@ def test_covariance_determinant_resists_a_cluster(spark, tmp_path):
     assert all((r.d > outliers.CUT) == (r.x0 > 30) for r in judged)
 
 
+def brute_estimate(x):
+    """The reweighted minimum covariance determinant of rows, step by step as the module says."""
+    floors = np.array(list(outliers.FLOORS.values()))
+    at = lambda v, p: np.sort(v, axis=0)[max(0, int(np.ceil(p * len(v))) - 1)]
+    moments = lambda v: (v.mean(0), (v.T @ v) / len(v) - np.outer(v.mean(0), v.mean(0)) + np.diag(floors**2))
+
+    def away(v, e):
+        d = v - e[0]
+        return np.einsum("ij,ij->i", d @ np.linalg.inv(e[1]), d)
+
+    def nearest(v, d):
+        return v[d <= at(d, outliers.CORE)]
+
+    q = [at(x, p) for p in (0.25, 0.5, 0.75)]
+    z = (x - q[1]) / np.sqrt(((q[2] - q[0]) / 1.349) ** 2 + floors**2)
+    norm = np.sqrt((z**2).sum(1))
+    signs = np.where(norm[:, None] > 0, z / np.where(norm > 0, norm, 1)[:, None], 0)
+    found = []
+    for d in (norm, away(z, moments(signs))):
+        e, falls = moments(nearest(x, d)), True
+        while falls:
+            after = moments(nearest(x, away(x, e)))
+            falls = np.linalg.slogdet(e[1])[1] - np.linalg.slogdet(after[1])[1] > outliers.SETTLED
+            e = after
+        found.append((np.linalg.slogdet(e[1])[1], e))
+    e = min(found, key=lambda f: f[0])[1]
+    d = away(x, e)
+    return away(x, moments(x[d <= outliers._INNER * max(1.0, at(d, 0.5) / outliers._MEDIAN)]))
+
+
+def statistics_vector(r):
+    n, chars = max(r.n_words, 1), max(r.word_chars, 1)
+    return [np.log(n), np.log(chars / n), np.log1p(100 * r.n_symbols / chars), np.sqrt(10 * r.n_dup_lines / n), np.sqrt(r.n_repeat_words / n)]
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = random.Random(23)
+    rows = []
+    for i in range(460):
+        text = words(rng, rng.randrange(60, 300), rng.choice([400, 400, 60]))
+        if i % 9 == 0:
+            text = text.replace(" ", rng.choice([" # ", " | ", "\n"]), rng.randrange(40))
+        rows.append((i, text, *(("en", "a"), ("en", "b"), ("fr", "a"), ("xx", f"s{i}"))[min(3, i % 7 % 4 if i < 430 else 3)], None))
+    got = {r.doc_id: r for r in outliers.verdicts(spark.createDataFrame(rows, DOCS)).collect()}
+    x = {i: statistics_vector(r) for i, r in got.items() if not r.base_failed}
+    pools = {}
+    for i, _, lang, source, _ in rows:
+        if i in x:
+            pools.setdefault((lang, source), []).append(i)
+    small = {k: v for k, v in pools.items() if len(v) < outliers.LEAST}
+    of_language = {}
+    for (lang, _), own in small.items():
+        of_language.setdefault(lang, []).extend(own)
+    judged = [v for k, v in pools.items() if k not in small] + [v for v in of_language.values() if len(v) >= outliers.LEAST]
+    rest = [i for v in of_language.values() if len(v) < outliers.LEAST for i in v]
+    assert judged and rest
+    want = {}
+    for own in judged:
+        want |= dict(zip(own, brute_estimate(np.array([x[i] for i in own])), strict=True))
+    every = sorted(x)
+    whole = dict(zip(every, brute_estimate(np.array([x[i] for i in every])), strict=True))
+    want |= {i: whole[i] for i in rest}
+    assert set(want) == set(x)
+    assert all(got[i].distance == pytest.approx(d, rel=1e-6, abs=1e-9) and got[i].kept == (d <= outliers.CUT) for i, d in want.items())
+
+
 def test_outliers_of_odd_rows(odd_docs, no_docs):
     rows = outliers.verdicts(odd_docs).collect()
     assert len(rows) == 12 and all(r.base_failed for r in rows if r.n_words < 50)
@@ -220,6 +317,61 @@ def test_language(spark, odd_docs, no_docs):
     assert len(language.identify(odd_docs).collect()) == 12 and language.identify(no_docs).count() == 0
 
 
+def brute_language(rows):
+    """Word-first back-off in plain Python: (lang, score) of every text."""
+    crc = lambda i: zlib.crc32(str(i).encode()) % 5
+    words_of = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    counts = {0: {}, 1: {}, 2: {}, 3: {}, 4: {}}
+    for i, text, lang, *_ in rows:
+        if lang is None or text is None or crc(i) == 0:
+            continue
+        for w in words_of(text):
+            counts[0].setdefault(lang, Counter())[w] += 1
+            for k in (1, 2, 3, 4):
+                m = f"^{w}$"
+                counts[k].setdefault(lang, Counter()).update(m[a : a + k] for a in range(len(m) - k + 1))
+    languages = sorted(counts[0])
+    kinds = {k: set().union(*counts[k].values()) for k in counts}
+
+    def log(k, item):
+        return np.array([np.log((counts[k][x][item] + 0.5) / (counts[k][x].total() + 0.5 * len(kinds[k]))) for x in languages])
+
+    def score(w):
+        if w in kinds[0]:
+            return log(0, w)
+        for k in (4, 3, 2, 1):
+            own = [f"^{w}$"[a : a + k] for a in range(len(w) + 3 - k)]
+            if known := [log(k, g) for g in own if g in kinds[k]]:
+                return np.mean(known, 0)
+        return np.zeros(len(languages))
+
+    for _, text, *_ in rows:
+        found = words_of(text or "")
+        if not found:
+            yield "und", 0.0
+            continue
+        total = np.mean([score(w) for w in found], 0) * min(len(found), 12)
+        share = np.exp(total - total.max())
+        yield languages[int(share.argmax())], share.max() / share.sum()
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(24)
+    letters = {"aa": "abcdefg", "bb": "efghijk", "cc": "ñòéabxy"}
+    make = lambda x: "".join(rng.choice(letters[x]) for _ in range(rng.randrange(1, 7)))
+    rows = [(i, " ".join(make(x) for _ in range(rng.randrange(1, 15))), x if i % 11 else None, "s", 0) for i in range(240) for x in (list(letters)[i % 3],)]
+    rows += [(900, "abc efgh ñoa qqq", None, "s", 0), (901, "qqq ωω", None, "s", 0), (902, None, "aa", "s", 0)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    for (i, *_), (lang, score) in zip(rows, brute_language(rows), strict=True):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, rel=1e-4), i
+
+
+def test_sample_has_one_row_per_identifier(spark):
+    rows = [(7, f"bala{i} bala kola", "aa", "s", 0) for i in range(500)] + [(i, "zuxi wexu", "bb", "s", 0) for i in range(20, 60)]
+    model = language.fit(spark.createDataFrame(rows, DOCS))
+    assert sum(w.startswith("bala") for w in model.words) <= 2 and "zuxi" in model.words
+
+
 def test_long_texts_are_scored_in_slices(monkeypatch):
     rows = pa.table({"lang": ["a", "b", "a", "b"], "length": [0] * 4, "item": ["ja", "no", None, None], "n": [5, 5, 5, 5]})
     scorer = language.Scorer(language.build(rows))
