@@ -135,10 +135,10 @@ def random_fingerprints(rng, n):
     return sorted(set(base))
 
 
-@pytest.mark.parametrize(("budget", "unit"), [(3, 1 << 15), (3, 8), (2, 3), (5, 20)])
+@pytest.mark.parametrize(("budget", "unit"), [(3, 1 << 15), (3, 12), (2, 6), (5, 20)])
 def test_trie_join_loses_no_link(spark, budget, unit):
     rng = random.Random(budget * 100 + unit)
-    values = random_fingerprints(rng, 120)
+    values = random_fingerprints(rng, 60)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     df = spark.createDataFrame([(signed(v),) for v in values], "fingerprint bigint").repartition(4)
     work = Workspace(spark)
