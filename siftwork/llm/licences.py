@@ -103,9 +103,11 @@ _VERSION = r"\b(?:version|v)[^\p{L}\p{N}]{0,12}(\d+)(?:\.0)*((?:\.\d+)?)(?!\w)"
 
 def _words(text: Column) -> Column:
     """Lower-cased words; "version 2", "v. 2.0" and "V2" are the word `v2`, "version 2.1" is `v2_1`."""
-    one = F.regexp_replace(F.lower(text), _VERSION, "\u0001$1$2 ")
+    low = F.lower(text)
+    one = F.regexp_replace(low, _VERSION, "\u0001$1$2 ")
     named = F.regexp_replace(F.regexp_replace(one, "\u0001(\\d+)\\.(\\d+)", " v$1_$2 "), "\u0001(\\d+)", " v$1 ")
-    return F.regexp_extract_all(named, F.lit(r"v\d+_\d+|[\p{L}\p{N}]+"), F.lit(0))
+    told = F.when(low.rlike(r"v[^\p{L}]{0,13}\d|version"), named).otherwise(low)
+    return F.regexp_extract_all(told, F.lit(r"[\p{L}\p{N}]+(?:(?<=\bv\d{1,9})_\d+)?"), F.lit(0))
 
 
 def _versions(words: Column) -> Column:
@@ -140,7 +142,9 @@ def statements(files: DataFrame) -> DataFrame:
     """(key, words, clause) of each statement; `files` has (file, path, text)."""
     whole = text_of()
     cued = files.filter(is_licence_file() | whole.rlike(_CUE))
-    clause = F.when(whole.rlike(_THIRD_CLAUSE), "BSD-3-Clause").when(whole.rlike(_SECOND_CLAUSE), "BSD-2-Clause")
+    # Only a file with the shared sentence, or one of the names, is asked for its clauses.
+    shared = whole.contains("edistribution") | whole.contains("EDISTRIBUTION") | whole.contains("BSD")
+    clause = F.when(shared & whole.rlike(_THIRD_CLAUSE), "BSD-3-Clause").when(shared & whole.rlike(_SECOND_CLAUSE), "BSD-2-Clause")
     cued = cued.select(
         _key().alias("key"), whole.alias("text"), is_licence_file().alias("named"), F.filter(_blocks(whole), _cued).alias("blocks"),
         clause.alias("clause"),
