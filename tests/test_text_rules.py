@@ -299,3 +299,14 @@ def test_html_elements(spark):
     df = spark.createDataFrame([(t,) for t, _ in rows], "t string").withColumn("h", regex.needle_text("t"))
     got = {r.t: r.v for r in df.select("t", extract.prompt_html_tags("t", "h").alias("v")).collect()}
     assert got == dict(rows)
+
+
+ODD = ("", "a", "Ab ab_1 ΑΣ İx ıſK ١٢ ①½ é a b \U0001d4b3 漢字", "_ - __", "ſk-", "DO NOT x.\nMuſt not y. refuſe")
+
+
+def test_bucket_weights_remember_tokens(spark):
+    """The weights come from the Arrow form, equal to the SQL form, which hashes every token again."""
+    rows = spark.createDataFrame([(t,) for t in (*ODD, None)], "t string")
+    both = rows.select(embedding.bucket_weights("t").alias("a"), embedding.bucket_weights_expr("t").alias("b"))
+    assert all(r.a == r.b for r in both.collect())
+    assert "ArrowEvalPython" in both._jdf.queryExecution().executedPlan().toString()
