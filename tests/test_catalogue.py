@@ -284,3 +284,19 @@ def test_inventory_versions(spark, folder):
     assert sorted(r.url for r in url_list.load_urls(spark, path).collect()) == ["a", "b", "c", "d"]
     assert sorted(r.url for r in url_list.load_urls(spark, path, before=2).collect()) == ["a", "b"]
     assert inventory.refresh(spark, path, 3, add("a")).count() == 0 and url_list.load_urls(spark, path, before=1).count() == 0
+
+
+def test_sorted_lists_evaluate_every_file_once(spark):
+    """A sort samples its input first: what was below it ran twice."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def scan(seq):
+        seen.add(1)
+        return seq % 2 == 0
+
+    rows = spark.range(0, 400, 1, 4).select(F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") % 7).alias("indexed_at"))
+    files = rows.withColumn("has_secrets", scan.asNondeterministic()("seq")).withColumn("platform", F.lit("a"))
+    got = [(r.indexed_at, r.seq) for r in catalogue.with_secrets(files).collect()]
+    assert len(got) == 200 and got == sorted(got, reverse=True) and seen.value == 400
+    assert len(catalogue.by_platform(files, "a").collect()) == 400 and seen.value == 800
