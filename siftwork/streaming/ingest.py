@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.catalogue import compact, read_files, save_batch
 from ..operators.vectors import index_batch
+from ..sources.tables import spread
 
 #: Micro-batches after which their parts are merged.
 COMPACT_EVERY = 16
@@ -29,12 +30,15 @@ def ingest_stream(
     Micro-batch e becomes catalogue batch `first_batch + e`.  After a failure Spark hands out the
     same micro-batch again and it replaces its own part, so nothing is stored twice.  The parts of
     `compact_every` micro-batches are merged, and so are as many merged ones.  Streams and batch jobs
-    that share a catalogue need separate ranges of batch numbers, and must not write at the same time."""
+    that share a catalogue need separate ranges of batch numbers, and must not write at the same time.
+
+    A micro-batch of fewer splits than cores is spread over all of them: its texts are scanned by as many
+    tasks as it has splits."""
 
     def store(batch_docs: DataFrame, epoch: int) -> None:
         spark = batch_docs.sparkSession
         number = first_batch + epoch
-        save_batch(spark, batch_docs, root, number, as_of or datetime.now(timezone.utc))
+        save_batch(spark, spread(batch_docs, "seq", "url"), root, number, as_of or datetime.now(timezone.utc))
         compact(spark, root, compact_every)
         if index:
             index_batch(spark, read_files(spark, root, number), root, number)

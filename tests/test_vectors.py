@@ -93,6 +93,20 @@ def test_postings_find_what_the_scan_finds(spark, files, folder):
     assert "bucket" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
 
 
+def test_postings_hold_numbers_in_the_order_of_the_ids(spark, files, folder):
+    """A posting is a number and a weight, not the id, which would stand in every bucket of its row."""
+    vectors.index_batch(spark, files, folder, 1)
+    vectors.build_postings(spark, folder)
+    index = vectors.read_index(spark, folder)
+    path = vectors._postings_folder(spark, folder, vectors.cat.DEFAULT_COLLECTION)
+    postings = spark.read.parquet(path)
+    assert dict(postings.dtypes) == {"number": "bigint", "weight": "float", "bucket": "int"}
+    numbers = {r.number: r.id for r in spark.read.parquet(path.replace("/postings/", "/numbers/")).collect()}
+    assert [numbers[n] for n in sorted(numbers)] == sorted(r.id for r in index.collect())
+    entries = {(r.id, e.bucket, e.weight) for r in index.select("id", vectors.em.sparse("embedding").alias("s")).collect() for e in r.s}
+    assert {(numbers[r.number], r.bucket, r.weight) for r in postings.collect()} == entries
+
+
 @pytest.mark.parametrize("block", [2048, 3])
 def test_batch_knn_against_brute_force(spark, block):
     rng = np.random.default_rng(7)
