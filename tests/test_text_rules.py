@@ -340,3 +340,27 @@ def test_masking_leaves_other_lines_whole(spark):
     key = "AKIA" + "Q7" * 8
     rows = spark.createDataFrame([(f"one \U0001d4b3\r\n{key} two {key}\n\nthree\x85",)], "raw_content string")
     assert enrich.mask_secrets(rows).first().raw_content == f"one \U0001d4b3\r\n{'*' * 20} two {'*' * 20}\n\nthree\x85"
+
+
+def test_texts_are_lowered_and_rules_run_once(spark):
+    """Findings and masked text are made of the same matches, all literal tests of the same lower case."""
+    docs = spark.createDataFrame([(1, "u", "x", None)], "seq bigint, url string, raw_content string, error string")
+    plan = enrich.enrich(docs, masked=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lambda") == len(cat.SECRET_RULES)
+    assert plan.count("lower(raw_content") == 1
+
+
+LINE_ENDS = ("\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
+
+
+def test_masking_keeps_every_line_end(spark):
+    """First, last, neighbouring and repeated lines with findings, behind each kind of line end."""
+    key, star = "AKIA" + "Q7" * 8, "*" * 20
+    shapes = ("K", "K|", "|K", "a|K|K||b|", "K|a|K|aK", "||K||", "a|b")
+    texts = [s.replace("|", end).replace("K", key) for s in shapes for end in LINE_ENDS] + [f"{key}\n{key}\r\n\r{key}\u2028a\n"]
+    rows = spark.createDataFrame([(i, "u", t, None) for i, t in enumerate(texts)], "seq bigint, url string, raw_content string, error string")
+    for r in enrich.enrich(rows, masked=True).collect():
+        assert (r.masked_content or r.raw_content) == texts[r.seq].replace(key, star)
+        assert r.has_secrets == (r.masked_content is not None) == (key in texts[r.seq])
+        lines = re.split(r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", texts[r.seq])
+        assert [f.line for f in r.findings] == [n for n, line in enumerate(lines, 1) if key in line]
