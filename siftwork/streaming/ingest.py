@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.catalogue import compact, read_files, save_batch
 from ..operators.vectors import index_batch
-from ..sources.tables import spread
 
 #: Micro-batches after which their parts are merged.
 COMPACT_EVERY = 16
@@ -32,13 +31,13 @@ def ingest_stream(
     `compact_every` micro-batches are merged, and so are as many merged ones.  Streams and batch jobs
     that share a catalogue need separate ranges of batch numbers, and must not write at the same time.
 
-    A micro-batch of fewer splits than cores is spread over all of them: its texts are scanned by as many
-    tasks as it has splits."""
+    A micro-batch is a few files, often fewer than there are cores, and a file's rows tend to lie in one
+    split; so its new texts are dealt out evenly before they are scanned."""
 
     def store(batch_docs: DataFrame, epoch: int) -> None:
         spark = batch_docs.sparkSession
         number = first_batch + epoch
-        save_batch(spark, spread(batch_docs, "seq", "url"), root, number, as_of or datetime.now(timezone.utc))
+        save_batch(spark, batch_docs, root, number, as_of or datetime.now(timezone.utc), spread=True)
         compact(spark, root, compact_every)
         if index:
             index_batch(spark, read_files(spark, root, number), root, number)

@@ -300,3 +300,19 @@ def test_sorted_lists_evaluate_every_file_once(spark):
     got = [(r.indexed_at, r.seq) for r in catalogue.with_secrets(files).collect()]
     assert len(got) == 200 and got == sorted(got, reverse=True) and seen.value == 400
     assert len(catalogue.by_platform(files, "a").collect()) == 400 and seen.value == 800
+
+
+def test_micro_batches_are_dealt_out_before_they_are_scanned(spark, folder, monkeypatch):
+    """The new texts of a micro-batch do not stay in the splits of its few files; all are stored."""
+    plans, plain = [], catalogue.enrich
+
+    def enriched(docs, *args, **options):
+        plans.append(docs._jdf.queryExecution().optimizedPlan().toString())
+        return plain(docs, *args, **options)
+
+    monkeypatch.setattr(catalogue, "enrich", enriched)
+    frame(spark, FIRST).coalesce(1).write.parquet(folder + "/inbox")
+    inbox = spark.readStream.schema(SCHEMA).parquet(folder + "/inbox")
+    ingest_stream(inbox, folder, folder + "/checkpoint", as_of=AS_OF).awaitTermination()
+    assert plans and all("RepartitionByExpression [content_hash" in p for p in plans)
+    assert set(stored(spark, folder)) == {"https://a/CLAUDE.md", "https://a/2", "https://a/6"}
