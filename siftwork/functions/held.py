@@ -1,0 +1,51 @@
+"""Which of many patterns a text holds, by Arrow's regex engine.
+
+That engine is an automaton: it looks for any number of literals in one pass of some nanoseconds a
+character, where a pattern of Java's that tries its branches place by place takes fifty times as long.
+Texts go to Python once, in Arrow batches, and come back as an array of flags.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .regex import minimal_needles
+
+#: Most repetitions that the engine takes.
+MAX_REPEATS = 1000
+
+
+def literals(needles: Sequence[str]) -> str:
+    """Pattern of a text that holds one of the lower-case literals, where the text is lower-cased and
+    folded; an i may bear the dot that a capital one with a dot leaves behind."""
+    return "|".join(re.escape(n).replace("i", "i\u0307?") for n in minimal_needles(needles))
+
+
+def held(text: Column, patterns: Sequence[str]) -> Column:
+    """Array of booleans, one per pattern: whether the text holds it; a null text holds none.
+
+    One pass looks for all of them together; the others are for texts that hold one.  (All that the UDF
+    needs is nested here, so executors do not have to import this package.)"""
+    wanted = list(patterns)
+    together = "|".join(f"(?:{p})" for p in wanted)
+
+    def find(texts: pa.Array) -> pa.Array:
+        flags = np.zeros((len(texts), len(wanted)), dtype=bool)
+        some = pc.fill_null(pc.match_substring_regex(texts, together), False)
+        rows = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+        if len(rows):
+            few = texts.filter(some)
+            for k, pattern in enumerate(wanted):
+                flags[rows, k] = pc.match_substring_regex(few, pattern).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(wanted))
+        return pa.ListArray.from_arrays(offsets, pa.array(flags.ravel()))
+
+    return F.arrow_udf(find, T.ArrayType(T.BooleanType()))(text)

@@ -4,11 +4,12 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siftwork import catalogues as cat
-from siftwork.functions import classify, embedding, extract, pyrules, regex, secrets, text
+from siftwork.functions import classify, embedding, extract, held, pyrules, regex, secrets, text
 from siftwork.operators import enrich
 
 from .texts import TEXTS
@@ -364,3 +365,42 @@ def test_masking_keeps_every_line_end(spark):
         assert r.has_secrets == (r.masked_content is not None) == (key in texts[r.seq])
         lines = re.split(r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", texts[r.seq])
         assert [f.line for f in r.findings] == [n for n, line in enumerate(lines, 1) if key in line]
+
+
+def test_literals_of_all_rules_are_told_in_one_call(spark):
+    """Old letters that equal ASCII ones count, nulls hold nothing, and no rule's literals are sought twice."""
+    texts = ["a sk-ant-x", "AIzaſy and ghp_", "nothing", None, "", "aki̇a", "AKİA", "K" * 40 + " ", "x" * 39]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq int, t string")
+    patterns = [held.literals(["sk-ant-", "aizasy"]), held.literals(["akia"]), "[a-z]{40}"]
+    for folded in (regex.needle_text("t"), F.expr(regex.lower_folded_sql("t"))):
+        got = [r.v for r in df.select("seq", held.held(folded, patterns).alias("v")).orderBy("seq").collect()]
+        assert [[int(f) for f in flags] for flags in got] == [
+            [1, 0, 0], [1, 0, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0], [0, 1, 0], [0, 1, 0], [0, 0, 1], [0, 0, 0],
+        ]
+    docs = spark.createDataFrame([(1, None, "key sk-" + "Ab3d" * 9, None)], "seq bigint, url string, raw_content string, error string")
+    enriched = enrich.enrich(docs, masked=True)
+    plan = enriched._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("find(") == 1
+    assert enriched.first().has_secrets and enriched.first().platform == "unknown"
+
+
+def test_gates_need_a_rules_own_literal(spark):
+    """A text with the literal of one rule is not tried by the others."""
+    df = spark.createDataFrame([("see openai and AKIA" + "Q7" * 8,)], "t string")
+    flagged = df.withColumn("h", held.held(regex.needle_text("t"), secrets.gate_tests()))
+    gates = flagged.select(secrets.rule_gates("t", "h").alias("g")).first().g
+    assert [rule.name for rule, gate in zip(cat.SECRET_RULES, gates) if gate] == ["aws_access_key"]
+    assert secrets.gate_tests([]) == [] and enrich.scan_secrets(df.withColumnRenamed("t", "raw_content"), []).first().findings == []
+
+
+def test_embedder_never_hashes_a_frequent_token_again(monkeypatch):
+    """Its memory is set aside when it is full; what is still in use is taken over."""
+    hashed = []
+    real = embedding.hashlib.md5
+    monkeypatch.setattr(embedding.F, "arrow_udf", lambda f, _: f)
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda data: hashed.append(data) or real(data))
+    embed = embedding._arrow_embedder(512, False, remembered=4)
+    texts = ["often " + " ".join(f"w{i}{j}" for j in range(3)) for i in range(20)] + ["É_1 often\x1cÉ_1 İ", None]
+    rows = embed(pa.array(texts)).to_pylist()
+    assert hashed.count(b"often") == 1
+    assert rows[-1] is None and sum(rows[-2]) == 1.5 * 4 and sum(rows[0]) == 1.5 * 4
